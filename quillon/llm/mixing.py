@@ -129,6 +129,6 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(lev) FROM l WH
 j AS (SELECT d.*, t.source_size, t.target, CASE WHEN size > 0 THEN least(2.0::DOUBLE, t.target / t.source_size) ELSE 0.0::DOUBLE END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS chance FROM j),
 q AS (SELECT *, CASE WHEN chance > 0 THEN u / (1 - u) * (1 - chance) / chance END AS odds, target - sum(CAST(whole * size AS BIGINT)) OVER (PARTITION BY source) AS missing FROM k),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM q)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN odds IS NOT NULL AND 2 * at + size <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN odds IS NOT NULL AND 2 * earlier + size <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
 """
