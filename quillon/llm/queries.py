@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quillon.llm import jaccard, mixing, toxicity
+from quillon.llm import hamming, jaccard, licences, lines, mixing, pieces, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
+    "op3_pieces": pieces.op3_pieces,
+    "op5_hamming": hamming.op5_hamming,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
+    "op9_licences": licences.op9_licences,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
 SQL = {
+    "op5_hamming": hamming.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
