@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import jaccard, mixing, toxicity
+from quillon.llm import jaccard, lines, mixing, pieces, toxicity
 from quillon.llm.shared import save
 
 STAGES = [
     ("toxicity", toxicity.stage),
+    ("line_dedup", lines.stage),
     ("ngram_jaccard", jaccard.stage),
     ("mixing", mixing.stage),
+    ("pieces", pieces.stage),
 ]
 
 #: No SQL: a trained model decides in the first stage, edit distances in the second, set

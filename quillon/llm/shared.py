@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 CHUNK = 1 << 16
 
@@ -63,16 +64,95 @@ def signed64(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a text or binary column, without a Python object per row; null
+    counts as empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_WINDOW = 1 << 16
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LETTER[65:91] = _LETTER[97:123]
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+            _POWERS[name] = out
+    return _POWERS["up"], _POWERS["down"]
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\x20\x09-\x0D]+`` of all texts, A-Z counted as a-z,
+    and where each text's words begin (one more entry than texts).
+
+    The hash of a word is a polynomial in random numbers for its bytes, read off running
+    sums; windows that fit the processor's cache, cut at white space, bound the memory."""
+    found, starts_at, low, high = [], [], int(offsets[0]), int(offsets[-1])
+    edge = np.zeros(high - low + 1, bool)
+    edge[offsets - low] = True  # a text's end parts words as white space does
+    at = low
+    while at < high:
+        end, step = min(high, at + _WINDOW), _WINDOW
+        while end < high:  # back to the last border near the end, or on to the next one
+            back = max(at + 1, end - 256) if step == _WINDOW else at + 1
+            gaps = np.flatnonzero(_SPACE[data[back:end]] | edge[back - low : end - low])
+            if len(gaps):
+                end = back + int(gaps[-1])
+                break
+            step *= 2
+            end = min(high, at + step)
+        part = data[at:end]
+        ink = ~_SPACE[part]
+        before = np.empty_like(ink)
+        before[0], before[1:] = False, ink[:-1]
+        before &= ~edge[at - low : end - low]
+        after = np.empty_like(ink)
+        after[-1], after[:-1] = False, ink[1:]
+        after &= ~edge[at - low + 1 : end - low + 1]
+        first, last = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
+        up, down = _powers(len(part) + 1)
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_LETTER[part] * up[: len(part)], out=sums[1:])
+        found.append(mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        starts_at.append(first + at)
+        at = end
+    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    begins = np.concatenate(starts_at) if starts_at else np.zeros(0, np.int64)
+    return hashes, np.searchsorted(begins, offsets, "left")
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256):
+    """A batch by a few hundred rows at a time: keeps what numpy makes of texts small."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def hash_words(listed: list[bytes]) -> np.ndarray:
+    """The same hashes of single words."""
+    ends = np.cumsum([0] + [len(w) for w in listed])
+    return word_hashes(ends, np.frombuffer(b"".join(listed), np.uint8))[0]
 
 
 def emit(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
@@ -104,9 +184,12 @@ def reduce_arrays(parts: DataFrame, length: int, dtype: str, how: str) -> np.nda
     """Adds (``add``) or unites (``or``) the chunks of all tasks. ``length`` is fixed, so
     the driver gets that many entries however large the corpus is."""
     chunks = -(-length // CHUNK)
-    out_type = "int64" if how == "add" else dtype
+    out_type = "int64" if how == "add" and np.dtype(dtype).kind == "i" else dtype
 
-    def merge(batches):
+    def merge_sums(batches):
+        return merge(batches, out_type)
+
+    def merge(batches, dtype=dtype):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, idx, val in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -125,8 +208,9 @@ def reduce_arrays(parts: DataFrame, length: int, dtype: str, how: str) -> np.nda
     out = np.zeros(length, out_type)
     # two rounds: tasks' chunks meet in salted partitions first
     salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(8)))
-    first = salted.repartition(8 * chunks, "chunk", "salt").drop("salt").mapInArrow(merge, _PART_SQL) if how == "or" else parts
-    for row in first.repartition(chunks, "chunk").mapInArrow(merge, _PART_SQL).toLocalIterator():
+    first = salted.repartition(8 * chunks, "chunk", "salt").drop("salt").mapInArrow(merge, _PART_SQL)
+    last = merge if out_type == dtype else merge_sums
+    for row in first.repartition(chunks, "chunk").mapInArrow(last, _PART_SQL).toLocalIterator():
         out[row.chunk * CHUNK : row.chunk * CHUNK + len(row.val) // out.itemsize] = np.frombuffer(row.val, out_type)
     return out
 
@@ -187,13 +271,36 @@ def block_pairs(rows: DataFrame, key: str, member: str, counts: DataFrame, block
 # --- connected components -----------------------------------------------------------
 
 
-def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFrame:
+def _united(batches, schema: pa.Schema):
+    """Union-find over the edges of one task; the smallest node stays the root."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for b in batches:
+        for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield emit(schema, {"node": nodes, "comp": [root(x) for x in nodes]})
+
+
+def components(spark: SparkSession, edges: DataFrame, most: int = 60, in_task: int = 300_000) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b); comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each is a minimum per node (combined
+    Up to ``in_task`` edges (a few tens of MB) go to one executor task, which unites them
+    in memory. More go through alternating large-star and small-star steps: each is a minimum per node (combined
     before the shuffle) joined back to the edges, and the number of rounds grows with the
     logarithm of the longest path. Each round's edges are a written table."""
     e = save(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() <= in_task:
+        kind = e.schema["u"].dataType
+        schema = pa.schema([("node", to_arrow_type(kind)), ("comp", to_arrow_type(kind))])
+        return e.repartition(1).mapInArrow(lambda batches: _united(batches, schema), StructType([StructField("node", kind), StructField("comp", kind)]))
     before = None
     for _ in range(most):
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
