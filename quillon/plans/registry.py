@@ -1,15 +1,172 @@
-"""Every query of the library by name, with its oracle SQL where there is one."""
+"""Every query of the library by name, with its oracle SQL where there is one.
+
+The reports that the extractors read are rendered from ``events`` by expressions that Spark
+and DuckDB share, so an oracle knows what was written into a text without reading it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import text as T
+from quillon.functions import vocab
+from quillon.functions.casualties import casualties
+from quillon.operators import entity, retrieval
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _case(values: list[str], by: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {by} % {len(values)} {whens} END"
+
+
+_CITY = _case(["Srinagar", "Mumbai", "Delhi", "Pune", "Imphal", "Patna", "Jammu"], "event_id")
+_DO = _case(["detonated a car bomb near", "opened fire on", "kidnapping officials at", "torched", "attacked with grenades"], "event_id")
+_TARGET = _case(["a police station", "an army convoy", "a mosque", "a market", "a railway bridge", "a bus"], "event_id")
+_GROUP = _case(["CPI-Maoist", "ULFA", "Lashkar-e-Taiba"], "cast(floor(event_id / 2.0) as bigint)")
+_N = "cast(event_id % 50 + 2 as varchar(10))"
+_M = "cast(event_id % 9 + 1 as varchar(10))"
+_DAY = "cast(event_id % 28 + 1 as varchar(10))"
+_TEXT = f"""CASE event_id % 8 WHEN 6 THEN concat('The NIA court received the charge sheet against accused persons in ', {_CITY}, '.')
+ WHEN 7 THEN concat('Officials visited ', {_CITY}, ' on Monday.')
+ ELSE concat({_N}, ' people were killed and ', {_M}, ' others were injured. ', CASE WHEN event_id % 8 = 5 THEN 'Meanwhile, on ' ELSE 'On ' END, {_DAY}, ' April 2019 ', {_GROUP}, ' rebels ', {_DO}, ' ', {_TARGET}, ' in ', {_CITY}, '.') END"""
+REPORT = {
+    "report_id": "event_id", "doc": "cast(floor(event_id / 5.0) as bigint)", "seq": "cast(event_id % 5 as int)", "text": _TEXT, "city": _CITY, "grp": _GROUP,
+    "killed": "cast(CASE WHEN event_id % 8 >= 6 THEN 0 ELSE event_id % 50 + 2 END as int)", "injured": "cast(CASE WHEN event_id % 8 >= 6 THEN 0 ELSE event_id % 9 + 1 END as int)", "day": "cast(event_id % 28 + 1 as int)",
+}
+_R = "r AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in REPORT.items()) + " FROM events)"
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[f"{e} AS {c}" for c, e in REPORT.items()])
+
+
+def _sql_has(terms: list[str], by: str = "lower(text)") -> str:
+    return f"regexp_matches({by}, '{T.alternation(terms)}')".replace("people's", "people''s")
+
+
+def _sql_categories(vocabulary: dict[str, list[str]]) -> str:
+    whens = ", ".join(f"CASE WHEN {_sql_has(t)} THEN '{c}' END" for c, t in vocabulary.items())
+    return f"array_to_string(list_filter([{whens}], lambda x: x IS NOT NULL), ',')"
+
+
+def _sql_count(terms: list[str], by: str = "lower(text)") -> str:
+    return "(" + " + ".join(f"CAST({_sql_has([t], by)} AS INT)" for t in terms) + ")"
+
+
+_EVENT = " + ".join(f"{w}::DOUBLE * {_sql_count(t)}" for w, t in vocab.EVENT_TERMS)
+_EVENT = f"(({_EVENT}) + CASE WHEN ({_EVENT}) > 0 THEN {vocab.CORE_BONUS}::DOUBLE * {_sql_count(vocab.CORE_VERBS)} ELSE 0 END)"
+_ADMIN = "(" + " + ".join(f"{w}::DOUBLE * {_sql_count(t)}" for w, t in vocab.ADMIN_TERMS) + f" + {vocab.ADMIN_CASED[0]}::DOUBLE * {_sql_count(vocab.ADMIN_CASED[1], 'text')})"
+_D = f"d AS (SELECT *, {_EVENT} AS event_score, {_ADMIN} AS admin_score FROM r)"
+_CLASS = "CASE WHEN admin_score > 0 AND admin_score >= event_score THEN 'REJECT' WHEN event_score > 0 AND event_score > admin_score THEN 'ACCEPT' ELSE 'NEUTRAL' END"
+
+_Q: dict[str, Query] = {}
+_S: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _Q[name] = query
+    if sql is not None:
+        _S[name] = sql
+
+
+def _on_reports(name: str, make: Callable[[DataFrame], DataFrame], select: str = "", more: str = "") -> None:
+    _add(name, lambda s, d: make(reports(s, d)), f"WITH {_R}{more} {select}")
+
+
+for _name, _vocabulary in (("attack", vocab.ATTACK), ("weapon", vocab.WEAPON), ("target", vocab.TARGET)):
+    _on_reports(f"fx_{_name}", lambda r, v=_vocabulary: r.select("report_id", F.array_join(T.categories(F.col("text"), v), ",").alias("found")), f"SELECT report_id, {_sql_categories(_vocabulary)} AS found FROM r")
+_on_reports("fx_anchor", lambda r: r.select("report_id", T.is_anchor(F.col("text")).alias("anchor")), f"SELECT report_id, {_sql_has(vocab.ATTACK_ANCHORS + vocab.OPERATION_ANCHORS + vocab.OTHER_ANCHORS)} AS anchor FROM r")
+_on_reports("fx_boundary", lambda r: r.select("report_id", T.has_boundary(F.col("text")).alias("boundary")), "SELECT report_id, report_id % 8 = 5 AS boundary FROM r")
+
+
+def _scored(r: DataFrame) -> DataFrame:
+    return r.withColumn("event_score", T.event_score(F.col("text"))).withColumn("admin_score", T.admin_score(F.col("text")))
+
+
+_on_reports("fx_event_score", lambda r: _scored(r).select("report_id", "event_score"), "SELECT report_id, event_score FROM d", f", {_D}")
+_on_reports("fx_admin_score", lambda r: _scored(r).select("report_id", "admin_score"), "SELECT report_id, admin_score FROM d", f", {_D}")
+_on_reports("fx_detect", lambda r: r.select("report_id", T.detect(F.col("text"))["class"].alias("class")), f"SELECT report_id, {_CLASS} AS class FROM d", f", {_D}")
+_on_reports("fx_date", lambda r: r.select("report_id", T.date_of(F.col("text")).cast("string").alias("date")), "SELECT report_id, CASE WHEN report_id % 8 < 6 THEN concat('2019-04-', lpad(CAST(day AS VARCHAR), 2, '0')) END AS date FROM r")
+_on_reports("fx_casualties", lambda r: r.select("report_id", casualties(F.col("text")).alias("c")).select("report_id", "c.killed", "c.injured"), "SELECT report_id, killed, injured FROM r")
+_on_reports("fx_sentences", lambda r: r.select("report_id", F.size(T.sentences(F.col("text"))).alias("n")), "SELECT report_id, CAST(CASE WHEN report_id % 8 < 6 THEN 2 ELSE 1 END AS INT) AS n FROM r")
+_on_reports("fx_csv", lambda r: r.select("report_id", F.size(T.csv_decode(T.csv_encode(F.array("city", "grp")))).alias("n")), "SELECT report_id, 2 AS n FROM r")
+_on_reports("fx_trim_sentence", lambda r: r.select("report_id", T.whole_sentence(F.concat("text", F.lit(" and so"))).alias("cut")), "SELECT report_id, text AS cut FROM r")
+_on_reports("q_preview", lambda r: r.select("report_id", T.preview(F.col("text"), 60).alias("preview")), "SELECT report_id, CASE WHEN length(text) > 60 THEN concat(text[:60], '...') ELSE text END AS preview FROM r")
+_on_reports("q_state_city", lambda r: r.where(F.col("city") == "Pune").select("report_id"), "SELECT report_id FROM r WHERE city = 'Pune'")
+_on_reports("q_attack", lambda r: r.where(F.array_join(T.attack_types(F.col("text")), ",").ilike("%bomb%")).select("report_id"), f"SELECT report_id FROM r WHERE {_sql_categories(vocab.ATTACK)} ILIKE '%bomb%'")
+_on_reports("q_date_range", lambda r: r.where(T.date_of(F.col("text")).between(F.lit("2019-04-05").cast("date"), F.lit("2019-04-11").cast("date"))).select("report_id"), "SELECT report_id FROM r WHERE report_id % 8 < 6 AND day BETWEEN 5 AND 11")
+_on_reports("fx_format_date", lambda r: r.select("report_id", T.format_date(F.lit(2019), F.col("day") % 13, F.col("day")).alias("d")), "SELECT report_id, concat('2019-', lpad(CAST(CASE WHEN day % 13 = 0 THEN 1 ELSE day % 13 END AS VARCHAR), 2, '0'), '-', lpad(CAST(day AS VARCHAR), 2, '0')) AS d FROM r")
+_on_reports("ag_counts", lambda r: r.groupBy("city").agg(F.count("*").alias("n"), F.sum("killed").alias("killed"), F.max("injured").alias("most")), "SELECT city, count(*) AS n, CAST(sum(killed) AS BIGINT) AS killed, max(injured) AS most FROM r GROUP BY city")
+
+
+def _flagship(r: DataFrame) -> DataFrame:
+    """Accepted reports by attack type and city: one scan, one small shuffle."""
+    accepted = r.where(T.detect(F.col("text"))["class"] == "ACCEPT")
+    exploded = accepted.select("city", "killed", F.explode(T.attack_types(F.col("text"))).alias("attack"))
+    return exploded.groupBy("attack", "city").agg(F.count("*").alias("n"), F.sum("killed").alias("killed"))
+
+
+_on_reports("flagship", _flagship, f"SELECT attack, city, count(*) AS n, CAST(sum(killed) AS BIGINT) AS killed FROM (SELECT city, killed, unnest(string_split({_sql_categories(vocab.ATTACK)}, ',')) AS attack FROM d WHERE {_CLASS} = 'ACCEPT') GROUP BY attack, city", f", {_D}")
+
+_add("fx_jaccard", lambda s, d: entity.neighbour_jaccard(s.read.parquet(f"{d}/documents.parquet")), r"""
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS w FROM documents)
+SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+_PAIRS = """p AS (SELECT a.doc, a.seq AS i, b.seq AS j, a.city AS ca, b.city AS cb, a.grp AS ga, b.grp AS gb, a.day AS da, b.day AS db FROM r a JOIN r b ON a.doc = b.doc AND a.seq < b.seq)"""
+_on_reports("er_should_merge", entity.merge_pairs, "SELECT doc, i, j FROM p WHERE CAST(abs(da - db) <= 1 AS INT) + CAST(ca = cb AS INT) + CAST(ga = gb AS INT) >= 2", f", {_PAIRS}")
+_on_reports("er_similarity", entity.pair_similarity, """SELECT doc, i, j, round(0.35::DOUBLE * CASE WHEN ca = cb THEN 1 ELSE -0.5::DOUBLE END + 0.25::DOUBLE * CASE WHEN da = db THEN 1 ELSE -0.5::DOUBLE END + 0.2::DOUBLE * CASE WHEN ga = gb THEN 0.5::DOUBLE ELSE 0 END
+ + 0.1::DOUBLE * CASE j - i WHEN 1 THEN 1 WHEN 2 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END, 6) AS similarity FROM p""", f", {_PAIRS}")
+_on_reports("er_cluster", entity.cluster_reports)
+_on_reports("er_dedup", entity.dedup_reports)
+_S.pop("er_cluster")
+_S.pop("er_dedup")
+_on_reports("snk_upsert", lambda r: entity.upsert(r.where("report_id % 2 = 0").select("report_id", "killed"), r.where("report_id % 3 = 0").select("report_id", (F.col("killed") + 1).alias("killed")), "report_id"),
+            "SELECT report_id, CAST(CASE WHEN report_id % 3 = 0 THEN killed + 1 ELSE killed END AS INT) AS killed FROM r WHERE report_id % 2 = 0 OR report_id % 3 = 0")
+
+_V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), k AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id IN (0, 20, 40, 60, 80) AND v.vec_id <> q.vec_id)"
+_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+
+
+def _knn(s: SparkSession, d: str, k: int = 10, where: str | None = None) -> DataFrame:
+    rows = s.read.parquet(f"{d}/embeddings.parquet")
+    return retrieval.nearest(rows if where is None else rows.where(where), rows.where("vec_id in (0, 20, 40, 60, 80)"), k)
+
+
+_add("r_query", lambda s, d: _knn(s, d).select("query_id", "rank", "vec_id", "score"), f"WITH {_V} SELECT query_id, CAST({_RANK} AS INT) AS rank, vec_id, score FROM k QUALIFY {_RANK} <= 10")
+_add("r_filtered", lambda s, d: _knn(s, d, 5, "label = 3").select("query_id", "rank", "vec_id", "score"), f"WITH {_V} SELECT query_id, CAST({_RANK} AS INT) AS rank, vec_id, score FROM k WHERE label = 3 QUALIFY {_RANK} <= 5")
+_add("w_window", lambda s, d: retrieval.similarity_window(_knn(s, d)).select("query_id", "vec_id", "score"), f"WITH {_V}, t AS (SELECT * FROM k QUALIFY {_RANK} <= 10) SELECT query_id, vec_id, score FROM t QUALIFY score >= max(score) OVER (PARTITION BY query_id) - 0.05")
+_add("ag_mrr", lambda s, d: retrieval.mean_reciprocal_rank(_knn(s, d).withColumn("relevant", F.col("label") == F.col("query_label"))), f"""WITH {_V}, t AS (SELECT query_id, label = ql AS relevant, {_RANK} AS rank FROM k QUALIFY {_RANK} <= 10), f AS (SELECT query_id, min(rank) FILTER (relevant) AS first FROM t GROUP BY query_id)
+SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(CAST(coalesce(first <= 1, false) AS INT)), 6) AS hit1, round(avg(CAST(coalesce(first <= 5, false) AS INT)), 6) AS hit5, round(avg(CAST(coalesce(first <= 10, false) AS INT)), 6) AS hit10 FROM f""")
+_add("w_budget", lambda s, d: retrieval.budget(s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("block")), 1200).select("query_id", "rank", F.length("block").alias("n")), """
+WITH c AS (SELECT conv_id AS query_id, turn AS rank, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS cum, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+x AS (SELECT *, 1200 - (cum - n) AS room, min(CASE WHEN cum > 1200 THEN i END) OVER (PARTITION BY query_id) AS cross_at FROM c)
+SELECT query_id, rank, CAST(CASE WHEN i = cross_at THEN room + length('... [TRUNCATED]') + 2 ELSE n END AS INT) AS n FROM x WHERE cross_at IS NULL OR i < cross_at OR (i = cross_at AND room > 200)""")
+_QUESTIONS = ["List all bombings in Mumbai in 2008", "How many police were attacked in 2010 and 2011?", "Compare kidnapping and arson", "What happened at the temple market?", "top trends of gun attacks on soldiers", "Tell me about the grenade blast near the airport", ""]
+_QV = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_QUESTIONS)) + ") AS t(id, question))"
+
+
+def _questions(s: SparkSession) -> DataFrame:
+    return s.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_QUESTIONS)) + " AS t(id, question)")
+
+
+def _sql_first(labels: dict[str, str], plural: str = "") -> str:
+    return "CASE " + " ".join(rf"WHEN regexp_matches(lower(question), '\b{k}{plural}\b') THEN '{v}'" for k, v in labels.items()) + " END"
+
+
+_add("qf_filters", lambda s, d: _questions(s).select("id", F.array_join(T.query_years(F.col("question")), ",").alias("years"), T.first_label(F.col("question"), vocab.QUERY_ATTACK, True).alias("attack"), T.first_label(F.col("question"), vocab.QUERY_TARGET).alias("target"), T.first_label(F.col("question"), vocab.QUERY_WEAPON).alias("weapon"), F.array_join(T.document_words(F.col("question")), ",").alias("words")),
+     rf"WITH {_QV} SELECT id, array_to_string(regexp_extract_all(question, '\b(?:19\d{{2}}|20\d{{2}})\b'), ',') AS years, {_sql_first(vocab.QUERY_ATTACK, 's?')} AS attack, {_sql_first(vocab.QUERY_TARGET)} AS target, {_sql_first(vocab.QUERY_WEAPON)} AS weapon, array_to_string(list_filter({vocab.DOCUMENT_WORDS}, lambda w: contains(lower(question), w)), ',') AS words FROM q")
+_add("qf_classify", lambda s, d: _questions(s).select("id", T.classify_query(F.col("question")).alias("class"), T.is_broad(F.col("question")).alias("broad")),
+     f"WITH {_QV} SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{T.alternation(w, False)}') THEN '{c}'" for c, w in vocab.QUERY_CLASSES.items()) + f" ELSE 'summary' END AS class, regexp_matches(lower(question), '{T.alternation(vocab.BROAD, False)}') AS broad FROM q")
+_add("ag_fieldmetrics", lambda s, d: retrieval.field_metrics(s.read.parquet(f"{d}/labels.parquet")), "SELECT field, count(*) AS n, round(avg(right_), 6) AS accuracy FROM (SELECT 'quality' AS field, CAST(quality = 1 AS INT) AS right_ FROM labels UNION ALL SELECT 'toxic', CAST(toxic = 0 AS INT) FROM labels) GROUP BY field")
+_add("e1_tumbling", lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("start").alias("start"), "event_type", "n"), "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
