@@ -30,43 +30,41 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import shared
-from quillon.llm.shared import Bloom, WordHash, array_parts, block_pairs, byte_texts, emit, save, signed64, words
+from quillon.llm.shared import Bloom, array_parts, block_pairs, buffers, emit, mixed, save, signed64, slices, word_hashes
 
 SKETCH = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
-_HASHES = WordHash()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts with repeats, and where each text's begin."""
+    h, at = word_hashes(*buffers(column))
+    n = np.diff(at)
+    count = np.where(n >= width, n - width + 1, (n > 0).astype(n.dtype))
+    begins = np.concatenate([[0], np.cumsum(count)])
+    first = np.repeat(at[:-1] - begins[:-1], count) + np.arange(begins[-1])  # a shingle's first word
+    padded = np.concatenate([h, np.zeros(width, np.uint64)])
+    s = padded[first]
+    for k in range(1, width):
+        s = s * _P + padded[first + k]
+    for d in np.flatnonzero((n > 0) & (n < width)):  # the whole sequence; its length keeps it apart
+        x = np.full(1, n[d], np.uint64)
+        for k in range(at[d], at[d + 1]):
+            x = x * _P + h[k : k + 1]
+        s[begins[d]] = x[0]
+    return mixed(s), begins
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    with np.errstate(over="ignore"):
-        for text in texts:
-            found = words(text)
-            n = len(found)
-            if not n:
-                yield np.zeros(0, np.uint64)
-                continue
-            h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, n)
-            if n < width:  # the whole sequence; its length keeps it apart from full shingles
-                s = np.uint64(n)
-                for x in h:
-                    s = s * _P + x
-                yield mixed(np.array([s], np.uint64))
-                continue
-            s = h[: n - width + 1].copy()
-            for k in range(1, width):
-                s = s * _P + h[k : n - width + 1 + k]
-            yield np.unique(mixed(s))
+    s, begins = shingles(column, width)
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        x = np.sort(s[a:b])
+        yield x[np.concatenate([[True], x[1:] != x[:-1]])] if b - a > 1 else x
 
 
 def needed(n: int, percent: int) -> int:
@@ -80,16 +78,14 @@ _FULL = pa.schema([("id", pa.int64()), ("s", pa.binary())])
 
 
 def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents have a shingle in each of ``SKETCH`` cells, over all documents."""
+    """How often the shingles of each of ``SKETCH`` cells occur, over all documents."""
 
     def count(batches):
         acc = np.zeros(SKETCH, np.int32)
         for b in batches:
-            for s in shingle_sets(byte_texts(b.column(0)), width):
-                if len(s):
-                    acc += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=0 or SKETCH).astype(np.int32) if len(s) > SKETCH // 8 else 0
-                    if len(s) <= SKETCH // 8:
-                        np.add.at(acc, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            for part in slices(b, 2048):
+                cells = (shingles(part.column(0), width)[0] & np.uint64(SKETCH - 1)).astype(np.int32)
+                acc += np.bincount(cells, minlength=SKETCH).astype(np.int32)
         yield from array_parts(acc)
 
     return shared.reduce_arrays(docs.select("text").mapInArrow(count, shared._PART_SQL), SKETCH, "int32", "add")
@@ -101,14 +97,13 @@ def sets_of(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> D
 
     def make(batches):
         counts = held.value
-        for b in batches:
-            ids = b.column(0)
+        for b in (part for batch in batches for part in slices(batch)):
             cols: dict[str, list] = {k: [] for k in ("n", "h1", "h2", "gid", "prefix", "sig")}
-            for s in shingle_sets(byte_texts(b.column(1)), width):
+            for s in shingle_sets(b.column(1), width):
                 n = len(s)
                 cols["n"].append(n)
                 if not n:
-                    for k, v in (("h1", 0), ("h2", 0), ("gid", 0), ("prefix", []), ("sig", bytes(64))):
+                    for k, v in (("h1", 0), ("h2", 0), ("gid", 0), ("prefix", s.view(np.int64)), ("sig", bytes(64))):
                         cols[k].append(v)
                     continue
                 c = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
@@ -119,7 +114,9 @@ def sets_of(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> D
                 cols["gid"].append(signed64(xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)))
                 cols["prefix"].append(prefix)
                 cols["sig"].append(np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes())
-            yield emit(_SETS, {"doc_id": ids.cast(pa.int64())} | cols)
+            ends = np.cumsum([0] + [len(p) for p in cols["prefix"]]).astype(np.int32)
+            cols["prefix"] = pa.ListArray.from_arrays(ends, np.concatenate(cols["prefix"] or [np.zeros(0, np.int64)]))
+            yield emit(_SETS, {"doc_id": b.column(0).cast(pa.int64())} | cols)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, _SETS_SQL)
 
@@ -131,19 +128,20 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, p
     bits, log = bloom.bits, bloom.log
 
     def fetch(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1024)):
             ids = b.column(0)
             hit = Bloom.test(bits.value, log, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
             keep = b.filter(pa.array(hit))
             if keep.num_rows:
-                yield emit(_FULL, {"id": keep.column(0), "s": [s.tobytes() for s in shingle_sets(byte_texts(keep.column(1)), width)]})
+                yield emit(_FULL, {"id": keep.column(0), "s": [s.tobytes() for s in shingle_sets(keep.column(1), width)]})
 
     def test(batches):
         for b in batches:
-            a, c, x, y = (col.to_pylist() for col in b.columns)
+            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
+            (xs, x), (ys, y) = buffers(b.column(2)), buffers(b.column(3))
             good = []
             for i in range(len(a)):
-                p, q = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+                p, q = x[xs[i] : xs[i + 1]].view(np.uint64), y[ys[i] : ys[i + 1]].view(np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 if len(p) and len(p) * 100 >= percent * len(q):
@@ -174,41 +172,54 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     real = sets.where("n > 0 and doc_id is not null")
     # copies of one set are one class; classes with the same prefix and size one group
     classes = save(spark, real.groupBy("gid", "n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    for k in range(8):
+        classes = classes.withColumn(f"s{k}", F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long"))
+    classes = classes.drop("sig")
     groups = classes.groupBy("gid").agg(F.min("rep").alias("lead"), F.count("*").alias("members"))
 
     postings = real.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = postings.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("token")
-    index = save(spark, postings.join(tokens, "token").groupBy("token", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
+    dealt = postings.repartition("token")
+    # it looks at all columns, so that both uses need the same exchange, which then runs once
+    tokens = dealt.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("p")).where("lo <> hi and n > 0 and p >= 0").select("token")
+    index = save(spark, dealt.join(tokens, "token").groupBy("token", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
+
+    def fits(l: str, r: str) -> Column:
+        """Whether sizes and signatures leave room for a link."""
+        n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
+        differ = sum((F.bit_count(F.col(f"{l}.s{k}").bitwiseXOR(F.col(f"{r}.s{k}"))) for k in range(1, 8)), F.bit_count(F.col(f"{l}.s0").bitwiseXOR(F.col(f"{r}.s0"))))
+        return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * least(n, m))
+
+    def least(n: Column, m: Column) -> Column:
+        """Common shingles that a link needs."""
+        return F.ceil((n + m) * percent / (100 + percent))
 
     sized = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    sketch = [f"s{k}" for k in range(8)]
     # one leader per token, and one per group
     leads = index.groupBy("token").agg(F.min("gid").alias("lead_gid"), F.min(F.struct("gid", "n")).alias("l")).select("token", "lead_gid", F.col("l.n").alias("m"))
     star = index.join(leads, "token").where("gid <> lead_gid").where(sized).select("lead_gid", "gid").distinct()
-    heads = groups.select(F.col("gid").alias("lead_gid"), F.col("lead").alias("a"))
-    members = classes.select("gid", F.col("rep").alias("b"))
-    inside = members.join(groups.where("members > 1").select("gid", F.col("lead").alias("a")), "gid").select("a", "b")
-    first = star.join(heads, "lead_gid").join(members, "gid").select("a", "b").union(inside)
+    heads = groups.select(F.col("gid").alias("lead_gid"), F.col("lead").alias("rep")).join(classes.select("rep", "n", *sketch), "rep").alias("l")
+    met = star.join(heads, "lead_gid").join(classes.select("gid", "rep", "n", *sketch).alias("r"), "gid").where(fits("l", "r"))
+    first = met.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    several = groups.where("members > 1").select("gid", "lead")
+    first = first.union(classes.join(several, "gid").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = save(spark, ordered(first), "tried")
     edges = verify(spark, docs, tried, width, percent)
     comp = save(spark, shared.components(spark, edges), "comp")
 
     # what is still apart: members of a token's groups, or of one group, in several components
-    rows = index.join(classes.select("gid", "rep", "sig"), "gid").select(F.col("token").alias("key"), "rep", "n", "pos", "sig", F.lit(0).alias("kind"))
-    rows = rows.union(classes.join(groups.where("members > 1").select("gid"), "gid").select("gid", "rep", "n", F.lit(0), "sig", F.lit(1)))
+    rows = index.join(classes.select("gid", "rep"), "gid").select(F.col("token").alias("key"), "rep", "n", "pos", F.lit(0).alias("kind"))
+    rows = rows.union(classes.join(several, "gid").select("gid", "rep", "n", F.lit(0), F.lit(1)))
     rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     rows = rows.withColumn("key", F.xxhash64("key", "kind"))
-    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    for k in range(8):
-        rows = rows.withColumn(f"s{k}", F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long"))
-    apart = save(spark, rows.drop("sig", "kind").join(keys.select("key"), "key").distinct(), "apart")
-    left, right = block_pairs(apart, "key", "rep", keys.select("key", "n"), block)
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
+    apart = rows.drop("kind").join(keys.select("key"), "key").distinct().join(classes.select("rep", *sketch).dropDuplicates(["rep"]), "rep")
+    apart = save(spark, apart, "apart")
+    left, right = block_pairs(apart, "key", "rep", keys.select("key", "count"), block)
     l, r = left.alias("l"), right.alias("r")
-    both = F.col("l.n") + F.col("r.n")
-    differ = sum((F.bit_count(F.col(f"l.s{k}").bitwiseXOR(F.col(f"r.s{k}"))) for k in range(1, 8)), F.bit_count(F.col("l.s0").bitwiseXOR(F.col("r.s0"))))
-    least = F.ceil(both * percent / (100 + percent))  # common shingles that a link needs
-    fits = (F.least("l.n", "r.n") * 100 >= percent * F.greatest("l.n", "r.n")) & (F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) >= least) & (differ <= both - 2 * least)
-    met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & fits)
+    room = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) >= least(F.col("l.n"), F.col("r.n"))
+    met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & room & fits("l", "r"))
     second = met.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     second = save(spark, second, "second")
     if not second.isEmpty():

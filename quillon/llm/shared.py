@@ -259,8 +259,8 @@ def block_pairs(rows: DataFrame, key: str, member: str, counts: DataFrame, block
     """Left and right sides of a self-join on ``key`` in which a key with more than
     ``block`` rows is dealt out as pairs of blocks, so no task meets more than
     ``block`` x ``block`` rows of a key. Every pair of rows meets exactly once, as
-    (left, right). ``counts`` has ``key`` and ``n``."""
-    with_n = rows.join(counts.select(key, F.ceil(F.col("n") / block).cast("int").alias("_nb")), key)
+    (left, right). ``counts`` has ``key`` and ``count``."""
+    with_n = rows.join(counts.select(key, F.ceil(F.col("count") / block).cast("int").alias("_nb")), key)
     own = with_n.withColumn("_own", F.pmod(F.xxhash64(member, F.lit(71)), F.col("_nb")).cast("int"))
     other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     left = other.withColumnRenamed("_own", "_x").withColumnRenamed("_other", "_y").drop("_nb")
