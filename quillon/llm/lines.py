@@ -6,7 +6,8 @@ them stays whole in any line within distance k, so segments are indexed under (l
 number, text) and a line of length L probes the indexes of lengths L - k .. L with
 only those substrings whose place allows k edits in all (multi-match-aware windows).
 Candidates are verified over whole lines by banded bit-parallel edit distance after
-common ends are cut off.
+common ends are cut off. First each line meets one leader of its key, then only lines
+that are still in different components meet.
 
 Equal lines are one node, by their 128-bit MD5 digest. Index keys that many lines
 share are dealt out as pairs of blocks. Candidates carry 64 bits of the digest; the
@@ -34,7 +35,7 @@ from quillon.llm import shared
 from quillon.llm.shared import Bloom, block_pairs, emit, save, slices
 
 DISTANCE, MIN_CHARS = 2, 20
-_KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("role", pa.int8())])
+_KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("role", pa.int8()), ("bag", pa.int64())])
 _LINES = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("line", pa.string())])
 _FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 INDEXED, PROBED = 1, 2
@@ -124,6 +125,18 @@ def edit_distance(a: str, b: str, k: int) -> int:
     return min(score, k + 1)
 
 
+def bags(lines: list[str]) -> np.ndarray:
+    """For each line, 64 parities of hashed pairs of neighbouring characters. An edit makes and
+    unmakes at most four pairs, so lines within distance k differ in at most 4 k bits."""
+    n = np.array([len(x) for x in lines])
+    chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    pair = ((chars[:-1] * np.uint32(0x9E3779B1) ^ chars[1:]) * np.uint32(0x85EBCA77)) >> np.uint32(26)
+    of = np.repeat(np.arange(len(lines), dtype=np.int64) * 64, n)
+    same = of[:-1] == of[1:]
+    odd = np.bincount((of[:-1] + pair)[same], minlength=64 * len(lines)).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel()
+
+
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, line_no, digest of every line that is compared."""
     exploded = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= min_chars)
@@ -136,8 +149,8 @@ def _keys(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
     def make(batches):
         layouts: dict[int, list] = {}
         seen: set[int] = set()
-        for part in (p for b in batches for p in slices(b, 512)):
-            keys, ids, roles = [], [], bytearray()
+        for part in (p for b in batches for p in slices(b)):
+            keys, ids, roles, new, times = [], [], bytearray(), [], []
             for text in part.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
                     n = len(line)
@@ -160,28 +173,18 @@ def _keys(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
                     else:
                         keys += [xxhash.xxh64_intdigest(line[a:e].encode(), seed) for seed, a, e, _ in where]
                     ids += [own] * len(where)
+                    new.append(line)
+                    times.append(len(where))
                     roles += bytes(r for *_, r in where)
             if keys:
-                yield emit(_KEYS, {"key": np.array(keys, np.uint64).view(np.int64), "id": np.array(ids, np.int64), "role": np.frombuffer(bytes(roles), np.int8)})
+                yield emit(_KEYS, {"key": np.array(keys, np.uint64).view(np.int64), "id": np.array(ids, np.int64), "role": np.frombuffer(bytes(roles), np.int8), "bag": np.repeat(bags(new), times)})
 
-    return docs.select("text").mapInArrow(make, "key long, id long, role byte")
-
-
-def _candidates(spark: SparkSession, docs: DataFrame, k: int, min_chars: int, block: int) -> DataFrame:
-    """Pairs (a < b) of 64-bit line ids that share an index key."""
-    dealt = _keys(docs, k, min_chars).repartition("key")
-    several = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    rows = save(spark, dealt.join(several, "key").distinct(), "segments")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    left, right = block_pairs(rows, "key", "id", counts, block)
-    left, right = left.where(F.col("role").bitwiseAND(INDEXED) > 0).alias("l"), right.where(F.col("role").bitwiseAND(PROBED) > 0).alias("r")
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.id") != F.col("r.id")))
-    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    return docs.select("text").mapInArrow(make, "key long, id long, role byte, bag long")
 
 
-def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS, block: int = 512) -> DataFrame:
-    """Pairs (a < b) of digests of different lines within distance k."""
-    pairs = save(spark, _candidates(spark, docs, k, min_chars, block), "pairs")
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """Of pairs (a, b) of 64-bit line ids, those within distance k, as digests. The lines are read
+    again; a Bloom filter keeps the others out of the shuffle."""
     bloom = Bloom(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
     bits, log = bloom.bits, bloom.log
 
@@ -219,23 +222,51 @@ def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_char
     return links
 
 
+def edit_components(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS, block: int = 512) -> DataFrame:
+    """(node, comp): digests of the lines that link with others, and their component's smallest.
+
+    First the lines of an index key are verified against one of them, a linear number of
+    pairs. Pairs are generated only where a key's lines are then still in different
+    components: links within one can't change it."""
+    dealt = _keys(docs, k, min_chars).repartition("key")
+    # it looks at all columns, so that both uses need the same exchange, which then runs once
+    several = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("r"), F.max("bag").alias("g")).where("lo <> hi and r > 0 and g is not null").select("key")
+    rows = save(spark, dealt.join(several, "key").distinct(), "segments")
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    indexed, probed = F.col("role").bitwiseAND(INDEXED) > 0, F.col("role").bitwiseAND(PROBED) > 0
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 4 * k
+    lead = rows.groupBy("key").agg(F.min(F.when(indexed, F.struct("id", "bag"))).alias("l")).where("l is not null")
+    tried = save(spark, ordered(rows.where(probed).join(lead, "key").where(close("bag", "l.bag")).select(F.col("l.id").alias("a"), F.col("id").alias("b"))), "tried")
+    links = verified(spark, docs, tried, k, min_chars)
+    comp = save(spark, shared.components(spark, links), "comp")
+
+    head = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
+    apart = rows.join(comp.select(head("node").alias("id"), head("comp").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    keys = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
+    apart = save(spark, apart.join(keys.select("key"), "key"), "apart")
+    left, right = block_pairs(apart, "key", "id", keys.select("key", "count"), block)
+    left, right = left.where(indexed).alias("l"), right.where(probed).alias("r")
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.id") != F.col("r.id")) & (F.col("l.comp") != F.col("r.comp")) & close("l.bag", "r.bag"))
+    second = save(spark, ordered(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "second")
+    if not second.isEmpty():
+        comp = save(spark, shared.components(spark, links.union(verified(spark, docs, second, k, min_chars))), "comp")
+    return comp
+
+
 def line_classes(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, class_doc_id, class_line_no, n_links, kept for every compared line of
-    ``docs`` (doc_id, text). n_links counts the other different lines within distance k."""
+    """doc_id, line_no, class_doc_id, class_line_no, kept for every compared line of ``docs``
+    (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    links = edit_links(spark, docs, k, min_chars)
+    comp = edit_components(spark, docs, k, min_chars)
     lines = save(spark, line_rows(docs, min_chars), "linerows")
     first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    comp = shared.components(spark, links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    linked = comp.join(first.withColumnRenamed("digest", "node"), "node").join(degree.withColumnRenamed("a", "node"), "node")
-    linked = save(spark, linked, "linked")
+    linked = save(spark, comp.join(first.withColumnRenamed("digest", "node"), "node"), "linked")
     names = linked.groupBy("comp").agg(F.min("first").alias("class"))
-    named = linked.join(names, "comp").select(F.col("node").alias("digest"), "class", "n_links")
-    classes = first.join(named, "digest", "left").select("digest", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = linked.join(names, "comp").select(F.col("node").alias("digest"), "class")
+    classes = first.join(named, "digest", "left").select("digest", F.coalesce("class", "first").alias("class"))
     out = lines.join(classes, "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no"))
-    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
+    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), kept.alias("kept"))
 
 
 @F.arrow_udf(StringType())
@@ -267,7 +298,7 @@ def remove_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every compared line of every document with its class, links and whether it is kept."""
+    """Every compared line of every document with its class and whether it is kept."""
     return line_classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
