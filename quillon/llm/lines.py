@@ -160,7 +160,7 @@ def _keys(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
                     own = digest64(hashlib.md5(raw).digest())
                     if own in seen:
                         continue
-                    if len(seen) > 400_000:
+                    if len(seen) > 150_000:
                         seen.clear()
                     seen.add(own)
                     where = layouts.get(n)
@@ -199,7 +199,7 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, min
             out = []
             for i in np.flatnonzero(Bloom.test(bits.value, log, ids)).tolist():
                 if digests[i] not in seen:
-                    if len(seen) > 400_000:
+                    if len(seen) > 150_000:
                         seen.clear()
                     seen.add(digests[i])
                     out.append(i)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -68,7 +69,7 @@ def _fields(data: bytes):
 class Transducer:
     """The compiled model. ``data`` is the model file's bytes."""
 
-    def __init__(self, data: bytes, remember: int = 200_000):
+    def __init__(self, data: bytes, remember: int = 120_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -99,7 +100,8 @@ class Transducer:
         for p in self.ids:
             self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.tree: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.arcs = dict(self.ids)
         self.known: list[dict[str, bytes]] = [{}, {}]
         self.worst = min(self.scores, default=0.0) - 10.0
         table = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (" ⁇ " if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
@@ -132,62 +134,66 @@ class Transducer:
     def apart(self, left: str, right: str) -> bool:
         """Whether merges leave the border between two pieces: undo the later of both sides'
         last merges again and again; no merge across the border may come before one undone."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            a, b, found = left, right, True
-            limit, undone_right = -np.inf, False  # the score of the merge undone last; higher scores merge first
-            while True:
-                cross = self.ids.get(a + b)
-                if cross is not None and ((s := self.scores[cross]) > limit or (s == limit and undone_right)):
-                    found = False
-                    break
-                sa = self.score(a) if len(a) > 1 else np.inf
-                sb = self.score(b) if len(b) > 1 else np.inf
-                if sa == sb == np.inf:
-                    break
-                if sb <= sa:  # of equal merges the left one comes first
-                    limit, undone_right, b = sb, True, self.split(b)[0]
-                else:
-                    limit, undone_right, a = sa, False, self.split(a)[1]
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            self.pairs[left, right] = found
-        return found
+        a, b = left, right
+        limit, undone_right = -np.inf, False  # the score of the merge undone last; higher scores merge first
+        while True:
+            cross = self.ids.get(a + b)
+            if cross is not None and ((s := self.scores[cross]) > limit or (s == limit and undone_right)):
+                return False
+            sa = self.score(a) if len(a) > 1 else np.inf
+            sb = self.score(b) if len(b) > 1 else np.inf
+            if sa == sb == np.inf:
+                return True
+            if sb <= sa:  # of equal merges the left one comes first
+                limit, undone_right, b = sb, True, self.split(b)[0]
+            else:
+                limit, undone_right, a = sa, False, self.split(a)[1]
 
     # --- shortest paths ---
 
-    def finite(self, text: str) -> list[str]:
-        """The only finite path through a part of a text, for models trained by merges: depth
-        first, longest arcs first. What a position can't be left by is known from then on, so
-        no arc is tried twice for one piece before it."""
-        n, ids, pairs, reach = len(text), self.ids, self.pairs, self.reach
-        out: list[str] = []
+    def finite(self, text: str) -> list[int]:
+        """The ids on the only finite path through a part of a text, for models trained by merges;
+        a character without pieces is -1 minus its code. Depth first, longest arcs first; a
+        position that can't be left is not tried again."""
+        n, arcs, pairs, reach, many = len(text), self.arcs, self.pairs, self.reach, len(self.pieces)
+        out: list[int] = []
+        sizes: list[int] = []
         dead = bytearray(n + 1)
-        at, size = 0, min(reach.get(text[:2], 1), n)
+        at, size, before = 0, min(reach.get(text[:2], 1), n), many
         while at < n:
-            piece = text[at : at + size]
-            if size and (piece in ids or size == 1) and not dead[at + size]:
-                fits = not out or pairs.get((out[-1], piece))
-                if fits is None:
-                    fits = out[-1] not in ids or piece not in ids or self.apart(out[-1], piece)
-                if fits and (size == 1 or self.made(piece)):
-                    out.append(piece)
+            i = arcs.get(text[at : at + size]) if size else None
+            if i is None and size == 1:
+                i = -1 - ord(text[at])
+            if i is not None and not dead[at + size]:
+                if i < 0 or before < 0:
+                    fits = i < 0 or self.made(self.pieces[i])
+                else:
+                    fits = pairs.get(before * many + i)
+                    if fits is None:
+                        if len(pairs) > 250_000:
+                            pairs.clear()
+                        right = self.pieces[i]
+                        fits = pairs[before * many + i] = self.made(right) and (before == many or self.apart(self.pieces[before], right))
+                if fits:
+                    out.append(i)
+                    sizes.append(size)
                     at += size
-                    size = min(reach.get(text[at : at + 2], 1), n - at)
+                    before, size = i, min(reach.get(text[at : at + 2], 1), n - at)
                     continue
             size -= 1
             if size < 1:
                 dead[at] = 1
-                size = len(out[-1])
-                at -= size
                 out.pop()
+                size = sizes.pop()
+                at -= size
                 size -= 1
+                before = out[-1] if out else many
         return out
 
     def path(self, text: str) -> list[str]:
         """The pieces on the shortest path through a part; a character without pieces stands for its bytes."""
         if self.merges:
-            return self.finite(text)
+            return [self.pieces[i] if i >= 0 else chr(-1 - i) for i in self.finite(text)]
         n = len(text)
         cost, back, last = [0.0] + [np.inf] * n, [0] * (n + 1), [""] * (n + 1)
         for end in range(1, n + 1):
@@ -229,7 +235,10 @@ class Transducer:
         if got is None:
             got = old.get(text)
             if got is None:
-                got = np.array(self.numbers(self.path(text)), np.int32).tobytes()
+                ids = self.finite(text) if self.merges else None
+                if ids is None or min(ids, default=0) < 0:
+                    ids = self.numbers(self.path(text))
+                got = array("i", ids).tobytes()
             if len(text) <= 64:
                 if len(new) >= self.remember:
                     self.known = [{}, new]
