@@ -121,7 +121,7 @@ def fit_chain(
 
 
 def train(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8000
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000
 ) -> Chain:
     """``targets``: (category, SQL condition over the label columns), in chain order."""
     ys = [f"_y{k}" for k in range(len(targets))]
@@ -164,7 +164,7 @@ def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text"
             for w in text_words(t):
                 fs = known.get(w)
                 if fs is None:
-                    if len(known) > 300_000:
+                    if len(known) > 100_000:
                         known.clear()
                     fs = known[w] = tuple(f for f in word_features(w) if f in wanted)
                 if fs:
