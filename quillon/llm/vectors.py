@@ -131,7 +131,34 @@ def near_links(spark: SparkSession, reps: DataFrame, cosine: float, tables: int,
             unique, first = np.unique(ids, return_index=True)
             place_of = np.searchsorted(unique, ids)
             vec = unit(_matrix(b.column("embedding").take(pa.array(first))))
-            where = buckets(vec, tables, width, seed)
+            waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            label_at = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[first].view(np.uint64)
+
+            def count():
+                """Counts the waiting links that this bucket is the first to see; only vectors with links are hashed."""
+                i, j, at_key = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                waiting.clear()
+                nodes = np.unique(np.concatenate([i, j]))
+                where = buckets(vec[nodes], tables, width, seed)
+                x, y = where[np.searchsorted(nodes, i)], where[np.searchsorted(nodes, j)]
+                # the first table, and in it the smallest bucket, that a pair shares
+                common = (x[:, :, :, None] == y[:, :, None, :]).any(axis=3)
+                t = common.any(axis=2).argmax(axis=1)
+                at = np.arange(len(i))
+                number = np.where(common[at, t], x[at, t], np.iinfo(np.int64).max).min(axis=1)
+                mine = mixed(number.view(np.uint64) * np.uint64(tables) + t.astype(np.uint64))
+                mine = mixed(mine + mixed(label_at[i] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(vec.shape[1])))
+                keep = mine.view(np.int64) == at_key
+                i, j = i[keep], j[keep]
+                for a, c in ((i, j), (j, i)):
+                    got = np.bincount(a, weights=mult[first[c]], minlength=len(unique))
+                    for k in np.flatnonzero(got).tolist():
+                        sums[int(unique[k])] = sums.get(int(unique[k]), 0) + int(got[k])
+                for a, c in zip(unique[i].tolist(), unique[j].tolist(), strict=True):
+                    ra, rc = root(a), root(c)
+                    if ra != rc:
+                        parent[max(ra, rc)] = min(ra, rc)
+
             order = np.lexsort((own, y, x, key))
             change = np.flatnonzero(np.diff(key[order]) | np.diff(x[order]) | np.diff(y[order])) + 1
             for rows_ in np.split(order, change):
@@ -147,24 +174,11 @@ def near_links(spark: SparkSession, reps: DataFrame, cosine: float, tables: int,
                 i, j = p[i[keep]], q[j[keep]]
                 if not len(i):
                     continue
-                # the first table, and in it the smallest bucket, that a pair shares
-                common = (where[i][:, :, :, None] == where[j][:, :, None, :]).any(axis=3)
-                t = common.any(axis=2).argmax(axis=1)
-                at = np.arange(len(i))
-                number = np.where(common[at, t], where[i, t], np.iinfo(np.int64).max).min(axis=1)
-                label = np.uint64(np.int64(b.column("label")[int(rows_[0])].as_py()).astype(np.uint64))
-                mine = mixed(number.view(np.uint64) * np.uint64(tables) + t.astype(np.uint64))
-                mine = mixed(mine + mixed(np.array([label]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(vec.shape[1])))
-                keep = mine.view(np.int64) == key[rows_[0]]
-                i, j = i[keep], j[keep]
-                for a, c in ((i, j), (j, i)):
-                    got = np.bincount(a, weights=mult[first[c]], minlength=len(unique))
-                    for k in np.flatnonzero(got).tolist():
-                        sums[int(unique[k])] = sums.get(int(unique[k]), 0) + int(got[k])
-                for a, c in zip(unique[i].tolist(), unique[j].tolist(), strict=True):
-                    ra, rc = root(a), root(c)
-                    if ra != rc:
-                        parent[max(ra, rc)] = min(ra, rc)
+                waiting.append((i, j, np.full(len(i), key[rows_[0]])))
+                if sum(len(w[0]) for w in waiting[-64:]) > 100_000 or len(waiting) > 20_000:
+                    count()
+            if waiting:
+                count()
         nodes = sorted(sums)
         return pa.table({"rep": nodes, "links": [sums[n] for n in nodes], "root": [root(n) for n in nodes]}, schema=_LINKS)
 
