@@ -4,13 +4,14 @@ Categories are label columns in a fixed order. A category's model is a logistic
 regression over selected word and word-beginning features plus the earlier
 categories' probabilities; those probabilities are out-of-fold when a model is
 trained, so a later model sees the errors that it will meet. Training takes at most
-``max_labelled`` labelled rows (lowest hash of the id first, a documented bound);
-scoring covers every row and whole texts.
+``max_labelled`` labelled rows (lowest hash of the id first, a documented bound), whose
+features executors find: the driver gets their 64-bit hashes, never a text. Scoring
+covers every row and whole texts.
 
 Defined results: a null or empty text has no features and gets the chain's base
 rates; rows without a label are scored, not trained on; a null label leaves the row
 out of training; without any usable label every probability is 0; repeated rows are
-scored each. A repeated id joins each of its labels.
+scored each. A repeated id joins each of its labels; the bound holds for the joined rows too.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quillon.llm.shared import byte_texts
 
@@ -33,20 +36,20 @@ def text_words(text: bytes) -> set[bytes]:
     return set(text.translate(_TABLE).split())
 
 
-def word_features(word: bytes) -> list[bytes]:
-    """The word, and its first 4, 5 and 6 characters where it is longer: insults
+def word_features(word: bytes) -> tuple[int, ...]:
+    """Hashes of the word, and of its first 4, 5 and 6 characters where it is longer: insults
     appear inflected, as stems of otherwise unseen words."""
     s = word.decode("utf-8", "replace")
-    return [b"w" + word] + [b"p" + s[:k].encode() for k in PREFIXES if len(s) > k]
+    return tuple(xxhash.xxh3_64_intdigest(f) for f in [b"w" + word] + [b"p" + s[:k].encode() for k in PREFIXES if len(s) > k])
 
 
 @dataclass
 class Chain:
     categories: list[str]
-    features: list[dict[bytes, int]] = field(default_factory=list)
+    features: list[dict[int, int]] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)  # features, earlier categories, bias
 
-    def predict(self, docs: list[set[bytes]]) -> np.ndarray:
+    def predict(self, docs: list[set[int]]) -> np.ndarray:
         out = np.zeros((len(docs), len(self.categories)))
         for k, (index, w) in enumerate(zip(self.features, self.weights, strict=True)):
             z = np.full(len(docs), w[-1])
@@ -58,7 +61,7 @@ class Chain:
         return out
 
 
-def _select(docs: list[np.ndarray], y: np.ndarray, names: list[bytes], count: int, least: int) -> dict[int, int]:
+def _select(docs: list[np.ndarray], y: np.ndarray, names: np.ndarray, count: int, least: int) -> dict[int, int]:
     """The ``count`` features with the largest chi-square against the label, among those in ``least`` rows."""
     if not len(docs):
         return {}
@@ -68,8 +71,8 @@ def _select(docs: list[np.ndarray], y: np.ndarray, names: list[bytes], count: in
     n1, n0, a = float(y.sum()), float(len(y) - y.sum()), a0 + a1
     chi = (a1 * (n0 - a0) - a0 * (n1 - a1)) ** 2 * (n0 + n1) / np.maximum(1.0, a * (n0 + n1 - a) * n0 * n1)
     good = np.flatnonzero((a >= least) & (chi > 6.6))
-    best = sorted((-chi[j], names[j], int(j)) for j in good)[:count]
-    return {j: i for i, (_, _, j) in enumerate(best)}
+    best = good[np.lexsort((names[good], -chi[good]))][:count]
+    return {int(j): i for i, j in enumerate(best)}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 15) -> np.ndarray:
@@ -101,7 +104,7 @@ def _matrix(docs: list[np.ndarray], index: dict[int, int], earlier: np.ndarray)
 
 
 def fit_chain(
-    docs: list[np.ndarray], names: list[bytes], labels: np.ndarray, categories: list[str], folds: int = 4, count: int = 256, least: int = 5, l2: float = 0.5
+    docs: list[np.ndarray], names: np.ndarray, labels: np.ndarray, categories: list[str], folds: int = 4, count: int = 256, least: int = 5, l2: float = 0.5
 ) -> Chain:
     """``docs`` hold distinct places in ``names``, in a fixed order; fold i takes every ``folds``-th row."""
     chain, fold = Chain(list(categories)), np.arange(len(docs)) % folds
@@ -115,36 +118,48 @@ def fit_chain(
                 own = _select([d for d, h in zip(docs, held, strict=True) if not h], y[~held], names, count, least)
                 x = _matrix(docs, own, out_of_fold[:, :k])
                 out_of_fold[held, k] = 1 / (1 + np.exp(-np.clip(x[held] @ _fit(x[~held], y[~held], l2), -40, 40)))
-        chain.features.append({names[j]: i for j, i in index.items()})
+        chain.features.append({int(names[j]): i for j, i in index.items()})
         chain.weights.append(_fit(_matrix(docs, index, out_of_fold[:, :k]), y, l2) if len(docs) else np.array([0.0] * k + [-40.0]))
     return chain
 
 
 def train(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8000, least: int = 5
 ) -> Chain:
     """``targets``: (category, SQL condition over the label columns), in chain order."""
     ys = [f"_y{k}" for k in range(len(targets))]
     picked = labels.select(F.col(id_col).alias("_id"), *[F.expr(cond).cast("int").alias(y) for y, (_, cond) in zip(ys, targets, strict=True)]).dropna()
     picked = picked.orderBy(F.xxhash64("_id"), "_id", *ys).limit(max_labelled)  # a bounded table
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows, names, known = [], {}, {}
-    for r in texts.join(F.broadcast(picked), "_id").select("_id", "_text", *ys).toLocalIterator():
-        ids: set[int] = set()
-        for w in text_words((r[1] or "").encode("utf-8", "replace")):
-            fs = known.get(w)
-            if fs is None:
-                fs = known[w] = tuple(names.setdefault(f, len(names)) for f in word_features(w))
-            ids.update(fs)
-        rows.append((r[0], tuple(r[2:]), np.array(sorted(ids), np.int32)))
-        if len(known) > 400_000:
-            known.clear()
-    listed = list(names)
-    order = sorted(range(len(listed)), key=listed.__getitem__)  # places that don't hang on the order of arrival
-    place = np.empty(len(listed), np.int32)
-    place[order] = np.arange(len(listed), dtype=np.int32)
-    found = sorted(((i, y, np.sort(place[d])) for i, y, d in rows), key=lambda r: (r[0], r[1], r[2].tobytes()))
-    return fit_chain([d for _, _, d in found], [listed[j] for j in order], np.array([y for _, y, _ in found], float).reshape(len(found), len(targets)), [c for c, _ in targets])
+    joined = texts.join(F.broadcast(picked), "_id").select("_id", *ys, F.xxhash64("_text").alias("_t"), feature_hashes("_text").alias("_f"))
+    joined = joined.orderBy(F.xxhash64("_id"), "_id", *ys, "_t").limit(max_labelled)  # ids may repeat in the documents
+    found = sorted((r[0], tuple(r[1:-2]), r[-1]) for r in joined.toLocalIterator())
+    hashes = [np.frombuffer(f, np.uint64) for _, _, f in found]
+    names, rows = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_counts=True)
+    names = names[rows >= least]  # rarer ones are never selected
+    places = []
+    for h in hashes:
+        at = np.searchsorted(names, h)
+        places.append(at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == h)].astype(np.int32) if len(names) else at[:0].astype(np.int32))
+    return fit_chain(places, names, np.array([y for _, y, _ in found], float).reshape(len(found), len(targets)), [c for c, _ in targets], least=least)
+
+
+@F.arrow_udf(BinaryType())
+def feature_hashes(texts: pa.Array) -> pa.Array:
+    """A text's distinct features, as sorted 64-bit hashes."""
+    known, out = {}, []
+    for k in range(0, len(texts), 256):
+        for t in byte_texts(texts.slice(k, 256)):
+            hits: set[int] = set()
+            for w in text_words(t):
+                fs = known.get(w)
+                if fs is None:
+                    if len(known) > 100_000:
+                        known.clear()
+                    fs = known[w] = word_features(w)
+                hits.update(fs)
+            out.append(np.sort(np.fromiter(hits, np.uint64, len(hits))).tobytes())
+    return pa.array(out, pa.binary())
 
 
 def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text") -> Column:
@@ -158,19 +173,22 @@ def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text"
         if _KNOWN.get("model") is not model:
             _KNOWN.update(model=model, words={})
         known: dict[bytes, tuple] = _KNOWN["words"]
-        docs = []
-        for t in byte_texts(texts):
-            hits: set[bytes] = set()
-            for w in text_words(t):
-                fs = known.get(w)
-                if fs is None:
-                    if len(known) > 100_000:
-                        known.clear()
-                    fs = known[w] = tuple(f for f in word_features(w) if f in wanted)
-                if fs:
-                    hits.update(fs)
-            docs.append(hits)
-        return pa.array([p.tolist() for p in model.predict(docs)], pa.list_(pa.float64()))
+        out: list[list[float]] = []
+        for k in range(0, len(texts), 256):
+            docs = []
+            for t in byte_texts(texts.slice(k, 256)):
+                hits: set[int] = set()
+                for w in text_words(t):
+                    fs = known.get(w)
+                    if fs is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        fs = known[w] = tuple(f for f in word_features(w) if f in wanted)
+                    if fs:
+                        hits.update(fs)
+                docs.append(hits)
+            out += model.predict(docs).tolist()
+        return pa.array(out, pa.list_(pa.float64()))
 
     return score(text)
 
