@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions import vocab
 from quillon.functions.casualties import casualties
-from quillon.operators import entity, retrieval
+from quillon.functions.location import location
+from quillon.functions.organisations import organisations
+from quillon.operators import entity, incidents, ranking, retrieval
+from quillon.sources import datasets, files
+from quillon.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +168,80 @@ _add("ag_fieldmetrics", lambda s, d: retrieval.field_metrics(s.read.parquet(f"{d
 _add("e1_tumbling", lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("start").alias("start"), "event_type", "n"), "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 
 
+# Places, organisations and whole incidents of rendered reports.
+_STATE = "CASE city WHEN 'Srinagar' THEN 'Jammu and Kashmir' WHEN 'Jammu' THEN 'Jammu and Kashmir' WHEN 'Mumbai' THEN 'Maharashtra' WHEN 'Pune' THEN 'Maharashtra' WHEN 'Delhi' THEN 'Delhi' WHEN 'Imphal' THEN 'Manipur' WHEN 'Patna' THEN 'Bihar' END"
+_on_reports("fx_location", lambda r: r.select("report_id", location(F.col("text")).alias("l")).select("report_id", "l.*"), f"SELECT report_id, 'India' AS country, {_STATE} AS state, city, 1.0::DOUBLE AS confidence FROM r")
+_CLAIM = "concat(text, ' The ', CASE report_id % 3 WHEN 0 THEN 'Taliban' WHEN 1 THEN 'JeM' ELSE 'Boko Haram' END, ' claimed responsibility. 4 CRPF men were hurt.')"
+_on_reports("fx_orgs", lambda r: r.select("report_id", organisations(F.expr(_CLAIM)).alias("o")).select("report_id", F.array_contains("o.targets", "CRPF").alias("hit"), F.exists("o.groups", lambda g: g.isin("Taliban", "JeM", "Boko Haram")).alias("claimed")), "SELECT report_id, true AS hit, true AS claimed FROM r")
+_FOUND = f"SELECT report_id AS doc_id, CASE WHEN told THEN concat('2019-04-', lpad(CAST(day AS VARCHAR), 2, '0')) ELSE '' END AS date, CASE WHEN told THEN city ELSE '' END AS city, CASE WHEN told THEN {_STATE} ELSE '' END AS state, CASE WHEN hurt THEN killed ELSE 0 END AS killed, CASE WHEN hurt THEN injured ELSE 0 END AS injured FROM r, (VALUES (true, true, 0, 4), (true, false, 5, 5), (false, true, 5, 5)) AS t(told, hurt, a, b) WHERE report_id % 8 BETWEEN a AND b"
+_on_reports("er_build", lambda r: incidents.build(r.select(F.col("report_id").alias("doc_id"), "text")).select("doc_id", "date", "city", "state", "killed", "injured"), _FOUND)
+
+
+# Sources: bytes made of pages, coded rows and JSON made of reports.
+_BYTES = "CASE page_id % 5 WHEN 0 THEN unhex('255044462D') WHEN 1 THEN unhex('89504E470D0A') WHEN 2 THEN unhex('00010203') WHEN 3 THEN unhex('') ELSE encode(concat('Caf', chr(233), ' '), 'ISO-8859-1') END"
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id"), F.col("url").alias("path"), F.expr(f"concat({_BYTES}, encode(coalesce(html, ''), 'UTF-8'))").alias("content"))
+
+
+_add("src_classify", lambda s, d: _files(s, d).select("page_id", files.category(F.col("content")).alias("kind")), "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'IMAGE' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN CASE WHEN coalesce(html, '') = '' THEN 'UNKNOWN' ELSE 'TXT' END ELSE 'TXT' END AS kind FROM pages")
+_add("src_txt", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", files.line_count(files.plain_text(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("lines")),
+     r"SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(regexp_extract_all(text, '\r\n|[\n\v\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')) + CAST(NOT regexp_matches(text, '[\n\v\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]$') AS INT) END AS INT) AS lines FROM documents")
+_add("src_ingest", lambda s, d: files.ingest(_files(s, d).select("path", "content")).groupBy("source_type").agg(F.count("*").alias("n"), F.count("error").alias("errors")),
+     "SELECT CASE page_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'IMAGE' ELSE 'TXT' END AS source_type, count(*) AS n, count(*) FILTER (page_id % 5 < 2) AS errors FROM pages WHERE page_id % 5 <> 2 AND NOT (page_id % 5 = 3 AND coalesce(html, '') = '') GROUP BY 1")
+
+
+def _coded(s: SparkSession, d: str) -> DataFrame:
+    """Reports as the coded CSV's text columns, with bad and missing values among them."""
+    return reports(s, d).selectExpr(
+        "cast(report_id as string) AS eventid", "'2019' AS iyear", "cast(day % 13 as string) AS imonth", "CASE WHEN report_id % 4 = 0 THEN 'x' ELSE cast(day as string) END AS iday", "CASE WHEN report_id % 3 = 0 THEN 'Nepal' ELSE 'India' END AS country_txt",
+        "'' AS provstate", "city", "'Bombing/Explosion' AS attacktype1_txt", "'Unknown' AS targtype1_txt", "'' AS weaptype1_txt", "grp AS gname", "concat(cast(killed as string), '.7') AS nkill", "'n/a' AS nwound", "CASE WHEN report_id % 2 = 0 THEN text ELSE ' ' END AS summary",
+    )
+
+
+_add("src_gtd", lambda s, d: datasets.coded_incidents(_coded(s, d)).select("incident_id", "date", "country", F.array_join("attack_types", ",").alias("attack"), F.size("target_types").alias("targets"), "killed", "injured", "has_summary"),
+     f"WITH {_R} SELECT CAST(report_id AS VARCHAR) AS incident_id, concat('2019-', lpad(CAST(greatest(day % 13, 1) AS VARCHAR), 2, '0'), '-', lpad(CASE WHEN report_id % 4 = 0 THEN '01' ELSE CAST(day AS VARCHAR) END, 2, '0')) AS date, CASE WHEN report_id % 3 = 0 THEN 'Nepal' ELSE 'India' END AS country, 'Bombing/Explosion' AS attack, 0 AS targets, killed, 0 AS injured, report_id % 2 = 0 AS has_summary FROM r")
+_add("ag_totals", lambda s, d: datasets.totals(datasets.coded_incidents(_coded(s, d))),
+     f"WITH {_R} SELECT count(*) AS total, count(*) FILTER (report_id % 2 = 0) AS with_summary, round(count(*) FILTER (report_id % 2 = 0) * 100.0::DOUBLE / count(*), 6) AS pct, count(*) FILTER (report_id % 3 <> 0) AS home, count(*) FILTER (report_id % 3 <> 0 AND report_id % 2 = 0) AS home_summary FROM r")
+_add("src_json", lambda s, d: datasets.with_defaults(reports(s, d).select(datasets.parse_json(F.expr("concat('{\"incident_id\":\"', report_id, '\"', CASE WHEN report_id % 2 = 0 THEN concat(',\"killed\":', killed) ELSE '' END, '}')")).alias("i")).select("i.*")).select("incident_id", "killed", "city", F.size("attack_types").alias("attacks")),
+     f"WITH {_R} SELECT CAST(report_id AS VARCHAR) AS incident_id, CAST(CASE WHEN report_id % 2 = 0 THEN killed ELSE 0 END AS INT) AS killed, '' AS city, 0 AS attacks FROM r")
+_on_reports("snk_add", lambda r: datasets.add_new(r.where("report_id % 2 = 0").select("report_id"), r.where("report_id % 3 = 0").select("report_id"), "report_id"), "SELECT report_id FROM r WHERE report_id % 3 = 0 AND report_id % 2 <> 0")
+
+# Ranking and prompts: a stated list of questions against all reports.
+_ASKED = ["Attacks in Mumbai in 2019", "maoist violence", "Who is lashkar-e-taiba?", "Let us list blasts near Pune in 2018 and 2019", "ulfa in Imphal 2019"]
+_AV = "a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_ASKED)) + ") AS t(id, question))"
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    asked = s.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_ASKED)) + " AS t(id, question)")
+    return reports(s, d).join(F.broadcast(asked))  # five rows
+
+
+_add("r_bonus", lambda s, d: _asked(s, d).select("id", "report_id", F.round(ranking.metadata_bonus(F.col("question"), F.lit("2019-04-01"), [F.col("city")], F.array("grp")), 6).alias("bonus")),
+     rf"WITH {_R}, {_AV} SELECT id, report_id, round(0.10::DOUBLE * CAST(contains(question, '2019') AS INT) + 0.10::DOUBLE * CAST(contains(lower(question), lower(city)) AS INT) + 0.15::DOUBLE * CAST(contains(lower(question), lower(grp)) OR (id = 1 AND grp = 'CPI-Maoist') OR (id IN (2, 3) AND regexp_matches(lower(question), '\blet\b') AND grp = 'Lashkar-e-Taiba') AS INT), 6) AS bonus FROM r, a")
+_add("r_final", lambda s, d: _asked(s, d).select("id", "report_id", F.round(ranking.final_score(F.lit(0.5), F.lit(0.1), F.col("killed") > 10, F.when(F.col("id") < 2, "Bombing"), T.attack_types(F.col("text"))), 6).alias("score")),
+     f"WITH {_R}, {_AV} SELECT id, report_id, round(0.6::DOUBLE + 0.15::DOUBLE * CAST(killed > 10 AS INT) + CASE WHEN id >= 2 THEN 0 WHEN list_contains(string_split({_sql_categories(vocab.ATTACK)}, ','), 'Bombing') THEN 1 ELSE -0.5::DOUBLE END, 6) AS score FROM r, a")
+_add("r_union", lambda s, d: ranking.best_of([_knn(s, d).select("query_id", "vec_id", "score"), _knn(s, d, 5, "label = 3").select("query_id", "vec_id", "score")], ["query_id", "vec_id"]),
+     f"WITH {_V}, t AS (SELECT query_id, vec_id, score FROM k QUALIFY {_RANK} <= 10), f AS (SELECT query_id, vec_id, score FROM k WHERE label = 3 QUALIFY {_RANK} <= 5) SELECT DISTINCT * FROM (SELECT * FROM t UNION ALL SELECT * FROM f)")
+
+
+def _blocks(r: DataFrame) -> DataFrame:
+    none, c = F.array().cast("array<string>"), F.col
+    fields = {"date": F.lit(""), "city": c("city"), "state": F.lit(""), "country": F.lit("India"), "attack_types": none, "target_types": none, "weapon_types": none, "responsible_groups": F.array("grp"), "killed": c("killed"), "injured": c("injured"), "summary": c("text")}
+    return r.select(c("doc").alias("query_id"), c("seq").alias("rank"), ranking.incident_block(fields, c("seq") + 1, F.lit(0.5)).alias("block"))
+
+
+_on_reports("g_block", lambda r: _blocks(r), "SELECT doc AS query_id, seq AS rank, concat('--- Incident Report #', seq + 1, ' (Relevance: 0.500) ---', chr(10), 'Date: Unknown', chr(10), 'Location: ', city, ', India', chr(10), 'Responsible Group: ', grp, chr(10), 'Killed: ', killed, ' | Injured: ', injured, chr(10), 'Summary: ', text, chr(10)) AS block FROM r")
+_on_reports("g_prompt", lambda r: ranking.contexts(_blocks(r)).select("query_id", "n", F.length("context").alias("length")),
+            "SELECT doc AS query_id, CAST(count(*) AS INT) AS n, CAST(sum(length(concat('--- Incident Report #', seq + 1, ' (Relevance: 0.500) ---Date: UnknownLocation: ', city, ', IndiaResponsible Group: ', grp, 'Killed: ', killed, ' | Injured: ', injured, 'Summary: ', text)) + 6) AS INT) AS length FROM r GROUP BY doc")
+_add("e2_sliding", lambda s, d: stream.counts(s.read.parquet(f"{d}/events.parquet"), "1 hour", "30 minutes"),
+     "SELECT CAST(epoch(date_trunc('hour', ts + INTERVAL 30 MINUTE * o)) AS BIGINT) - 1800 * o AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) AS t(o) GROUP BY ALL")
+_add("e3_sessions", lambda s, d: stream.sessions(s.read.parquet(f"{d}/events.parquet")),
+     """WITH g AS (SELECT user_id, ts, CAST(coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS INT) AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM n GROUP BY user_id, i""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
