@@ -1,14 +1,16 @@
 """Reports to incidents: sentences with their fields, filled from neighbours, grouped, folded.
 
 Fields are columns of sentences, found in one narrow pass. What hangs on the order of a document's
-sentences (filling, grouping, merging) is one ``applyInPandas`` per document: one shuffle on its id.
+sentences (filling, grouping, merging) is one ``mapInArrow`` that holds a document at a time.
 A document without an incident gives no row; null and empty texts give none."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from quillon.functions.organisations import organisations
 LISTS = ["attack_types", "weapon_types", "target_types", "responsible_groups", "target_organizations"]
 PLACE = ["city", "state", "country"]
 SCHEMA = "incident_id string, doc_id long, date string, country string, state string, city string, location_confidence double, " + ", ".join(f"{c} array<string>" for c in LISTS) + ", killed int, injured int, summary string"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+ARROW = pa.schema([(c, _ARROW[kind]) for c, kind in (field.split() for field in SCHEMA.split(", "))])
 
 
 def sentence_events(docs: DataFrame) -> DataFrame:
@@ -79,10 +83,10 @@ def similarity(row: dict, members: list[dict]) -> float:
         place = 0.8 if row["state"] == a["state"] else -0.2
     else:
         place = 0.5 if row["country"] and row["country"] == a["country"] else 0.0
-    date = (1.0 if row["date"] == a["date"] else -0.5) if row["date"] and a["date"] else 0.0
+    day = (1.0 if row["date"] == a["date"] else -0.5) if row["date"] and a["date"] else 0.0
     gap = min(abs(row["seq"] - m["seq"]) for m in members)
     near = 1.0 if gap <= 1 else 0.5 if gap == 2 else 0.2 if gap <= 4 else 0.0
-    score = w["loc"] * place + w["date"] * date + w["actor"] * shared("responsible_groups", "target_organizations") + w["attack"] * shared("attack_types", "weapon_types") + w["prox"] * near
+    score = w["loc"] * place + w["date"] * day + w["actor"] * shared("responsible_groups", "target_organizations") + w["attack"] * shared("attack_types", "weapon_types") + w["prox"] * near
     return max(score, w["threshold"]) if near == 1.0 else score
 
 
@@ -120,12 +124,12 @@ def _words(text: str) -> set[str]:
 
 def alike(a: dict, b: dict) -> bool:
     """Whether two of date (a day apart at most), place, groups and text (Jaccard over 0.3) agree."""
-    days = [pd.to_datetime(x["date"], format="%Y-%m-%d", errors="coerce") for x in (a, b)]
+    days = [date.fromisoformat(x["date"]) if x["date"] else None for x in (a, b)]
     key = "city" if a["city"] or b["city"] else "state"
     names = [{g.lower() for g in x["responsible_groups"]} for x in (a, b)]
     words = [_words(x["summary"]) for x in (a, b)]
     signs = [
-        not any(pd.isna(d) for d in days) and abs((days[0] - days[1]).days) <= 1, bool(a[key]) and a[key].lower() == b[key].lower(), bool(names[0] & names[1]),
+        None not in days and abs((days[0] - days[1]).days) <= 1, bool(a[key]) and a[key].lower() == b[key].lower(), bool(names[0] & names[1]),
         bool(words[0] and words[1]) and len(words[0] & words[1]) / len(words[0] | words[1]) > 0.3,
     ]
     return sum(signs) >= 2
@@ -160,16 +164,32 @@ def dedup(items: list[dict]) -> list[dict]:
         items = kept
 
 
-def _of_document(rows: pd.DataFrame) -> pd.DataFrame:
-    told = rows.sort_values("seq").to_dict("records")
-    for r in told:
-        r |= {f: list(r[f]) if r[f] is not None else [] for f in [*LISTS, "whole_groups", "whole_targets"]} | {f: r[f] or "" for f in ["date", *PLACE]}
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Sentences of one document after another; a document may run on into the next batch."""
+    told: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if told and (row["doc_id"], row["seq"]) != (told[-1]["doc_id"], told[-1]["seq"] + 1):
+                yield told
+                told = []
+            told.append(row | {f: row[f] or "" for f in ["date", *PLACE]})
+    if told:
+        yield told
+
+
+def of_sentences(told: list[dict]) -> list[dict]:
+    """Incidents of one document's sentences in order."""
     fill(told)
-    found = dedup([fold(g) for g in group(told)])
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return pd.DataFrame([{c: sorted(i[c]) if c in LISTS else i[c] for c in columns} for i in found], columns=columns)
+    return [{c: sorted(i[c]) if c in LISTS else i[c] for c in ARROW.names} for i in dedup([fold(g) for g in group(told)])]
+
+
+def _incidents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for told in _documents(batches):
+        if found := of_sentences(told):
+            yield pa.RecordBatch.from_pylist(found, ARROW)
 
 
 def build(docs: DataFrame) -> DataFrame:
-    """Incidents of (doc_id, text) rows."""
-    return sentence_events(docs).groupBy("doc_id").applyInPandas(_of_document, SCHEMA)
+    """Incidents of (doc_id, text) rows. No shuffle: a document's sentences come out of its one row,
+    so they follow each other in its partition. Rows that repeat an id are documents of their own."""
+    return sentence_events(docs).mapInArrow(_incidents, SCHEMA)
