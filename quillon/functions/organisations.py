@@ -44,8 +44,16 @@ BY_GROUP = [
 ]
 ON_TARGET = [_BEFORE + r"personnel\s+were\s+(?:killed|injured|wounded)", r"convoy\s+of" + _AFTER, _BEFORE + r"(?:soldiers|troops|police|jawans|cadets|officers)", r"targeted\s+(?!by\b)(?:the\s+)?" + _NAME, r"victims\s+included" + _AFTER]
 
-_BY_GROUP = [re.compile(p, re.IGNORECASE) for p in BY_GROUP]
-_ON_TARGET = [re.compile(p, re.IGNORECASE) for p in ON_TARGET]
+
+
+def _guarded(pattern: str) -> tuple[re.Pattern, re.Pattern]:
+    """What must be in a text for a match, and the pattern. A pattern that begins with a name tries
+    every place of a text, so the words after the name are looked for first."""
+    return re.compile(pattern.removeprefix(_BEFORE), re.IGNORECASE), re.compile(pattern, re.IGNORECASE)
+
+
+_BY_GROUP = [_guarded(p) for p in BY_GROUP]
+_ON_TARGET = [_guarded(p) for p in ON_TARGET]
 _CITIES = {c.lower() for names in places.CITIES.values() for c in names}
 
 
@@ -101,7 +109,7 @@ def _most_telling(names: Iterable[str], known: list[str]) -> list[str]:
 
 def organisations_of(text: str, entities: Callable[[str], list[str]] | None = None) -> tuple[list[str], list[str]]:
     """(responsible groups, target organisations) of a text, each sorted."""
-    context = lambda patterns: [m[1] for p in patterns for m in p.finditer(text)]
+    context = lambda patterns: [m[1] for guard, p in patterns if guard.search(text) for m in p.finditer(text)]
     other = entities(text) if entities else []
     forces = [n for n in other if _overlaps(n, FORCES)]
     groups = _collect(_written(GROUPS, text) + context(_BY_GROUP) + [n for n in other if n not in forces and _overlaps(n, GROUPS)], lambda n: is_name(n) and not _overlaps(n, AID))
