@@ -6,8 +6,8 @@ them stays whole in any line within distance k, so segments are indexed under (l
 number, text) and a line of length L probes the indexes of lengths L - k .. L with
 only those substrings whose place allows k edits in all (multi-match-aware windows).
 Candidates are verified over whole lines by banded bit-parallel edit distance after
-common ends are cut off. First each line meets one leader of its key, then only lines
-that are still in different components meet.
+common ends are cut off. All lines of a key meet; 64 parities of a line's neighbouring
+characters, which two edits can't change much, keep most pairs from verification.
 
 Equal lines are one node, by their 128-bit MD5 digest. Index keys that many lines
 share are dealt out as pairs of blocks. Candidates carry 64 bits of the digest; the
@@ -222,51 +222,40 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, min
     return links
 
 
-def edit_components(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS, block: int = 512) -> DataFrame:
-    """(node, comp): digests of the lines that link with others, and their component's smallest.
-
-    First the lines of an index key are verified against one of them, a linear number of
-    pairs. Pairs are generated only where a key's lines are then still in different
-    components: links within one can't change it."""
+def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS, block: int = 512) -> DataFrame:
+    """Pairs (a < b) of digests of different lines within distance k, every one of them."""
     dealt = _keys(docs, k, min_chars).repartition("key")
     # it looks at all columns, so that both uses need the same exchange, which then runs once
     several = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("r"), F.max("bag").alias("g")).where("lo <> hi and r > 0 and g is not null").select("key")
     rows = save(spark, dealt.join(several, "key").distinct(), "segments")
-    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     indexed, probed = F.col("role").bitwiseAND(INDEXED) > 0, F.col("role").bitwiseAND(PROBED) > 0
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 4 * k
-    lead = rows.groupBy("key").agg(F.min(F.when(indexed, F.struct("id", "bag"))).alias("l")).where("l is not null")
-    tried = save(spark, ordered(rows.where(probed).join(lead, "key").where(close("bag", "l.bag")).select(F.col("l.id").alias("a"), F.col("id").alias("b"))), "tried")
-    links = verified(spark, docs, tried, k, min_chars)
-    comp = save(spark, shared.components(spark, links), "comp")
-
-    head = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
-    apart = rows.join(comp.select(head("node").alias("id"), head("comp").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    keys = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
-    apart = save(spark, apart.join(keys.select("key"), "key"), "apart")
-    left, right = block_pairs(apart, "key", "id", keys.select("key", "count"), block)
+    left, right = block_pairs(rows, "key", "id", rows.groupBy("key").agg(F.count("*").alias("count")), block)
     left, right = left.where(indexed).alias("l"), right.where(probed).alias("r")
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.id") != F.col("r.id")) & (F.col("l.comp") != F.col("r.comp")) & close("l.bag", "r.bag"))
-    second = save(spark, ordered(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        comp = save(spark, shared.components(spark, links.union(verified(spark, docs, second, k, min_chars))), "comp")
-    return comp
+    close = F.bit_count(F.col("l.bag").bitwiseXOR(F.col("r.bag"))) <= 4 * k
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.id") != F.col("r.id")) & close)
+    pairs = save(spark, met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "pairs")
+    return verified(spark, docs, pairs, k, min_chars)
 
 
 def line_classes(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, class_doc_id, class_line_no, kept for every compared line of ``docs``
-    (doc_id, text)."""
+    """doc_id, line_no, class_doc_id, class_line_no, n_links, n_link_rows, kept for every compared
+    line of ``docs`` (doc_id, text). n_links counts the other different lines within distance k,
+    n_link_rows the rows these stand in, so that copies weigh as often as they occur."""
     docs = docs.select("doc_id", "text")
-    comp = edit_components(spark, docs, k, min_chars)
+    links = edit_links(spark, docs, k, min_chars)
     lines = save(spark, line_rows(docs, min_chars), "linerows")
-    first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"))
+    comp = shared.components(spark, links)
     linked = save(spark, comp.join(first.withColumnRenamed("digest", "node"), "node"), "linked")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    degree = both.join(linked.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.count("*").alias("n_links"), F.sum("rows").alias("n_link_rows"))
     names = linked.groupBy("comp").agg(F.min("first").alias("class"))
-    named = linked.join(names, "comp").select(F.col("node").alias("digest"), "class")
-    classes = first.join(named, "digest", "left").select("digest", F.coalesce("class", "first").alias("class"))
+    named = linked.join(names, "comp").join(degree, "node").select(F.col("node").alias("digest"), "class", "n_links", "n_link_rows")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    classes = first.join(named, "digest", "left").select("digest", F.coalesce("class", "first").alias("class"), count("n_links"), count("n_link_rows"))
     out = lines.join(classes, "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no"))
-    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), kept.alias("kept"))
+    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links", "n_link_rows", kept.alias("kept"))
 
 
 @F.arrow_udf(StringType())
@@ -298,7 +287,7 @@ def remove_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every compared line of every document with its class and whether it is kept."""
+    """Every compared line of every document with its class, links and whether it is kept."""
     return line_classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -85,6 +85,20 @@ def test_lines_against_brute_force(spark, docs, empty):
     assert lines.line_classes(spark, empty).count() == 0
 
 
+def test_line_links_count_every_near_pair(spark, empty):
+    base = "a line that many documents repeat"
+    near = [base, base + "!", base + "!?", base + "!?;", base[1:], base[:5] + "x" + base[6:], "nothing that is like the other lines"]
+    rows = [(i, "\n".join([x, *([base] if i % 2 else [])]), "en", "s", 0) for i, x in enumerate(near + near[:3])]
+    found = Counter(x for _, t, *_ in rows for x in t.split("\n"))
+    want = {x: [y for y in found if y != x and lines.edit_distance(x, y, 2) <= 2] for x in found}
+    for block in (512, 2):
+        docs = spark.createDataFrame(rows, DOC)
+        assert lines.edit_links(spark, docs.select("doc_id", "text"), block=block).count() == sum(map(len, want.values())) // 2
+    got = {(r.doc_id, r.line_no): (r.n_links, r.n_link_rows) for r in lines.line_classes(spark, docs).collect()}
+    assert got == {(i, k): (len(want[x]), sum(found[y] for y in want[x])) for i, t, *_ in rows for k, x in enumerate(t.split("\n"))}
+    assert {"n_links", "n_link_rows"} <= set(lines.line_classes(spark, empty).columns)
+
+
 def test_edit_distance_is_exact():
     r = random.Random(1)
 
