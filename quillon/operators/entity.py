@@ -1,16 +1,25 @@
 """Entity resolution: pairwise scores as expressions, order-dependent grouping per document.
 
 Clustering and dedup are greedy loops whose results hang on the order, so a document's
-sentences go to one ``applyInPandas`` call; a document is the unit of parallelism."""
+sentences go to one ``applyInArrow`` call; a document is the unit of parallelism. Both follow
+the rules of ``incidents``. The pair views are narrower, as their SQL states them: ``merge_pairs``
+leaves the wording out, ``pair_similarity`` attacks and boundaries."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import vocab
+from quillon.functions.casualties import casualties
+from quillon.functions.location import location
+from quillon.functions.organisations import organisations
+from quillon.operators import incidents
+
+_CLUSTER = pa.schema([("doc", pa.int64()), ("seq", pa.int32()), ("cluster", pa.int32())])
+_DEDUP = pa.schema([("doc", pa.int64()), ("seq", pa.int32()), ("day", pa.int32()), ("killed", pa.int32()), ("groups", pa.string()), ("n", pa.int32())])
 
 
 def neighbour_jaccard(docs: DataFrame) -> DataFrame:
@@ -40,70 +49,42 @@ def pair_similarity(rows: DataFrame) -> DataFrame:
     return document_pairs(rows).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"), F.round(score, 6).alias("similarity"))
 
 
-def _similar(a: dict, b: dict, gap: int) -> float:
-    w = vocab.CLUSTER
-    if a["boundary"] or (a["day"] and b["day"] and a["day"] != b["day"]) or (a["city"] and b["city"] and a["city"] != b["city"]):
-        return -1.0
-    prox = 1.0 if gap == 1 else 0.5 if gap == 2 else 0.2 if gap <= 4 else 0.0
-    actor = 0.5 if a["grp"] and a["grp"] == b["grp"] else 0.0
-    attack = 0.5 if set(a["attack"]) & set(b["attack"]) else 0.0
-    score = w["loc"] * float(bool(a["city"]) and a["city"] == b["city"]) + w["date"] * float(bool(a["day"]) and a["day"] == b["day"]) + w["actor"] * actor + w["attack"] * attack + w["prox"] * prox
-    return max(score, 0.5) if prox == 1.0 else score
-
-
-def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    """One pass in order: join the best cluster at or over the threshold, the earliest of equals;
-    else an accepted sentence with a signal begins one, and the rest is left out."""
-    found: list[list[dict]] = []
-    out = []
-    for r in rows.sort_values("seq").to_dict("records"):
-        if r["class"] == "REJECT":
-            continue
-        best, where = -2.0, None
-        for i, members in enumerate(found):
-            s = _similar(r, members[0], min(abs(r["seq"] - m["seq"]) for m in members))
-            if s > best:
-                best, where = s, i
-        if where is not None and best >= vocab.CLUSTER["threshold"]:
-            found[where].append(r)
-        elif r["class"] == "ACCEPT" and (r["anchor"] or len(r["attack"])):
-            where = len(found)
-            found.append([r])
-        else:
-            continue
-        out.append((r["doc"], r["seq"], where))
-    return pd.DataFrame(out, columns=["doc", "seq", "cluster"])
+def told(rows: DataFrame) -> DataFrame:
+    """Reports as the sentences that ``incidents`` groups: date, city and group as they were coded,
+    the rest from the text."""
+    t = F.col("text")
+    groups = F.when(F.col("grp").isNull(), F.array().cast("array<string>")).otherwise(F.array("grp"))
+    return rows.select(
+        "doc", "seq", "text", F.format_string("2019-04-%02d", "day").alias("date"), F.coalesce("city", F.lit("")).alias("city"), groups.alias("responsible_groups"), location(t).alias("place"), organisations(t).targets.alias("target_organizations"), casualties(t).alias("hurt"),
+        T.attack_types(t).alias("attack_types"), T.weapon_types(t).alias("weapon_types"), T.target_types(t).alias("target_types"), T.detect(t)["class"].alias("class"), T.is_anchor(t).alias("anchor"), T.has_boundary(t).alias("boundary"), T.has(t, vocab.OPERATION_ANCHORS).alias("operation"), T.has(t, vocab.ATTACK_ANCHORS).alias("attack"),
+    ).select("*", *[F.coalesce(F.col("place")[c], F.lit("")).alias(c) for c in ("state", "country")], "hurt.killed", "hurt.injured").drop("place", "hurt")
+
+
+def _cluster(table: pa.Table) -> pa.Table:
+    groups = incidents.group(table.sort_by("seq").to_pylist())
+    rows = [(r["doc"], r["seq"], i) for i, members in enumerate(groups) for r in members]
+    return pa.table(dict(zip(_CLUSTER.names, zip(*rows, strict=True) if rows else [[]] * 3, strict=True)), schema=_CLUSTER)
 
 
 def cluster_reports(rows: DataFrame) -> DataFrame:
-    """doc, seq, cluster of every sentence that belongs to an incident."""
-    t = F.col("text")
-    told = rows.select("doc", "seq", "city", "grp", "day", T.has_boundary(t).alias("boundary"), T.is_anchor(t).alias("anchor"), T.attack_types(t).alias("attack"), T.detect(t)["class"].alias("class"))
-    return told.groupBy("doc").applyInPandas(_cluster, "doc long, seq int, cluster int")
-
-
-def _dedup(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy: an item takes in later ones that agree with its merged fields, until a pass merges none."""
-    items = [{"doc": r["doc"], "seq": r["seq"], "day": r["day"], "city": r["city"], "groups": {r["grp"]}, "killed": r["killed"], "n": 1} for r in rows.sort_values("seq").to_dict("records")]
-    merged = True
-    while merged:
-        merged, rest = False, []
-        while items:
-            a, *later = items
-            items = []
-            for b in later:
-                if (abs(a["day"] - b["day"]) <= 1) + (a["city"].lower() == b["city"].lower()) + bool(a["groups"] & b["groups"]) >= 2:
-                    a |= {"day": min(a["day"], b["day"]), "killed": max(a["killed"], b["killed"]), "groups": a["groups"] | b["groups"], "n": a["n"] + b["n"]}
-                    merged = True
-                else:
-                    items.append(b)
-            rest.append(a)
-        items = rest
-    return pd.DataFrame([(a["doc"], a["seq"], a["day"], a["killed"], ",".join(sorted(a["groups"])), a["n"]) for a in items], columns=["doc", "seq", "day", "killed", "groups", "n"])
+    """doc, seq, cluster of every sentence that belongs to an incident, by the rules of ``incidents.group``."""
+    return told(rows).groupBy("doc").applyInArrow(_cluster, "doc long, seq int, cluster int")
+
+
+def _dedup(table: pa.Table) -> pa.Table:
+    none = {f: set() for f in incidents.LISTS} | {"state": "", "country": "", "injured": 0, "location_confidence": 0.0}
+    items = [none | r | {"responsible_groups": {r["grp"]} - {None}, "date": r["date"] or "", "city": r["city"] or "", "summary": r["text"] or ""} for r in table.sort_by("seq").to_pylist()]
+    found = incidents.dedup(items)
+    return pa.table({
+        "doc": [i["doc"] for i in found], "seq": [i["seq"] for i in found], "day": [int(i["date"][8:]) if i["date"] else None for i in found], "killed": [i["killed"] for i in found],
+        "groups": [",".join(sorted(i["responsible_groups"])) for i in found], "n": [i.get("n", 1) for i in found],
+    }, schema=_DEDUP)
 
 
 def dedup_reports(rows: DataFrame) -> DataFrame:
-    return rows.select("doc", "seq", "day", "city", "grp", "killed").groupBy("doc").applyInPandas(_dedup, "doc long, seq int, day int, killed int, groups string, n int")
+    """A document's reports after ``incidents.dedup``: two of date, place, group and wording agree."""
+    coded = rows.select("doc", "seq", F.format_string("2019-04-%02d", "day").alias("date"), "city", "grp", "killed", "text")
+    return coded.groupBy("doc").applyInArrow(_dedup, "doc long, seq int, day int, killed int, groups string, n int")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

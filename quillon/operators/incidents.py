@@ -137,12 +137,12 @@ def alike(a: dict, b: dict) -> bool:
 
 def merge(a: dict, b: dict) -> dict:
     """``a`` with what ``b`` adds: the earlier date, the place of the one with a city, the larger
-    counts, unions, sentences it hasn't."""
+    counts, unions, sentences it hasn't; ``n`` counts what has been merged."""
     owner, rest = (a, b) if a["city"] or not b["city"] else (b, a)
     said = set(a["summary"].split(". "))
     more = [s for s in b["summary"].split(". ") if s not in said]
     return a | {f: owner[f] or rest[f] for f in PLACE} | {f: a[f] | b[f] for f in LISTS} | {f: max(a[f], b[f]) for f in ("killed", "injured", "location_confidence")} | {
-        "date": min(filter(None, (a["date"], b["date"])), default=""), "summary": " ".join([a["summary"], ". ".join(more)]) if more else a["summary"],
+        "date": min(filter(None, (a["date"], b["date"])), default=""), "summary": " ".join([a["summary"], ". ".join(more)]) if more else a["summary"], "n": a.get("n", 1) + b.get("n", 1),
     }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.location import location
 from quillon.functions.organisations import organisations_of
-from quillon.operators import incidents, ranking
+from quillon.operators import entity, incidents, ranking
 from quillon.plans import registry
 from quillon.sources import datasets, files
 from quillon.streaming import events as stream
@@ -38,6 +38,27 @@ def test_copies_of_one_incident_merge():
     assert len(incidents.dedup([base | {"date": ""}, base | {"date": "", "summary": "Other words"}])) == 2
 
 
+def test_reports_follow_the_full_rules(spark):
+    # one field and the wording agree; a second weapon sentence seeds without an anchor; unlike attack types and groups part
+    rows = spark.createDataFrame(
+        [
+            (1, 0, "A bomb exploded in Pune and 3 people were killed near the market.", "Pune", "ULFA", 1, 3),
+            (1, 1, "A bomb exploded in Pune and 4 people were killed near the market.", "Pune", "CPI-Maoist", 20, 4),
+            (1, 2, "Other words altogether here.", "Delhi", "CPI-Maoist", 9, 0),
+            (2, 0, "Rebels opened fire on a bus in Pune and 3 people were killed.", "Pune", "ULFA", 1, 3),
+            (2, 1, "Rebels torched a mosque in Pune and 2 people were killed.", "Pune", "CPI-Maoist", 1, 2),
+        ],
+        "doc long, seq int, text string, city string, grp string, day int, killed int",
+    )
+    got = sorted(tuple(r) for r in entity.dedup_reports(rows).where("doc = 1").collect())
+    assert got == [(1, 0, 1, 4, "CPI-Maoist,ULFA", 2), (1, 2, 9, 0, "CPI-Maoist", 1)]
+    told = {(r.doc, r.seq): r.asDict() for r in entity.told(rows).collect()}
+    a, b = told[2, 0], told[2, 1]
+    assert a["attack_types"] and b["attack_types"] and not set(a["attack_types"]) & set(b["attack_types"])
+    assert incidents.boundary_score(b, a) >= 1
+    assert {(r.seq, r.cluster) for r in entity.cluster_reports(rows).where("doc = 2").collect()} == {(0, 0), (1, 1)}
+
+
 def test_repeated_ids_are_documents_of_their_own(spark):
     rows = spark.createDataFrame([(1, "A bomb exploded in Pune and 3 people were killed.")] * 3, "doc_id long, text string").coalesce(1)
     assert incidents.build(rows).count() == 3
