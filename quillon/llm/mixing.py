@@ -67,12 +67,14 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     weights: tuple[float, ...] = WEIGHTS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of ``docs``."""
+    """doc_id, source, size, source_size, target, copies for every row of ``docs``, and the columns
+    that ``carry`` names."""
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     rows = save(
         spark,
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), uniform(F.col(id_col), seed).alias("u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), uniform(F.col(id_col), seed).alias("u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"), *carry),
         "mix",
     )
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("mean_weight"))
@@ -100,7 +102,7 @@ def mix(
     inside = inside.withColumn("_at", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     inside = inside.withColumn("extra", (2 * F.col("_at") + F.col("size") <= 2 * F.col("missing")).cast("long"))
     outside = joined.where(~F.coalesce(open_bin, F.lit(False))).withColumn("extra", F.coalesce(F.col("all_in"), F.lit(False)).cast("long"))
-    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
+    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), *carry]
     return inside.select(*out).unionByName(outside.select(*out))
 
 
@@ -111,11 +113,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a document appears as often as the mix takes it. Ids are joined with
-    their numbers of copies; equal rows of one id share the largest number."""
-    copies = mix(spark, docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    """Pipeline stage: a document appears as often as the mix takes it. Rows are numbered in a
+    written table, so those with a null or repeated id get their own numbers of copies."""
     cols = docs.columns
-    return docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    docs = save(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    copies = mix(spark, docs, carry=("_row",)).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    return docs.join(copies, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
 
 
 OP8_SQL = r"""
