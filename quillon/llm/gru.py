@@ -1,9 +1,10 @@
 """Language-model scoring by a gated recurrent network.
 
-Words are counted over all training documents. The most frequent ``size - 1`` words
-(the end of a text among them) and one symbol for all others make the network's
-vocabulary; its output softmax is factored into classes of words by frequency, then words
-in the class. A word outside has the symbol's probability times its smoothed share of
+Words are counted over all training documents. The words that occur at least a tenth of
+the root of the number of tokens times (the end of a text among them), 254 at least, and one
+symbol for all others make the network's vocabulary: it grows about as that root does. Its
+output softmax is factored into as many classes of words by frequency as a class has words.
+A word outside has the symbol's probability times its smoothed share of
 the corpus counts of such words, so the model draws on every word of the corpus.
 
 Training is truncated backpropagation in numpy. Every task trains on all training
@@ -22,6 +23,8 @@ initial weights; words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,7 @@ from quillon.llm import shared
 from quillon.llm.shared import array_parts, buffers, emit, hash_words, reduce_arrays, save, slices, word_hashes
 
 END = np.int64(hash_words([b"\x00end of text"])[0].view(np.int64))  # no word: it holds white space
-CLASSES = 16
+LEAST_SIDE = 16
 _COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 _SCORES = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("outside", pa.int64()), ("gru", pa.float64()), ("rare", pa.list_(pa.int64()))]
@@ -44,12 +47,13 @@ class Gru:
 
     def __init__(self, size: int = 256, hidden: int = 16, seed: int = 4):
         r = np.random.default_rng(seed)
-        self.size, self.hidden, self.per = size, hidden, size // CLASSES
-        self.shapes = {"x": (size, 3 * hidden), "u": (hidden, 3 * hidden), "c": (hidden, CLASSES), "cb": (CLASSES,), "w": (CLASSES, hidden, self.per), "wb": (CLASSES, self.per)}
+        self.size, self.hidden, self.classes = size, hidden, round(size**0.5)
+        self.per = -(-size // self.classes)
+        self.shapes = {"x": (size, 3 * hidden), "u": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "w": (self.classes, hidden, self.per), "wb": (self.classes, self.per)}
         self.p = {k: (r.standard_normal(s) * (0.0 if k in ("cb", "wb") else 0.15)).astype(np.float32) for k, s in self.shapes.items()}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()]).astype(np.float64)
+        return np.concatenate([v.ravel() for v in self.p.values()])
 
     def load(self, flat: np.ndarray) -> Gru:
         at = 0
@@ -61,7 +65,7 @@ class Gru:
 
     def start_from(self, counts: np.ndarray) -> Gru:
         """Biases that give the words their shares in ``counts`` before any training."""
-        share = (counts + 1.0).reshape(CLASSES, self.per)
+        share = (np.pad(counts, (0, self.classes * self.per - len(counts))) + 1.0).reshape(self.classes, self.per)
         self.p["cb"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
         self.p["wb"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
         return self
@@ -85,7 +89,8 @@ class Gru:
         return states, h, kept
 
     def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
-        """Natural log-probabilities of the targets; if ``learn``, gradients of minus their sum as well."""
+        """Natural log-probabilities of the targets; if ``learn``, gradients of minus their sum as well
+        (those of the words' weights for the classes at hand only, with these)."""
         rows, k = np.arange(len(targets)), targets // self.per
         a = states @ self.p["c"] + self.p["cb"]
         a -= a.max(1, keepdims=True)
@@ -93,27 +98,27 @@ class Gru:
         s = e.sum(1, keepdims=True)
         logs = a[rows, k] - np.log(s[:, 0])
         order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        ends = np.searchsorted(k[order], np.arange(self.classes + 1))
+        used = np.flatnonzero(np.diff(ends))
         if learn:
             da = e / s
             da[rows, k] -= 1
-            g = {"c": states.T @ da, "cb": da.sum(0), "w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
+            g = {"c": states.T @ da, "cb": da.sum(0), "w": (used, np.empty_like(self.p["w"][used])), "wb": (used, np.empty_like(self.p["wb"][used]))}
             dh = da @ self.p["c"].T
-        for c in range(CLASSES):
+        for row, c in enumerate(used.tolist()):
             at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                hs, own, w = states[at], targets[at] - c * self.per, self.p["w"][c]
-                b = hs @ w + self.p["wb"][c]
-                b -= b.max(1, keepdims=True)
-                f = np.exp(b)
-                q = f.sum(1, keepdims=True)
-                i = np.arange(len(at))
-                logs[at] += b[i, own] - np.log(q[:, 0])
-                if learn:
-                    db = f / q
-                    db[i, own] -= 1
-                    g["w"][c], g["wb"][c] = hs.T @ db, db.sum(0)
-                    dh[at] += db @ w.T
+            hs, own, w = states[at], targets[at] - c * self.per, self.p["w"][c]
+            b = hs @ w + self.p["wb"][c]
+            b -= b.max(1, keepdims=True)
+            f = np.exp(b)
+            q = f.sum(1, keepdims=True)
+            i = np.arange(len(at))
+            logs[at] += b[i, own] - np.log(q[:, 0])
+            if learn:
+                db = f / q
+                db[i, own] -= 1
+                g["w"][1][row], g["wb"][1][row] = hs.T @ db, db.sum(0)
+                dh[at] += db @ w.T
         return (logs, g, dh) if learn else logs
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, h: np.ndarray, adam: dict, rate: float) -> np.ndarray:
@@ -141,15 +146,17 @@ class Gru:
         ids, flat = inputs.reshape(-1), dx.reshape(-1, 3 * n)
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["x"] = np.zeros_like(self.p["x"])
-        g["x"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+        g["x"] = ids[order][first], np.add.reduceat(flat[order], first, axis=0)
         g["u"] = du
         adam["t"] = adam.get("t", 0) + 1
         for k, v in g.items():
+            at, v = v if isinstance(v, tuple) else (slice(None), v)  # words and classes that the window hasn't stay as they are
             v = np.clip(v / targets.size, -0.05, 0.05)
-            m1 = adam[k, 1] = 0.9 * adam.get((k, 1), 0) + 0.1 * v
-            m2 = adam[k, 2] = 0.99 * adam.get((k, 2), 0) + 0.01 * v * v
-            self.p[k] -= (rate * (m1 / (1 - 0.9 ** adam["t"])) / (np.sqrt(m2 / (1 - 0.99 ** adam["t"])) + 1e-6)).astype(np.float32)
+            if (k, 1) not in adam:
+                adam[k, 1], adam[k, 2] = np.zeros_like(self.p[k]), np.zeros_like(self.p[k])
+            m1 = adam[k, 1][at] = 0.9 * adam[k, 1][at] + 0.1 * v
+            m2 = adam[k, 2][at] = 0.99 * adam[k, 2][at] + 0.01 * v * v
+            self.p[k][at] -= (rate * (m1 / (1 - 0.9 ** adam["t"])) / (np.sqrt(m2 / (1 - 0.99 ** adam["t"])) + 1e-6)).astype(np.float32)
         return last
 
     def score(self, texts: list[np.ndarray], slots: int = 256, window: int = 32) -> np.ndarray:
@@ -172,7 +179,7 @@ class Gru:
         by_load = sorted(range(slots), key=lambda s: -load[s])  # slots that end first are the last columns
         steps = load[by_load[0]]
         end = np.int64(self.end)
-        target = np.zeros((steps, slots), np.int16)
+        target = np.zeros((steps, slots), np.int32)
         owner = np.full((steps, slots), -1, np.int32)
         for col, s in enumerate(by_load):
             at = 0
@@ -272,6 +279,12 @@ class Lexicon:
         return at, self.h[at] == h
 
 
+def network_size(counts: np.ndarray, total: int) -> int:
+    """Entries of the network for a corpus of ``total`` tokens with these frequent words: the square of
+    the number of classes."""
+    return max(LEAST_SIDE, math.ceil(math.sqrt(2 + int((counts >= math.sqrt(total) / 10).sum())))) ** 2
+
+
 def tokens(column: pa.Array, lexicon: Lexicon):
     """Hashes, places in the lexicon and whether they are there, with each text's end put in; and
     where texts begin."""
@@ -308,7 +321,7 @@ def train(spark: SparkSession, docs: DataFrame, lexicon, size: int, hidden: int,
 
             for part in (p for b in batches for p in slices(b, 1024)):
                 _, at, there, _ = tokens(part.column(0), lex)
-                waiting.append(np.where(there, lex.number[at], lex.other).astype(np.int16))
+                waiting.append(np.where(there, lex.number[at], lex.other).astype(np.int32))
                 held += len(waiting[-1])
                 if held > 600_000:
                     waiting = steps()
@@ -323,24 +336,27 @@ def train(spark: SparkSession, docs: DataFrame, lexicon, size: int, hidden: int,
                     model.learn(inputs, lanes, inputs == lex.end, np.zeros((few, hidden), np.float32), adam, rate / (1 + 3 * k) / (1 + adam.get("t", 0) / 400))
                     done += n * few
             if done:
-                yield from array_parts(np.concatenate([model.flat() * done, [done]]))
+                yield from array_parts(np.append(model.flat() * np.float32(done), np.float32(done)))
 
         half = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(rounds)) == k).select("text")
-        sums = reduce_arrays(half.mapInArrow(work, shared._PART_SQL), len(weights) + 1, "float64", "add")
+        sums = reduce_arrays(half.mapInArrow(work, shared._PART_SQL), len(weights) + 1, "float32", "add")
         if sums[-1]:
             weights = sums[:-1] / sums[-1]
     return weights
 
 
 def score(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 256, hidden: int = 16, rounds: int = 2, common: int = 1 << 18
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, hidden: int = 16, rounds: int = 2, common: int = 1 << 18
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
+    Without ``size`` the network's vocabulary follows the corpus."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
     training = rows.where(~F.col("held_out")).select("id", "text")
     counts = count_words(spark, training.select("text"))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    lex = Lexicon(*frequent(counts, common), size, sums.n)
+    words, times = frequent(counts, common)
+    size = size or network_size(times, sums.n)
+    lex = Lexicon(words, times, size, sums.n)
     lexicon = spark.sparkContext.broadcast(lex)
     weights = spark.sparkContext.broadcast(train(spark, training, lexicon, size, hidden, rounds))
 
@@ -354,7 +370,7 @@ def score(
             number = np.where(there, words.number[at], words.other)
             value = np.where(there, logs[at], 0.0)
             ends, add = begins[1:], lambda x, begins=begins: np.add.reduceat(x, begins[:-1]) if len(x) else np.zeros(0)
-            texts = np.split(number.astype(np.int16), ends[:-1])
+            texts = np.split(number.astype(np.int32), ends[:-1])
             rare = ~there
             rare_at = np.concatenate([[0], np.cumsum(add(rare.astype(np.int64)))]).astype(np.int32)
             yield emit(

@@ -200,6 +200,18 @@ def test_gru_base_is_exact_and_model_learns(spark, empty):
     assert gru.score(spark, empty).count() == 0
 
 
+def test_gru_vocabulary_follows_the_corpus(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("aab") + str(r.randrange(300)) for _ in range(200)), "en", "s", 0) for i in range(300)]
+    tail = [f"b{i}" for i in range(100)]
+    rows += [(1001, " ".join(tail), "en", "s", 0), (1002, " ".join(tail[::-1]), "en", "s", 0)]
+    got = {x.doc_id: x for x in gru.score(spark, spark.createDataFrame(rows, DOC)).collect()}
+    assert abs(got[1001].base_score - got[1002].base_score) < 1e-9 and abs(got[1001].score - got[1002].score) > 1e-4
+    counts = np.arange(100_000, 0, -1)
+    sizes = [gru.network_size(counts, n) for n in (10**12, 10**10, 10**8)]
+    assert sizes[0] < sizes[1] < sizes[2] and gru.network_size(np.zeros(0, int), 0) == 256
+
+
 def test_gru_score_carries_state_and_gradient_is_right():
     model = gru.Gru(32, 4)
     r = np.random.default_rng(0)
