@@ -205,16 +205,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
     first = first.union(classes.join(several, "gid").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = save(spark, ordered(first), "tried")
-    edges = verify(spark, docs, tried, width, percent)
+    # an id with several sets is one node, which ties the classes of them
+    ids = real.select("doc_id", "gid", "n", "h1", "h2")
+    repeated = ids.groupBy("doc_id").agg(F.min(F.struct("gid", "n", "h1", "h2")).alias("lo"), F.max(F.struct("gid", "n", "h1", "h2")).alias("hi")).where("lo <> hi").select("doc_id")
+    same = ids.join(repeated, "doc_id").join(classes.select("gid", "n", "h1", "h2", "rep"), ["gid", "n", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    edges = save(spark, verify(spark, docs, tried, width, percent).union(same), "edges")
     comp = save(spark, shared.components(spark, edges), "comp")
 
     # what is still apart: members of a token's groups, or of one group, in several components
-    rows = index.join(classes.select("gid", "rep"), "gid").select(F.col("token").alias("key"), "rep", "n", "pos", F.lit(0).alias("kind"))
-    rows = rows.union(classes.join(several, "gid").select("gid", "rep", "n", F.lit(0), F.lit(1)))
+    rows = index.join(classes.select("gid", "rep", "h1", "h2"), "gid").select(F.col("token").alias("key"), "gid", "h1", "h2", "rep", "n", "pos", F.lit(0).alias("kind"))
+    rows = rows.union(classes.join(several, "gid").select("gid", "gid", "h1", "h2", "rep", "n", F.lit(0), F.lit(1)))
     rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     rows = rows.withColumn("key", F.xxhash64("key", "kind"))
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
-    apart = rows.drop("kind").join(keys.select("key"), "key").distinct().join(classes.select("rep", *sketch).dropDuplicates(["rep"]), "rep")
+    apart = rows.drop("kind").join(keys.select("key"), "key").distinct().join(classes.select("gid", "n", "h1", "h2", *sketch), ["gid", "n", "h1", "h2"])
     apart = save(spark, apart, "apart")
     left, right = block_pairs(apart, "key", "rep", keys.select("key", "count"), block)
     l, r = left.alias("l"), right.alias("r")

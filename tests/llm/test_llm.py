@@ -67,6 +67,14 @@ def test_jaccard_against_brute_force(spark, docs, empty):
     assert jaccard.jaccard_components(spark, empty).count() == 0
 
 
+def test_jaccard_ties_the_texts_of_one_id(spark):
+    r = random.Random(9)
+    a, b, c = (prose(r, 40) for _ in range(3))
+    rows = [(3, a), (4, b), (9, a), (9, b), (5, c), (12, c), (20, prose(r, 40)), (21, c + " more"), (21, prose(r, 40))]
+    got = jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(3, 3), (4, 3), (9, 3), (5, 5), (12, 5), (20, 20), (21, 5)}
+
+
 def test_lines_against_brute_force(spark, docs, empty):
     found = defaultdict(list)
     for i, t, *_ in corpus():
