@@ -3,23 +3,29 @@
 A document's set is its distinct five-word shingles, as 64-bit hashes. Two documents
 link when 100 * |A and B| >= 80 * |A or B|. Prefix filtering: order all shingles
 alike everywhere, rare ones first; sets that link must share one of the first
-``n - ceil(0.8 n) + 1`` shingles, at places that leave enough overlap. Documents with
-the same prefix and size are one group; groups meet in the index, not documents.
-
-* The order is by a corpus-wide count (a fixed-size count sketch over all shingles
-  of all documents, then the hash), so very common passages come last.
+``n - ceil(0.8 n) + 1`` shingles of the larger and of the first ``n - ceil(8 n / 9) + 1`` of the
+smaller, at places that leave enough overlap. Documents with the same prefix and size are one
+group: a group puts its prefix into the index once, whatever its number of documents, group
+pairs are filtered, and only then expanded to their members and verified.
+
+* The order is by a corpus-wide count (a count sketch over all shingles of all documents,
+  then the hash), so very common passages come last. The sketch has a cell for about
+  every kilobyte of text, from 2 ** 16 to 2 ** 22 of them (16 MB); it only decides the
+  order, so more text than that makes more candidates, not other results.
 * First every group is verified against one leader per shared shingle: a linear
   number of pairs. Only pairs whose documents are then still in different components
   are generated, filtered by size, place and a 512-bit parity signature of the sets,
   and verified. Links inside one component can't change it, so none that matters is
   lost, and a group of near copies never becomes all of its pairs.
+* Every posting knows the ``BEFORE`` postings before it. A pair that shares one of them has met
+  there, so two documents meet about once and not on each of the shingles they share.
 * Long posting lists are dealt out as pairs of blocks.
 * Verification is exact over whole sets, fetched again from the texts of candidates.
 
 Defined results: null and empty texts have an empty set (n_shingles 0) and link with
 nothing; with fewer than five words the whole word sequence is one shingle; rows that
 repeat an id are one node, each row is returned; a null id links with nothing and has
-a null component; an empty table gives an empty result.
+a null component; ids may be of any ordered type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 from quillon.llm import shared
-from quillon.llm.shared import Bloom, array_parts, block_pairs, buffers, emit, mixed, save, signed64, slices, word_hashes
+from quillon.llm.shared import Bloom, array_parts, block_pairs, buffers, emit, mixed, save, signed64, slices, tidy, word_hashes
 
-SKETCH = 1 << 20
+BEFORE = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,31 +80,43 @@ def needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())])
-_SETS_SQL = "doc_id long, n int, h1 long, h2 long, gid long, prefix array<long>, sig binary"
-_FULL = pa.schema([("id", pa.int64()), ("s", pa.binary())])
+def typed(kind: DataType, ids: tuple[str, ...], rest: str) -> StructType:
+    """A schema of id columns of a table's own type, and others."""
+    return StructType([*(StructField(i, kind) for i in ids), *StructType.fromDDL(rest).fields]) if rest else StructType([StructField(i, kind) for i in ids])
+
+
+_SETS = [("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sig", pa.binary())]
+_SETS_SQL = "n int, h1 long, h2 long, gid long, prefix array<long>, sig binary"
 
 
 def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How often the shingles of each of ``SKETCH`` cells occur, over all documents."""
+    """How often the shingles of each cell occur, over all documents; a cell for about each kilobyte."""
+    kilobytes = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 10
+    size = 1 << min(22, max(16, int(kilobytes).bit_length()))
 
+    @tidy
     def count(batches):
-        acc = np.zeros(SKETCH, np.int32)
+        acc = np.zeros(size, np.int32)
         for b in batches:
-            for part in slices(b, 2048):
-                cells = (shingles(part.column(0), width)[0] & np.uint64(SKETCH - 1)).astype(np.int32)
-                acc += np.bincount(cells, minlength=SKETCH).astype(np.int32)
+            for part in slices(b, 1024):
+                cells = (shingles(part.column(0), width)[0] & np.uint64(size - 1)).astype(np.int32)
+                at, n = np.unique(cells, return_counts=True)
+                acc[at] += n.astype(np.int32)
         yield from array_parts(acc)
 
-    return shared.reduce_arrays(docs.select("text").mapInArrow(count, shared._PART_SQL), SKETCH, "int32", "add")
+    found = shared.reduce_arrays(docs.select("text").mapInArrow(count, shared._PART_SQL), size, "int32", "add")
+    return np.minimum(found, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def sets_of(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    sketch = count_sketch(docs, width)
-    held = spark.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int64).max))  # 8 MB, whatever the corpus
+    held = spark.sparkContext.broadcast(count_sketch(docs, width))  # at most 16 MB, whatever the corpus
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *_SETS])
 
+    @tidy
     def make(batches):
         counts = held.value
+        mask = np.uint64(len(counts) - 1)
         for b in (part for batch in batches for part in slices(batch)):
             cols: dict[str, list] = {k: [] for k in ("n", "h1", "h2", "gid", "prefix", "sig")}
             for s in shingle_sets(b.column(1), width):
@@ -106,7 +126,7 @@ def sets_of(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> D
                     for k, v in (("h1", 0), ("h2", 0), ("gid", 0), ("prefix", s.view(np.int64)), ("sig", bytes(64))):
                         cols[k].append(v)
                     continue
-                c = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+                c = counts[(s & mask).astype(np.int64)]
                 prefix = s[np.lexsort((s, c))[: needed(n, percent)]].view(np.int64)
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
                 cols["h1"].append(signed64(whole >> 64))
@@ -116,31 +136,34 @@ def sets_of(spark: SparkSession, docs: DataFrame, width: int, percent: int) -> D
                 cols["sig"].append(np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes())
             ends = np.cumsum([0] + [len(p) for p in cols["prefix"]]).astype(np.int32)
             cols["prefix"] = pa.ListArray.from_arrays(ends, np.concatenate(cols["prefix"] or [np.zeros(0, np.int64)]))
-            yield emit(_SETS, {"doc_id": b.column(0).cast(pa.int64())} | cols)
+            yield emit(schema, {"doc_id": b.column(0)} | cols)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, _SETS_SQL)
+    return docs.select("doc_id", "text").mapInArrow(make, typed(kind, ("doc_id",), _SETS_SQL))
 
 
 def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets link. Sets are made again from the texts of
     the ids in the pairs only; a Bloom filter keeps the other texts out of the shuffle."""
-    bloom = Bloom(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
+    kind = docs.schema["doc_id"].dataType
+    own = to_arrow_type(kind)
+    full, edge = pa.schema([("id", own), ("s", pa.binary())]), pa.schema([("a", own), ("b", own)])
+    bloom = Bloom(spark, pairs.select(F.xxhash64("a").alias("id")).union(pairs.select(F.xxhash64("b"))).distinct(), "id")
     bits, log = bloom.bits, bloom.log
 
+    @tidy
     def fetch(batches):
         for b in (part for batch in batches for part in slices(batch, 1024)):
-            ids = b.column(0)
-            hit = Bloom.test(bits.value, log, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            hit = Bloom.test(bits.value, log, b.column(1).to_numpy(zero_copy_only=False)) & pc.is_valid(b.column(0)).to_numpy(zero_copy_only=False)
             keep = b.filter(pa.array(hit))
-            if keep.num_rows:
-                yield emit(_FULL, {"id": keep.column(0), "s": [s.tobytes() for s in shingle_sets(keep.column(1), width)]})
+            for part in slices(keep):
+                yield emit(full, {"id": part.column(0), "s": [s.tobytes() for s in shingle_sets(part.column(2), width)]})
 
+    @tidy
     def test(batches):
         for b in batches:
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
             (xs, x), (ys, y) = buffers(b.column(2)), buffers(b.column(3))
             good = []
-            for i in range(len(a)):
+            for i in range(b.num_rows):
                 p, q = x[xs[i] : xs[i + 1]].view(np.uint64), y[ys[i] : ys[i + 1]].view(np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
@@ -151,37 +174,35 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, p
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         good.append(i)
             if good:
-                yield emit(_EDGE, {"a": [a[i] for i in good], "b": [c[i] for i in good]})
+                keep = b.select([0, 1]).take(pa.array(good))
+                yield emit(edge, {"a": keep.column(0), "b": keep.column(1)})
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(fetch, "id long, s binary")
+    sets = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h"), "text").mapInArrow(fetch, typed(kind, ("id",), "s binary"))
     sets = save(spark, sets, "full")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     rows = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    edges = save(spark, rows.mapInArrow(test, "a long, b long").distinct(), "links")
+    edges = save(spark, rows.mapInArrow(test, typed(kind, ("a", "b"), "")).distinct(), "links")
     shared.drop(spark, sets)
     return edges
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    shared.bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     sets = save(spark, sets_of(spark, docs, width, percent), "sets")
     real = sets.where("n > 0 and doc_id is not null")
+    key = ["gid", "n", "h1", "h2"]
     # copies of one set are one class; classes with the same prefix and size one group
-    classes = save(spark, real.groupBy("gid", "n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    for k in range(8):
-        classes = classes.withColumn(f"s{k}", F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long"))
+    classes = save(spark, real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    sketch = [f"s{k}" for k in range(8)]
+    signed = classes.select(*key, "rep", *[F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(8)])
     classes = classes.drop("sig")
     groups = classes.groupBy("gid").agg(F.min("rep").alias("lead"), F.count("*").alias("members"))
 
-    postings = real.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    dealt = postings.repartition("token")
-    # it looks at all columns, so that both uses need the same exchange, which then runs once
-    tokens = dealt.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("p")).where("lo <> hi and n > 0 and p >= 0").select("token")
-    index = save(spark, dealt.join(tokens, "token").groupBy("token", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "index")
+    def least(n: Column, m: Column) -> Column:
+        """Common shingles that a link needs."""
+        return F.ceil((n + m) * percent / (100 + percent))
 
     def fits(l: str, r: str) -> Column:
         """Whether sizes and signatures leave room for a link."""
@@ -189,48 +210,64 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, per
         differ = sum((F.bit_count(F.col(f"{l}.s{k}").bitwiseXOR(F.col(f"{r}.s{k}"))) for k in range(1, 8)), F.bit_count(F.col(f"{l}.s0").bitwiseXOR(F.col(f"{r}.s0"))))
         return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * least(n, m))
 
-    def least(n: Column, m: Column) -> Column:
-        """Common shingles that a link needs."""
-        return F.ceil((n + m) * percent / (100 + percent))
+    # a group's prefix goes into the index once
+    grouped = real.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = grouped.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    dealt = postings.withColumn("inner", F.col("pos") <= F.col("n") - least(F.col("n"), F.col("n"))).repartition("token")
+    # it looks at all columns, so that both uses need the same exchange, which then runs once
+    tokens = dealt.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("p"), F.max("inner").alias("inner"))
+    index = save(spark, dealt.join(tokens.where("lo <> hi and inner and n > 0 and p >= 0").select("token"), "token"), "index")
+    slim = save(spark, sets.drop("prefix", "sig"), "rows")
+    shared.drop(spark, sets)
+    real = slim.where("n > 0 and doc_id is not null")
 
     sized = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    sketch = [f"s{k}" for k in range(8)]
     # one leader per token, and one per group
-    leads = index.groupBy("token").agg(F.min("gid").alias("lead_gid"), F.min(F.struct("gid", "n")).alias("l")).select("token", "lead_gid", F.col("l.n").alias("m"))
-    star = index.join(leads, "token").where("gid <> lead_gid").where(sized).select("lead_gid", "gid").distinct()
-    heads = groups.select(F.col("gid").alias("lead_gid"), F.col("lead").alias("rep")).join(classes.select("rep", "n", *sketch), "rep").alias("l")
-    met = star.join(heads, "lead_gid").join(classes.select("gid", "rep", "n", *sketch).alias("r"), "gid").where(fits("l", "r"))
+    leads = index.where("inner").groupBy("token").agg(F.min(F.struct("gid", "n")).alias("l")).select("token", F.col("l.gid").alias("lead_gid"), F.col("l.n").alias("m"))
+    star = index.join(leads, "token").where("gid <> lead_gid").where(sized).select(F.least("gid", "lead_gid").alias("lead_gid"), F.greatest("gid", "lead_gid").alias("gid")).distinct()
+    heads = groups.select("gid", F.col("lead").alias("rep")).join(signed, ["gid", "rep"]).withColumnRenamed("gid", "lead_gid").alias("l")
+    met = star.join(heads, "lead_gid").join(signed.alias("r"), "gid").where(fits("l", "r"))
     first = met.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
     several = groups.where("members > 1").select("gid", "lead")
     first = first.union(classes.join(several, "gid").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = save(spark, ordered(first), "tried")
     # an id with several sets is one node, which ties the classes of them
-    ids = real.select("doc_id", "gid", "n", "h1", "h2")
-    repeated = ids.groupBy("doc_id").agg(F.min(F.struct("gid", "n", "h1", "h2")).alias("lo"), F.max(F.struct("gid", "n", "h1", "h2")).alias("hi")).where("lo <> hi").select("doc_id")
-    same = ids.join(repeated, "doc_id").join(classes.select("gid", "n", "h1", "h2", "rep"), ["gid", "n", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    ids = real.select("doc_id", *key)
+    repeated = ids.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("doc_id")
+    same = ids.join(repeated, "doc_id").join(classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     edges = save(spark, verify(spark, docs, tried, width, percent).union(same), "edges")
     comp = save(spark, shared.components(spark, edges), "comp")
 
     # what is still apart: members of a token's groups, or of one group, in several components
-    rows = index.join(classes.select("gid", "rep", "h1", "h2"), "gid").select(F.col("token").alias("key"), "gid", "h1", "h2", "rep", "n", "pos", F.lit(0).alias("kind"))
-    rows = rows.union(classes.join(several, "gid").select("gid", "gid", "h1", "h2", "rep", "n", F.lit(0), F.lit(1)))
+    walk = Window.partitionBy("gid").orderBy("pos")
+    told = index.withColumn("before", F.array(*[F.coalesce(F.lag("token", k).over(walk), F.col("gid")) for k in range(1, BEFORE + 1)]))
+    rows = told.join(classes.drop("n"), "gid").select(F.xxhash64("token", F.lit(0)).alias("key"), *key, "rep", "pos", "inner", "before")
+    rows = rows.union(classes.join(several, "gid").select(F.xxhash64("gid", F.lit(1)), *key, "rep", F.lit(0), F.lit(True), F.array().cast("array<long>")))
     rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rows = rows.withColumn("key", F.xxhash64("key", "kind"))
-    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
-    apart = rows.drop("kind").join(keys.select("key"), "key").distinct().join(classes.select("gid", "n", "h1", "h2", *sketch), ["gid", "n", "h1", "h2"])
-    apart = save(spark, apart, "apart")
-    left, right = block_pairs(apart, "key", "rep", keys.select("key", "count"), block)
-    l, r = left.alias("l"), right.alias("r")
+    rows = save(spark, rows, "met")
+    shared.drop(spark, index)
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    apart = save(spark, rows.join(keys, "key").join(signed.drop("rep"), key), "apart")
+    shared.drop(spark, rows)
+    left, right = block_pairs(apart, "key", "rep", block)
+    l, r = left.alias("l"), right.where("inner").alias("r")
     room = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) >= least(F.col("l.n"), F.col("r.n"))
-    met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.comp") != F.col("r.comp")) & room & fits("l", "r"))
-    second = met.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    smaller = (F.col("r.n") < F.col("l.n")) | ((F.col("r.n") == F.col("l.n")) & (F.col("r.rep") < F.col("l.rep")))
+    # members of one group meet under their group, others where they first share a token
+    once = F.when(F.col("l.gid") == F.col("r.gid"), F.size("l.before") == 0).otherwise(~F.arrays_overlap("l.before", "r.before"))
+    same_key = (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y"))
+    met = l.join(r, same_key & (F.col("l.comp") != F.col("r.comp")) & smaller & room & fits("l", "r") & once)
+    second = ordered(met.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))).join(tried, ["a", "b"], "left_anti")
     second = save(spark, second, "second")
+    shared.drop(spark, apart)
     if not second.isEmpty():
         more = verify(spark, docs, second, width, percent)
         comp = save(spark, shared.components(spark, edges.union(more)), "comp")
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "n", "h1", "h2", F.coalesce("comp", "rep").alias("comp"))
-    out = sets.select("doc_id", "n", "gid", "h1", "h2").join(named, ["gid", "n", "h1", "h2"], "left")
+    for table in (tried, second):
+        shared.drop(spark, table)
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
+    out = slim.join(named, key, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
@@ -243,5 +280,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the smallest id stays.
     Documents without words are no copies and stay; rows that repeat a kept id stay."""
     found = jaccard_components(spark, docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = shared.fresh(docs, "_gone")
+    gone = save(spark, found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

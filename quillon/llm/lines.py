@@ -229,7 +229,7 @@ def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_char
     several = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("r"), F.max("bag").alias("g")).where("lo <> hi and r > 0 and g is not null").select("key")
     rows = save(spark, dealt.join(several, "key").distinct(), "segments")
     indexed, probed = F.col("role").bitwiseAND(INDEXED) > 0, F.col("role").bitwiseAND(PROBED) > 0
-    left, right = block_pairs(rows, "key", "id", rows.groupBy("key").agg(F.count("*").alias("count")), block)
+    left, right = block_pairs(rows, "key", "id", block)
     left, right = left.where(indexed).alias("l"), right.where(probed).alias("r")
     close = F.bit_count(F.col("l.bag").bitwiseXOR(F.col("r.bag"))) <= 4 * k
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.id") != F.col("r.id")) & close)

@@ -4,10 +4,14 @@ summed over tasks, and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
 import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +24,63 @@ CHUNK = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the
-    context's checkpoint folder, else (tests, one machine) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's
+    checkpoint folder. Where neither is set, a temporary one, on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            made = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            base = f"file://{made}"
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """At most ``rows`` rows in an Arrow batch: bounds what a Python worker holds of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches that leaves no freed memory behind when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names of new columns, none of which ``df`` has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def save(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns a scan of it: cuts
     the lineage, and a lost executor costs no recomputation."""
@@ -54,12 +102,6 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def words(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z: bytes methods touch ASCII
-    only, and split on just these six characters."""
-    return text.lower().split()
-
-
 def signed64(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -93,13 +135,17 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base, and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.ones(1, np.uint64)
-            while len(out) < n:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _POWERS[name] = out
-    return _POWERS["up"], _POWERS["down"]
+    if len(_POWERS.get("up", ())) >= n:
+        return _POWERS["up"], _POWERS["down"]
+    made = {}
+    for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+        made[name] = out
+    if n <= 2 * _WINDOW:  # what a longer word needs isn't kept: at most 2 MB stay
+        _POWERS.update(made)
+    return made["up"], made["down"]
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +301,18 @@ class Bloom:
 # --- hot keys -----------------------------------------------------------------------
 
 
-def block_pairs(rows: DataFrame, key: str, member: str, counts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Left and right sides of a self-join on ``key`` in which a key with more than
-    ``block`` rows is dealt out as pairs of blocks, so no task meets more than
-    ``block`` x ``block`` rows of a key. Every pair of rows meets exactly once, as
-    (left, right). ``counts`` has ``key`` and ``count``."""
-    with_n = rows.join(counts.select(key, F.ceil(F.col("count") / block).cast("int").alias("_nb")), key)
+SALTS = 32
+
+
+def block_pairs(rows: DataFrame, key: str, member: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Left and right sides of a self-join on ``key`` in which a key with more than ``block`` rows
+    is dealt out as pairs of blocks, so no task meets more than ``block`` x ``block`` rows of a
+    key. Every pair of rows meets exactly once, as (left, right). Rows learn of their key's blocks by
+    a join in which a key has ``SALTS`` parts, and only keys over ``block`` take part."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    hot = hot.select(key, F.ceil(F.col("_n") / block).cast("int").alias("_nb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(member, F.lit(29)), F.lit(SALTS)).cast("int"))
+    with_n = salted.join(hot, [key, "_salt"], "left").withColumn("_nb", F.coalesce("_nb", F.lit(1))).drop("_salt")
     own = with_n.withColumn("_own", F.pmod(F.xxhash64(member, F.lit(71)), F.col("_nb")).cast("int"))
     other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     left = other.withColumnRenamed("_own", "_x").withColumnRenamed("_other", "_y").drop("_nb")
@@ -320,7 +372,3 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60, in_task: i
         raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"\W+", "_", text)
