@@ -195,12 +195,6 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(k, rows)
 
 
-def hash_words(listed: list[bytes]) -> np.ndarray:
-    """The same hashes of single words."""
-    ends = np.cumsum([0] + [len(w) for w in listed])
-    return word_hashes(ends, np.frombuffer(b"".join(listed), np.uint8))[0]
-
-
 def emit(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema

@@ -16,6 +16,7 @@ scored each. A repeated id joins each of its labels; the bound holds for the joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quillon.llm.shared import byte_texts
+from quillon.llm.shared import bounded_batches, byte_texts, release
 
 #: Everything of ASCII that is not a letter or digit separates; A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -127,6 +128,7 @@ def train(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8000, least: int = 5
 ) -> Chain:
     """``targets``: (category, SQL condition over the label columns), in chain order."""
+    bounded_batches(spark)
     ys = [f"_y{k}" for k in range(len(targets))]
     picked = labels.select(F.col(id_col).alias("_id"), *[F.expr(cond).cast("int").alias(y) for y, (_, cond) in zip(ys, targets, strict=True)]).dropna()
     picked = picked.orderBy(F.xxhash64("_id"), "_id", *ys).limit(max_labelled)  # a bounded table
@@ -144,58 +146,63 @@ def train(
     return fit_chain(places, names, np.array([y for _, y, _ in found], float).reshape(len(found), len(targets)), [c for c, _ in targets], least=least)
 
 
+class Remembered:
+    """Features of the words that a task has met, at most about ``most`` bytes of them."""
+
+    def __init__(self, features, most: int = 16 << 20):
+        self.features, self.most, self.words, self.size = features, most, {}, 0
+
+    def of(self, text: bytes) -> set[int]:
+        hits: set[int] = set()
+        words = self.words
+        for w in text_words(text):
+            fs = words.get(w)
+            if fs is None:
+                fs = self.features(w)
+                self.size += 200 + len(w) + 40 * len(fs)  # an entry, its word, the numbers
+                if self.size > self.most:
+                    words.clear()
+                    self.size = 0
+                words[w] = fs
+            if fs:
+                hits.update(fs)
+        return hits
+
+
 @F.arrow_udf(BinaryType())
-def feature_hashes(texts: pa.Array) -> pa.Array:
+def feature_hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A text's distinct features, as sorted 64-bit hashes."""
-    known, out = {}, []
-    for k in range(0, len(texts), 256):
-        for t in byte_texts(texts.slice(k, 256)):
-            hits: set[int] = set()
-            for w in text_words(t):
-                fs = known.get(w)
-                if fs is None:
-                    if len(known) > 100_000:
-                        known.clear()
-                    fs = known[w] = word_features(w)
-                hits.update(fs)
-            out.append(np.sort(np.fromiter(hits, np.uint64, len(hits))).tobytes())
-    return pa.array(out, pa.binary())
+    known = Remembered(word_features)
+    for texts in batches:
+        out = []
+        for k in range(0, len(texts), 256):
+            for t in byte_texts(texts.slice(k, 256)):
+                hits = known.of(t)
+                out.append(np.sort(np.fromiter(hits, np.uint64, len(hits))).tobytes())
+        yield pa.array(out, pa.binary())
+    release()
 
 
 def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text") -> Column:
     """A column with one probability for each category, in chain order."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(chain)
 
     @F.arrow_udf("array<double>")
-    def score(texts: pa.Array) -> pa.Array:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         wanted = set().union(*model.features) if model.features else set()
-        if _KNOWN.get("model") is not model:
-            _KNOWN.update(model=model, words={})
-        known: dict[bytes, tuple] = _KNOWN["words"]
-        out: list[list[float]] = []
-        for k in range(0, len(texts), 256):
-            docs = []
-            for t in byte_texts(texts.slice(k, 256)):
-                hits: set[int] = set()
-                for w in text_words(t):
-                    fs = known.get(w)
-                    if fs is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        fs = known[w] = tuple(f for f in word_features(w) if f in wanted)
-                    if fs:
-                        hits.update(fs)
-                docs.append(hits)
-            out += model.predict(docs).tolist()
-        return pa.array(out, pa.list_(pa.float64()))
+        known = Remembered(lambda w: tuple(f for f in word_features(w) if f in wanted))
+        for texts in batches:
+            out: list[list[float]] = []
+            for k in range(0, len(texts), 256):
+                out += model.predict([known.of(t) for t in byte_texts(texts.slice(k, 256))]).tolist()
+            yield pa.array(out, pa.list_(pa.float64()))
+        release()
 
     return score(text)
 
 
-#: A worker's model and the selected features of the words that it has met.
-_KNOWN: dict = {}
-
 #: Chain order of the corpus tables: low quality first, then toxic.
 TARGETS = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 
