@@ -1,23 +1,29 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines of at least ``min_chars`` characters link when their edit distance is at most
-``distance`` (k). A line of length l is cut into k + 1 even segments; at least one of
-them stays whole in any line within distance k, so segments are indexed under (l,
-number, text) and a line of length L probes the indexes of lengths L - k .. L with
-only those substrings whose place allows k edits in all (multi-match-aware windows).
-Candidates are verified over whole lines by banded bit-parallel edit distance after
-common ends are cut off. All lines of a key meet; 64 parities of a line's neighbouring
-characters, which two edits can't change much, keep most pairs from verification.
+Two lines link when one becomes the other by at most k edits, where k is a tenth of the longer
+one's characters, at most ``distance`` (2): lines below 10 characters link with their copies
+only, those below 20 by one edit, so that linked lines always agree in nine tenths. A line of
+length l is cut into k + 1 even segments; at least one of them stays whole in any line within
+distance k, so segments are indexed under (l, k, number, text) and a line of length L probes the
+indexes of lengths L - k .. L with only those substrings whose place allows k edits in all
+(multi-match-aware windows). Candidates are verified over whole lines by banded bit-parallel edit
+distance after common ends are cut off. All lines of a key meet; 64 parities of a line's
+neighbouring characters, which two edits can't change much, keep most pairs from verification.
 
 Equal lines are one node, by their 128-bit MD5 digest. Index keys that many lines
 share are dealt out as pairs of blocks. Candidates carry 64 bits of the digest; the
 lines themselves are read again for candidates only.
 
-Defined results: null and empty texts have no lines; lines below ``min_chars``
-(short lines repeat by nature) are neither compared nor returned nor removed; a line's
-class is named by its first occurrence (smallest document id, then line number, null
-ids first), which is the one kept; rows that repeat a document id are one document;
-an empty table gives an empty result.
+Which lines stay: a line goes only if it links with a line that stays, and no two that stay link.
+Lines are taken in the order of their digests, which is as good as random, so all lines whose
+earlier neighbours have gone can be decided at once, and the rounds grow with the logarithm of
+the number of lines even along a chain of lines that each resemble the next.
+
+Defined results: null and empty texts and lines without a word have no class and are never
+removed; of equal lines the first occurrence (smallest document id, then line number, null ids
+first) stands for all; rows that repeat an id with another text are documents of their own, and
+rows equal in id and text are one document, whose rows stay or lose lines alike; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,9 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillon.llm import shared
-from quillon.llm.shared import Bloom, block_pairs, emit, save, slices
+from quillon.llm.shared import Bloom, block_pairs, emit, save, slices, tidy
 
-DISTANCE, MIN_CHARS = 2, 20
+DISTANCE, SHARE = 2, 10
+BLANK = " \t\n\x0b\x0c\r"
 _KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("role", pa.int8()), ("bag", pa.int64())])
 _LINES = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("line", pa.string())])
 _FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -52,17 +59,25 @@ def segments(length: int, count: int) -> list[tuple[int, int]]:
     return out
 
 
-def layout(length: int, k: int, min_chars: int) -> list[tuple[int, int, int, int]]:
+def allowed(length: int, k: int = DISTANCE) -> int:
+    """The edits that link a line of this length with one that is no longer."""
+    return min(k, length // SHARE)
+
+
+def layout(length: int, k: int = DISTANCE) -> list[tuple[int, int, int, int]]:
     """(seed, start, end, role) of every key of a line of this length."""
     out: dict[tuple[int, int, int], int] = {}
-    for less in range(k + 1):
+    own = allowed(length, k)
+    for less in range(own + 1 if own else 0):  # as the longer of two
         other = length - less
-        if other < min_chars:
-            break
-        for i, (p, n) in enumerate(segments(other, k + 1)):
-            low, high = max(0, p - i, p + less - (k - i)), min(length - n, p + i, p + less + (k - i))
+        for i, (p, n) in enumerate(segments(other, own + 1)):
+            low, high = max(0, p - i, p + less - (own - i)), min(length - n, p + i, p + less + (own - i))
             for at in range(low, high + 1):
-                out[other * 64 + i, at, at + n] = PROBED | (INDEXED if not less and at == p else 0)
+                out[(other * 8 + own) * 8 + i, at, at + n] = PROBED
+    for edits in {allowed(length + more, k) for more in range(k + 1) if 0 < allowed(length + more, k) >= more}:  # as the shorter
+        for i, (p, n) in enumerate(segments(length, edits + 1)):
+            where = ((length * 8 + edits) * 8 + i, p, p + n)
+            out[where] = out.get(where, 0) | INDEXED
     return [(*where, role) for where, role in out.items()]
 
 
@@ -137,15 +152,22 @@ def bags(lines: list[str]) -> np.ndarray:
     return np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel()
 
 
-def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line_no, digest of every line that is compared."""
-    exploded = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= min_chars)
-    return exploded.select("doc_id", "line_no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"))
+def row_key(docs: DataFrame) -> Column:
+    """What tells a row's lines from those of other rows: a digest of its id and text."""
+    number = docs["doc_id"].cast("string")
+    return F.unhex(F.md5(F.concat(F.when(number.isNull(), "n").otherwise(F.concat(F.lit("i"), number)), F.lit("\0"), F.coalesce(docs["text"], F.lit(""))).cast("binary")))
+
 
+def line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, at (the row's key), line_no, digest of every line that holds a word."""
+    exploded = docs.select("doc_id", row_key(docs).alias("at"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^ \t-\r]"))
+    return exploded.select("doc_id", "at", "line_no", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"))
 
-def _keys(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
+
+def _keys(docs: DataFrame, k: int) -> DataFrame:
     """Index and probe keys of every line, once for each task that meets it."""
 
+    @tidy
     def make(batches):
         layouts: dict[int, list] = {}
         seen: set[int] = set()
@@ -154,20 +176,20 @@ def _keys(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
             for text in part.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
                     n = len(line)
-                    if n < min_chars:
+                    where = layouts.get(n)
+                    if where is None:
+                        if len(layouts) > 5000:
+                            layouts.clear()
+                        where = layouts[n] = layout(n, k)
+                    if not where or not line.strip(BLANK):
                         continue
                     raw = line.encode()
                     own = digest64(hashlib.md5(raw).digest())
                     if own in seen:
                         continue
-                    if len(seen) > 150_000:
+                    if len(seen) > 100_000:  # about 8 MB
                         seen.clear()
                     seen.add(own)
-                    where = layouts.get(n)
-                    if where is None:
-                        if len(layouts) > 5000:
-                            layouts.clear()
-                        where = layouts[n] = layout(n, k, min_chars)
                     if len(raw) == n:
                         keys += [xxhash.xxh64_intdigest(raw[a:e], seed) for seed, a, e, _ in where]
                     else:
@@ -182,16 +204,18 @@ def _keys(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(make, "key long, id long, role byte, bag long")
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """Of pairs (a, b) of 64-bit line ids, those within distance k, as digests. The lines are read
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Of pairs (a, b) of 64-bit line ids, those that link, as digests. The lines are read
     again; a Bloom filter keeps the others out of the shuffle."""
-    bloom = Bloom(spark, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    bloom = Bloom(spark, wanted, "id")
     bits, log = bloom.bits, bloom.log
 
+    @tidy
     def fetch(batches):
         seen: set[bytes] = set()
-        for part in (p for b in batches for p in slices(b, 512)):
-            lines = [x for t in part.column(0).to_pylist() if t for x in t.split("\n") if len(x) >= min_chars]
+        for part in (p for b in batches for p in slices(b)):
+            lines = [x for t in part.column(0).to_pylist() if t for x in t.split("\n") if len(x) >= SHARE - 1]
             if not lines:
                 continue
             digests = [hashlib.md5(x.encode()).digest() for x in lines]
@@ -199,22 +223,24 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, min
             out = []
             for i in np.flatnonzero(Bloom.test(bits.value, log, ids)).tolist():
                 if digests[i] not in seen:
-                    if len(seen) > 150_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(digests[i])
                     out.append(i)
             if out:
                 yield emit(_LINES, {"id": ids[out], "digest": [digests[i] for i in out], "line": [lines[i] for i in out]})
 
+    @tidy
     def test(batches):
         for part in (p for b in batches for p in slices(b, 1024)):
             a, b, x, y = (c.to_pylist() for c in part.columns)
-            good = [i for i in range(len(a)) if edit_distance(x[i], y[i], k) <= k]
+            most = [allowed(max(len(p), len(q)), k) for p, q in zip(x, y, strict=True)]
+            good = [i for i in range(len(a)) if edit_distance(x[i], y[i], most[i]) <= most[i]]
             if good:
                 yield emit(_FOUND, {"a": [min(a[i], b[i]) for i in good], "b": [max(a[i], b[i]) for i in good]})
 
     lines = docs.select("text").mapInArrow(fetch, "id long, digest binary, line string")
-    lines = save(spark, lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").dropDuplicates(["digest"]), "lines")
+    lines = save(spark, lines.join(wanted, "id", "left_semi").dropDuplicates(["digest"]), "lines")
     left = pairs.join(lines.select(F.col("id").alias("a"), F.col("digest").alias("da"), F.col("line").alias("la")), "a")
     both = left.join(lines.select(F.col("id").alias("b"), F.col("digest").alias("db"), F.col("line").alias("lb")), "b")
     links = save(spark, both.select("da", "db", "la", "lb").mapInArrow(test, "a binary, b binary").distinct(), "links")
@@ -222,11 +248,12 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, min
     return links
 
 
-def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS, block: int = 512) -> DataFrame:
-    """Pairs (a < b) of digests of different lines within distance k, every one of them."""
-    dealt = _keys(docs, k, min_chars).repartition("key")
+def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, block: int = 512) -> DataFrame:
+    """Pairs (a < b) of digests of different lines that link, every one of them."""
+    shared.bounded_batches(spark)
+    dealt = _keys(docs, k).repartition("key")
     # it looks at all columns, so that both uses need the same exchange, which then runs once
-    several = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("r"), F.max("bag").alias("g")).where("lo <> hi and r > 0 and g is not null").select("key")
+    several = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("r"), F.max("bag").alias("g")).where(f"lo <> hi and r = {INDEXED | PROBED} and g is not null").select("key")
     rows = save(spark, dealt.join(several, "key").distinct(), "segments")
     indexed, probed = F.col("role").bitwiseAND(INDEXED) > 0, F.col("role").bitwiseAND(PROBED) > 0
     left, right = block_pairs(rows, "key", "id", block)
@@ -234,28 +261,60 @@ def edit_links(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_char
     close = F.bit_count(F.col("l.bag").bitwiseXOR(F.col("r.bag"))) <= 4 * k
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l.id") != F.col("r.id")) & close)
     pairs = save(spark, met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "pairs")
-    return verified(spark, docs, pairs, k, min_chars)
+    shared.drop(spark, rows)
+    links = verified(spark, docs, pairs, k)
+    shared.drop(spark, pairs)
+    return links
 
 
-def line_classes(spark: SparkSession, docs: DataFrame, k: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, class_doc_id, class_line_no, n_links, n_link_rows, kept for every compared
-    line of ``docs`` (doc_id, text). n_links counts the other different lines within distance k,
-    n_link_rows the rows these stand in, so that copies weigh as often as they occur."""
+def stand_ins(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(digest, rep) of every line that goes, and a line that stays and links with it. ``links``
+    has the smaller digest as ``a``."""
+    left, out = links, []
+    while not left.isEmpty():
+        later = save(spark, left.select("b").distinct(), "later")
+        # a line that comes after no undecided one stays, and what links with it goes
+        ahead = left.join(later.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = save(spark, ahead.groupBy("b").agg(F.min("a").alias("rep")).select(F.col("b").alias("digest"), "rep"), "gone")
+        rest = left.join(gone.select(F.col("digest").alias("b")), "b", "left_anti").join(gone.select(F.col("digest").alias("a")), "a", "left_anti")
+        rest = save(spark, rest.select("a", "b"), "left")
+        shared.drop(spark, later)
+        if out:
+            shared.drop(spark, left)
+        out.append(gone)
+        left = rest
+    if not out:
+        return links.select(F.col("a").alias("digest"), F.col("b").alias("rep"))
+    found = out[0]
+    for gone in out[1:]:
+        found = found.union(gone)
+    return found
+
+
+def line_classes(spark: SparkSession, docs: DataFrame, k: int = DISTANCE) -> DataFrame:
+    """doc_id, at, line_no, class_doc_id, class_line_no, n_links, n_link_rows, kept for every line of
+    ``docs`` (doc_id, text) that holds a word. The class is the place of the line that stands for
+    this one: an equal line or one that it links with. n_links counts the other different lines
+    that it links with, n_link_rows the rows these stand in, so that copies weigh as often as they
+    occur."""
     docs = docs.select("doc_id", "text")
-    links = edit_links(spark, docs, k, min_chars)
-    lines = save(spark, line_rows(docs, min_chars), "linerows")
-    first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"))
-    comp = shared.components(spark, links)
-    linked = save(spark, comp.join(first.withColumnRenamed("digest", "node"), "node"), "linked")
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-    degree = both.join(linked.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.count("*").alias("n_links"), F.sum("rows").alias("n_link_rows"))
-    names = linked.groupBy("comp").agg(F.min("first").alias("class"))
-    named = linked.join(names, "comp").join(degree, "node").select(F.col("node").alias("digest"), "class", "n_links", "n_link_rows")
+    links = edit_links(spark, docs, k)
+    lines = save(spark, line_rows(docs), "linerows")
+    both = links.select(F.col("a").alias("digest"), F.col("b").alias("other")).union(links.select("b", "a"))
+    linked = both.select("digest").distinct().withColumn("linked", F.lit(True))
+    first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "at")).alias("first"), F.count("*").alias("rows"))
+    # all others stand for themselves and have no links
+    told = save(spark, first.join(linked, "digest", "left").where("rows > 1 or linked"), "told")
+    near = told.where("linked")
+    degree = both.join(near.select(F.col("digest").alias("other"), "rows"), "other").groupBy("digest").agg(F.count("*").alias("n_links"), F.sum("rows").alias("n_link_rows"))
+    reps = stand_ins(spark, links).join(near.select(F.col("digest").alias("rep"), F.col("first").alias("class")), "rep").select("digest", "class")
+    classes = told.join(degree, "digest", "left").join(reps, "digest", "left").select("digest", F.coalesce("class", "first").alias("class"), "n_links", "n_link_rows")
+    classes = save(spark, classes, "classes")
+    out = lines.join(classes, "digest", "left")
+    place = F.coalesce("class", F.struct("doc_id", "line_no", "at"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    classes = first.join(named, "digest", "left").select("digest", F.coalesce("class", "first").alias("class"), count("n_links"), count("n_link_rows"))
-    out = lines.join(classes, "digest")
-    kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no"))
-    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links", "n_link_rows", kept.alias("kept"))
+    kept = (F.col("at") == F.col("class.at")) & (F.col("line_no") == F.col("class.line_no"))
+    return out.withColumn("class", place).select("doc_id", "at", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), count("n_links"), count("n_link_rows"), kept.alias("kept"))
 
 
 @F.arrow_udf(StringType())
@@ -269,29 +328,31 @@ def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def remove_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def remove_lines(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``docs`` without the lines that are not kept; a text that loses all its words goes."""
-    gone = classes.where("not kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     cols = docs.columns
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without_lines("text", "_gone")))
-    full = joined.where(F.col("_gone").isNull() | F.col("_new").rlike(r"[^ \t-\r]"))
+    at, own, lost, new = shared.fresh(docs, "_at", "_own", "_gone", "_new")
+    gone = save(spark, classes.where("not kept").groupBy(F.col("at").alias(at)).agg(F.collect_set("line_no").alias(lost)), "lost")
+    joined = docs.withColumn(own, row_key(docs)).join(gone, F.col(own) == F.col(at), "left")
+    joined = joined.withColumn(new, F.when(F.col(lost).isNull(), F.col("text")).otherwise(without_lines("text", lost)))
+    full = joined.where(F.col(lost).isNull() | F.col(new).rlike(r"[^ \t-\r]"))
 
     def column(c: str) -> Column:
         if c == "text":
-            return F.col("_new").alias(c)
+            return F.col(new).alias(c)
         if c == "n_chars":  # follows the text where it has changed
-            return F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_new").cast(docs.schema[c].dataType)).alias(c)
-        return F.col(c)
+            return F.when(F.col(lost).isNull(), F.col(c)).otherwise(F.length(new).cast(docs.schema[c].dataType)).alias(c)
+        return F.col(f"`{c}`")
 
     return full.select(*[column(c) for c in cols])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every compared line of every document with its class, links and whether it is kept."""
-    return line_classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every line of every document with its class, links and whether it is kept."""
+    return line_classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("at")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: lines that repeat or nearly repeat an earlier line go. A document of
+    """Pipeline stage: lines that repeat or nearly repeat a line that stays go. A document of
     which nothing is left goes too: all of it stands in other documents."""
-    return remove_lines(docs, line_classes(spark, docs))
+    return remove_lines(spark, docs, line_classes(spark, docs))
