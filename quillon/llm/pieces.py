@@ -1,29 +1,40 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A text passes the composition of three machines: the normaliser (a space becomes
-U+2581, one is put in front), the piece transducer (an arc for each piece of the
-model, byte arcs for characters that no piece spells) and, for models trained by byte-pair
-merges, an acceptor of adjacent pieces. That acceptor gives weight 0 to a pair that
-the model's merges leave apart and infinity to any other. Merges made inside two
-neighbours never hang on anything outside them, so a sequence is what the merges
-produce exactly when all its neighbours are; its path is then the only finite one, and
-the tropical shortest path finds it. For unigram models arcs weigh minus the piece's
-score and every pair 0.
+A model is compiled to three machines, and a text's pieces are the tropical shortest path
+through their composition with the text:
+
+* the normaliser rewrites the text: longest matches of the model's own map (a compiled trie in the
+  model file), white space as the model treats it, a space as U+2581;
+* the piece transducer has an arc for each piece, and for each character one to its byte
+  pieces (or to the unknown piece), which stands in where no piece spells the character;
+* the acceptor of neighbours weighs pairs of pieces. Its states are the pieces themselves. For
+  unigram models every pair weighs 0 and an arc minus its piece's score. For models trained by byte-pair
+  merges arcs weigh 0, and a pair weighs 0 if the model's merges leave it apart and infinity
+  if they don't. Merges made inside two neighbours never hang on anything outside
+  them, so a sequence is what the merges produce exactly when all its neighbours are: its path is the
+  one that is finite.
+
+The composition is expanded lazily: its states are (place in the text, piece before), arcs of
+infinite weight lead nowhere, and states are settled by least weight first, of equal ones the
+furthest first, so few of them are ever made. Decoding runs the piece transducer backwards.
 
 No piece continues after a U+2581 that follows other text, and no merge touches a character
 that only bytes spell, so the composition falls apart there; paths of parts are
-remembered up to a bound.
+remembered up to a bound in bytes, until the task ends.
 
 Defined results: a null text gives null ids (n_pieces 0); an empty text gives no ids;
 a U+2581 in a text decodes to a space; control and byte pieces are never matched in
-a text; repeated rows are encoded each.
+a text; ``exact`` says whether the ids decode to the text, for models whose normaliser changes
+nothing but spaces; repeated rows are encoded each.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm import shared
+
 SPACE = "▁"
 MODEL = os.environ.get("QUILLON_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -66,14 +79,73 @@ def _fields(data: bytes):
             at += n
 
 
+class Normaliser:
+    """The first machine: a text to the characters that pieces spell.
+
+    ``chart`` is the model's map: the size of a trie in bytes, the trie as a double array of 32-bit
+    units (bits 0-7 the label, bit 8 whether a value hangs below, bits 10-30 the offset, which
+    bit 9 shifts by 8), and the replacements, each ended by a zero byte."""
+
+    def __init__(self, chart: bytes = b"", prefix: bool = True, strip: bool = True, escape: bool = True):
+        self.prefix, self.strip, self.escape = prefix, strip, escape
+        size = int.from_bytes(chart[:4], "little")
+        self.units = np.frombuffer(chart[4 : 4 + size], "<u4").tolist()
+        self.texts = chart[4 + size :]
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes | None]:
+        """Length of the longest match of the map at a place, and what replaces it."""
+        node, found = 0, (0, None)
+        units = self.units
+        node ^= self._offset(units[0])
+        for k in range(at, len(data)):
+            node ^= data[k]
+            if node >= len(units) or units[node] & 0x800000FF != data[k]:
+                break
+            unit = units[node]
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                start = units[node] & 0x7FFFFFFF
+                found = (k + 1 - at, self.texts[start : self.texts.index(b"\0", start)])
+        return found
+
+    def mapped(self, text: str) -> str:
+        if not self.units:
+            return text
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            n, new = self.longest(data, at)
+            if new is None:  # a character that the map doesn't name stays
+                first = data[at]
+                n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                new = data[at : at + n]
+            out.append(new)
+            at += n
+        return b"".join(out).decode()
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.strip:
+            text = re.sub(" +", " ", text.strip(" "))
+        if text and self.prefix:
+            text = " " + text
+        if self.escape:
+            text = text.replace(" ", SPACE)
+        return text.rstrip(SPACE if self.escape else " ") if self.strip else text  # a U+2581 of the text itself counts here
+
+
 class Transducer:
-    """The compiled model. ``data`` is the model file's bytes."""
+    """The compiled model. ``data`` is the model file's bytes, ``remember`` the bytes that paths of
+    parts may take."""
 
-    def __init__(self, data: bytes, remember: int = 120_000):
+    def __init__(self, data: bytes, remember: int = 24 << 20):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.merges, prefix, strip, escape = False, True, True, True
+        self.merges, self.normaliser = False, Normaliser()
         for number, value in _fields(data):
             if number == 1:
                 piece = dict(_fields(value))
@@ -81,34 +153,44 @@ class Transducer:
                 self.scores.append(float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]))
                 self.kinds.append(piece.get(3, NORMAL))
             elif number == 2:
-                self.merges = dict(_fields(value)).get(3, 1) == 2
+                kind = dict(_fields(value)).get(3, 1)
+                if kind not in (1, 2):
+                    raise ValueError("models of words or characters have no transducer here")
+                self.merges = kind == 2
             elif number == 3:
                 spec = dict(_fields(value))
-                if spec.get(2):
-                    raise ValueError("this transducer compiles identity normalisers only")
-                prefix, strip, escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        if strip or not escape:
-            raise ValueError("this transducer keeps white space as it is")
-        self.prefix, self.remember = prefix, remember
+                self.normaliser = Normaliser(spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
+        # spaces alone change: encoding can skip the other machines of the normaliser
+        self.plain = not self.normaliser.units and not self.normaliser.strip and self.normaliser.escape
+        self.prefix, self.remember = self.normaliser.prefix, remember
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.longest = max(map(len, self.ids), default=1)
         self.parts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.spelled = set("".join(self.ids))
         self.reach: dict[str, int] = {}  # the longest piece by its first two characters
         for p in self.ids:
             self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+        normal = [x for x, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL] or [0.0]
+        if max(normal) > 0 and not self.merges:
+            raise ValueError("scores of a unigram model are logarithms of probabilities")
+        # a piece that the user set is likelier than any that the model learnt; 10 below the least for what isn't spelled
+        self.fallback = 0.0 if self.merges else 10.0 - min(normal)
+        own = [0.1 - len(p) * max(normal) if k == USER else -x for p, x, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
+        self.weight = [0.0] * len(self.pieces) if self.merges else own
         self.tree: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.arcs = dict(self.ids)
-        self.known: list[dict[str, bytes]] = [{}, {}]
-        self.worst = min(self.scores, default=0.0) - 10.0
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         table = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (" ⁇ " if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.spell_len = np.array([len(b) for b in table], np.int64)
         self.spell_at = np.concatenate([[0], np.cumsum(self.spell_len)[:-1]])
         self.spell = np.frombuffer(b"".join(table), np.uint8)
 
+    def forget(self) -> None:
+        """Drops what encoding has remembered."""
+        self.known, self.known_bytes, self.pairs, self.tree = {}, 0, {}, {}
+
     # --- the acceptor of adjacent pieces ---
 
     def score(self, piece: str) -> float:
@@ -149,104 +231,90 @@ class Transducer:
             else:
                 limit, undone_right, a = sa, False, self.split(a)[1]
 
+    def fits(self, before: int, piece: int) -> bool:
+        """Whether a pair's weight is finite; ``before`` is -1 where no piece of the part stands before."""
+        key = before * len(self.pieces) + piece
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > 150_000:  # about 12 MB
+                self.pairs.clear()
+            right = self.pieces[piece]
+            known = self.pairs[key] = self.made(right) and (before < 0 or self.apart(self.pieces[before], right))
+        return known
+
     # --- shortest paths ---
 
-    def finite(self, text: str) -> list[int]:
-        """The ids on the only finite path through a part of a text, for models trained by merges;
-        a character without pieces is -1 minus its code. Depth first, longest arcs first; a
-        position that can't be left is not tried again."""
-        n, arcs, pairs, reach, many = len(text), self.arcs, self.pairs, self.reach, len(self.pieces)
-        out: list[int] = []
-        sizes: list[int] = []
-        dead = bytearray(n + 1)
-        at, size, before = 0, min(reach.get(text[:2], 1), n), many
-        while at < n:
-            i = arcs.get(text[at : at + size]) if size else None
-            if i is None and size == 1:
-                i = -1 - ord(text[at])
-            if i is not None and not dead[at + size]:
-                if i < 0 or before < 0:
-                    fits = i < 0 or self.made(self.pieces[i])
-                else:
-                    fits = pairs.get(before * many + i)
-                    if fits is None:
-                        if len(pairs) > 250_000:
-                            pairs.clear()
-                        right = self.pieces[i]
-                        fits = pairs[before * many + i] = self.made(right) and (before == many or self.apart(self.pieces[before], right))
-                if fits:
-                    out.append(i)
-                    sizes.append(size)
-                    at += size
-                    before, size = i, min(reach.get(text[at : at + 2], 1), n - at)
-                    continue
-            size -= 1
-            if size < 1:
-                dead[at] = 1
-                out.pop()
-                size = sizes.pop()
-                at -= size
-                size -= 1
-                before = out[-1] if out else many
-        return out
-
-    def path(self, text: str) -> list[str]:
-        """The pieces on the shortest path through a part; a character without pieces stands for its bytes."""
-        if self.merges:
-            return [self.pieces[i] if i >= 0 else chr(-1 - i) for i in self.finite(text)]
-        n = len(text)
-        cost, back, last = [0.0] + [np.inf] * n, [0] * (n + 1), [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                if cost[start] == np.inf:
-                    continue
-                piece = text[start:end]
-                i = self.ids.get(piece)
-                if i is not None:
-                    weight = -self.scores[i]
-                elif end - start == 1:
-                    weight = -self.worst
+    def shortest(self, text: str) -> list[int]:
+        """Piece ids on the tropical shortest path through a part of a text; -2 minus its code stands
+        for a character that falls back to bytes.
+
+        A state is (place, piece before): the composition's places of the text and the acceptor's
+        states. The queue holds (weight, minus place, where the last piece begins, number of a visit), so
+        of equal paths the one with the longer last piece wins; visits link back to the ones before
+        them, and a state is settled once."""
+        n, ids, reach, pairs, merges, many = len(text), self.ids, self.reach, self.pairs, self.merges, len(self.pieces)
+        visits = [(-1, -1, 0.0)]  # (visit before, piece, weight)
+        queue = [(0.0, 0, 0, 0)]
+        settled = set()
+        while queue:
+            weight, place, _, visit = heapq.heappop(queue)
+            at = -place
+            if at == n:
+                break
+            before = visits[visit][1]
+            state = at * many + before if merges and before >= 0 else -1 - at  # without merges every piece is the same to its neighbour
+            if state in settled:
+                continue
+            settled.add(state)
+            size = reach.get(text[at : at + 2], 1)
+            for end in range(min(n, at + size), at, -1):
+                i = ids.get(text[at:end])
+                if i is None:
+                    if end > at + 1:
+                        continue
+                    i, total = -2 - ord(text[at]), weight + self.fallback
                 else:
-                    continue
-                if cost[start] + weight < cost[end]:
-                    cost[end], back[end], last[end] = cost[start] + weight, start, piece
+                    if merges:
+                        last = before if before >= 0 else -1
+                        fits = pairs.get(last * many + i)
+                        if not (self.fits(last, i) if fits is None else fits):
+                            continue
+                    total = weight + self.weight[i]
+                visits.append((visit, i, total))
+                heapq.heappush(queue, (total, -end, at, len(visits) - 1))
+        else:
+            raise ValueError("no finite path")
         out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
+        while visit:
+            visit, i, _ = visits[visit]
+            out.append(i)
         return out[::-1]
 
-    def numbers(self, pieces: list[str]) -> list[int]:
-        out = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return out
-
     def part(self, text: str) -> bytes:
-        """Ids of a part as int32 bytes. Two generations of remembered parts keep the frequent ones."""
-        new, old = self.known
-        got = new.get(text)
+        """Ids of a part as int32 bytes; the paths of short parts are remembered."""
+        got = self.known.get(text)
         if got is None:
-            got = old.get(text)
-            if got is None:
-                ids = self.finite(text) if self.merges else None
-                if ids is None or min(ids, default=0) < 0:
-                    ids = self.numbers(self.path(text))
-                got = array("i", ids).tobytes()
+            ids = []
+            for i in self.shortest(text):
+                if i >= 0:
+                    ids.append(i)
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in chr(-2 - i).encode()]
+                elif not ids or ids[-1] != self.unknown:  # unknown characters that follow each other are one
+                    ids.append(self.unknown)
+            got = array("i", ids).tobytes()
             if len(text) <= 64:
-                if len(new) >= self.remember:
-                    self.known = [{}, new]
-                    new = self.known[0]
-                new[text] = got
+                self.known_bytes += 200 + len(text) * 2 + len(got)  # a dictionary entry, its string and bytes
+                if self.known_bytes > self.remember:
+                    self.known, self.known_bytes = {}, 0
+                self.known[text] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
+        if not self.plain:
+            text = self.normaliser(text)
+            found = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.parts else [text] if text else []
+            return np.frombuffer(b"".join(map(self.part, found)), np.int32)
         if not text:
             return np.zeros(0, np.int32)
         if self.prefix:
@@ -263,13 +331,13 @@ class Transducer:
             words = line.split(" ")
             if words[0]:
                 out.append(part(words[0]))
-            new = self.known[0]
+            new = self.known
             for w in words[1:]:
                 w = SPACE + w
                 got = new.get(w)
                 if got is None:
                     got = part(w)
-                    new = self.known[0]
+                    new = self.known
                 out.append(got)
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -295,22 +363,28 @@ def read_model(path: str = MODEL) -> bytes:
 
 def encoded(spark: SparkSession, text: Column | str, path: str = MODEL) -> Column:
     """A struct of ids (array<int>) and exact: whether the ids decode to the text."""
+    shared.bounded_batches(spark)
     model = spark.sparkContext.broadcast(read_model(path))
 
     @F.arrow_udf("ids array<int>, exact boolean")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = transducer(model.value)
-        chunks, exact = [], []
-        for k in range(0, len(texts), 512):
-            for t in texts.slice(k, 512).to_pylist():
-                ids = None if t is None else machine.encode(t)
-                chunks.append(ids)
-                exact.append(None if t is None else machine.decode(ids) == t.replace(SPACE, " "))
-        ends = np.cumsum([0] + [0 if c is None else len(c) for c in chunks]).astype(np.int32)
-        flat = np.concatenate([c for c in chunks if c is not None] or [np.zeros(0, np.int32)])
-        missing = pa.array([c is None for c in chunks], pa.bool_())
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=missing)
-        return pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["ids", "exact"])
+        try:
+            for texts in batches:
+                chunks, exact = [], []
+                for k in range(0, len(texts), 256):
+                    for t in texts.slice(k, 256).to_pylist():
+                        ids = None if t is None else machine.encode(t)
+                        chunks.append(ids)
+                        exact.append(None if t is None else machine.decode(ids) == t.replace(SPACE, " "))
+                ends = np.cumsum([0] + [0 if c is None else len(c) for c in chunks]).astype(np.int32)
+                flat = np.concatenate([c for c in chunks if c is not None] or [np.zeros(0, np.int32)])
+                missing = pa.array([c is None for c in chunks], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=missing)
+                yield pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["ids", "exact"])
+        finally:
+            machine.forget()
+            shared.release()
 
     return run(text)
 
@@ -334,7 +408,9 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents' ids in place of their texts."""
-    e = docs.withColumn("_e", encoded(spark, F.col("text")))
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "exact")]
-    return e.select(*rest, F.col("_e.ids").alias("ids"), F.coalesce(F.size("_e.ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("_e.exact").alias("exact"))
+    """Last pipeline stage: the documents' ids in place of their texts. Columns of the names that it
+    makes are replaced."""
+    (found,) = shared.fresh(docs, "_e")
+    e = docs.withColumn(found, encoded(spark, F.col("text")))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "ids", "n_pieces", "exact")]
+    return e.select(*rest, F.col(f"{found}.ids").alias("ids"), F.coalesce(F.size(f"{found}.ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col(f"{found}.exact").alias("exact"))
