@@ -7,38 +7,44 @@ output softmax is factored into as many classes of words by frequency as a class
 A word outside has the symbol's probability times its smoothed share of
 the corpus counts of such words, so the model draws on every word of the corpus.
 
-Training is truncated backpropagation in numpy. Every task trains on all training
-texts of its partition, from common weights, in windows that carry the state on; the
-weights of all tasks are averaged by tokens, once for each round (a round is a
-half of the training documents). Only sums of fixed size reach the driver. Scoring
-carries the state through each whole text.
+Training is truncated backpropagation in numpy. Training documents are dealt by a hash of id and
+text into shards, whose number follows from the corpus's tokens alone; a shard is trained in the
+order of the hashes, from common weights, in windows that carry the state on, and the weights
+of all shards are averaged by tokens, once for each round (a round is a half of the shards). So
+neither partitions nor their order change the model. Only sums of fixed size reach the driver.
+Scoring carries the state through each whole text.
 
 Frequent words' counts are a broadcast of at most ``common`` entries; all other words of a
 text are looked up by a join on the full count table.
 
-Defined results: a null or empty text is the end alone; a null id trains; repeated rows
-train and are scored each; without training texts every count is 0 and the model is its
-initial weights; words are told apart by 64-bit hashes.
+Defined results: a null or empty text is the end alone; a null id trains; ids may be of any type;
+repeated rows train and are scored each; without training texts every count is 0 and the model is its
+initial weights; words are told apart by 64-bit hashes, the end is none of them.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from quillon.llm import shared
-from quillon.llm.shared import array_parts, buffers, emit, hash_words, reduce_arrays, save, slices, word_hashes
+from quillon.llm.shared import array_parts, buffers, emit, reduce_arrays, save, slices, tidy, word_hashes
 
-END = np.int64(hash_words([b"\x00end of text"])[0].view(np.int64))  # no word: it holds white space
+END = np.int64(0)  # words are moved off this hash
 LEAST_SIDE = 16
+SHARD_TOKENS = 1 << 21
 _COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
-_SCORES = pa.schema(
-    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("outside", pa.int64()), ("gru", pa.float64()), ("rare", pa.list_(pa.int64()))]
+_SCORES = (
+    [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("outside", pa.int64()), ("gru", pa.float64()), ("rare", pa.list_(pa.int64()))]
 )
+_SCORES_SQL = "held_out boolean, n_tokens long, known long, logs double, outside long, gru double, rare array<long>"
 
 
 class Gru:
@@ -50,7 +56,9 @@ class Gru:
         self.size, self.hidden, self.classes = size, hidden, round(size**0.5)
         self.per = -(-size // self.classes)
         self.shapes = {"x": (size, 3 * hidden), "u": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "w": (self.classes, hidden, self.per), "wb": (self.classes, self.per)}
+        self.pad = np.arange(self.classes * self.per).reshape(self.classes, self.per) >= size  # cells of no word
         self.p = {k: (r.standard_normal(s) * (0.0 if k in ("cb", "wb") else 0.15)).astype(np.float32) for k, s in self.shapes.items()}
+        self.p["wb"][self.pad] = -1e9
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -65,9 +73,9 @@ class Gru:
 
     def start_from(self, counts: np.ndarray) -> Gru:
         """Biases that give the words their shares in ``counts`` before any training."""
-        share = (np.pad(counts, (0, self.classes * self.per - len(counts))) + 1.0).reshape(self.classes, self.per)
+        share = (np.pad(counts, (0, self.classes * self.per - len(counts))) + 1.0).reshape(self.classes, self.per) * ~self.pad + 1e-30
         self.p["cb"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
-        self.p["wb"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
+        self.p["wb"] = np.where(self.pad, -1e9, np.log(share / share.sum(1, keepdims=True))).astype(np.float32)
         return self
 
     def forward(self, inputs: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -161,42 +169,35 @@ class Gru:
 
     def score(self, texts: list[np.ndarray], slots: int = 256, window: int = 32) -> np.ndarray:
         """Natural log-probability of each whole text (word numbers, the end last). Texts are laid
-        one after another into slots, longest first; the state is carried across windows."""
+        one after another into slots, longest first; the state is carried across windows, and a
+        window's words are laid out only when it is reached, so a very long text costs its own length."""
         out = np.zeros(len(texts))
         if not texts:
             return out
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         slots = min(slots, len(texts))
-        load, lanes = [0] * slots, [[] for _ in range(slots)]
-        import heapq
-
+        lanes: list[list[int]] = [[] for _ in range(slots)]
         heap = [(0, s) for s in range(slots)]
-        for i in order:
-            n, s = heapq.heappop(heap)
+        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+            n, s = heap[0]
             lanes[s].append(i)
-            load[s] = n + len(texts[i])
-            heapq.heappush(heap, (load[s], s))
-        by_load = sorted(range(slots), key=lambda s: -load[s])  # slots that end first are the last columns
-        steps = load[by_load[0]]
-        end = np.int64(self.end)
-        target = np.zeros((steps, slots), np.int32)
-        owner = np.full((steps, slots), -1, np.int32)
-        for col, s in enumerate(by_load):
-            at = 0
-            for i in lanes[s]:
-                target[at : at + len(texts[i]), col] = texts[i]
-                owner[at : at + len(texts[i]), col] = i
-                at += len(texts[i])
-        width = np.array([load[s] for s in by_load])
-        h = np.zeros((slots, self.hidden), np.float32)
-        previous = np.full(slots, -1, np.int32)
-        for a in range(0, steps, window):
-            b = min(steps, a + window)
+            heapq.heapreplace(heap, (n + len(texts[i]), s))
+        width = np.zeros(slots, np.int64)
+        width[[s for _, s in heap]] = [n for n, _ in heap]
+        by_load = np.argsort(-width, kind="stable")  # slots that end first are the last columns
+        lanes, width = [lanes[s] for s in by_load], width[by_load]
+        words = [np.concatenate([texts[i] for i in lane]) for lane in lanes]
+        owners = [np.repeat(np.array(lane, np.int32), [len(texts[i]) for i in lane]) for lane in lanes]
+        end, h = np.int64(self.end), np.zeros((slots, self.hidden), np.float32)
+        before, previous = np.full(slots, end), np.full(slots, -1, np.int32)
+        for a in range(0, int(width[0]), window):
             live = int((width > a).sum())
-            t, o = target[a:b, :live].astype(np.int64), owner[a:b, :live]
+            b = min(int(width[0]), a + window)
+            t, o = np.zeros((b - a, live), np.int64), np.full((b - a, live), -1, np.int32)
+            for col in range(live):
+                n = min(b, int(width[col])) - a
+                t[:n, col], o[:n, col] = words[col][a : a + n], owners[col][a : a + n]
             resets = np.vstack([previous[None, :live], o[:-1]]) != o
-            inputs = np.vstack([before[None, :live], t[:-1]]) if a else np.vstack([np.full((1, live), end), t[:-1]])
-            inputs = np.where(resets, end, inputs)
+            inputs = np.where(resets, end, np.vstack([before[None, :live], t[:-1]]))
             states, h, _ = self.forward(inputs, resets, h[:live])
             mask = o.reshape(-1) >= 0
             logs = self.output(states.reshape(-1, self.hidden)[mask], t.reshape(-1)[mask])
@@ -211,9 +212,16 @@ def is_held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def apart(h: np.ndarray) -> np.ndarray:
+    """Hashes of words, none of which is the end's."""
+    h[h.view(np.int64) == END] = 1
+    return h
+
+
 def count_words(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """(h, c) over all words and ends of ``texts`` (text): counted in each task, then summed."""
 
+    @tidy
     def count(batches):
         held, size, n = [], 0, 0
 
@@ -224,9 +232,9 @@ def count_words(spark: SparkSession, texts: DataFrame) -> DataFrame:
 
         for part in (p for b in batches for p in slices(b, 1024)):
             n += part.num_rows
-            held.append(word_hashes(*buffers(part.column(0)))[0])
+            held.append(apart(word_hashes(*buffers(part.column(0)))[0]))
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush()
                 size = 0
         if size:
@@ -289,21 +297,27 @@ def tokens(column: pa.Array, lexicon: Lexicon):
     """Hashes, places in the lexicon and whether they are there, with each text's end put in; and
     where texts begin."""
     h, at = word_hashes(*buffers(column))
-    full = np.insert(h.view(np.int64), at[1:], END)
+    full = np.insert(apart(h).view(np.int64), at[1:], END)
     return (full, *lexicon.find(full), at + np.arange(len(at)))
 
 
-def train(spark: SparkSession, docs: DataFrame, lexicon, size: int, hidden: int, rounds: int, slots: int = 256, window: int = 24, rate: float = 0.01) -> np.ndarray:
-    """Weights after ``rounds`` rounds over ``docs`` (id, text), which are the training documents."""
+def train(spark: SparkSession, docs: DataFrame, total: int, lexicon, size: int, hidden: int, rounds: int, slots: int = 256, window: int = 24, rate: float = 0.01) -> np.ndarray:
+    """Weights after ``rounds`` rounds over ``docs`` (id, text), which are the training documents and
+    have ``total`` tokens."""
     weights = Gru(size, hidden).start_from(lexicon.value.start).flat()
+    shards = rounds * max(1, -(-total // (rounds * SHARD_TOKENS)))
+    dealt = docs.select(F.xxhash64(F.col("id").cast("string"), "text", F.lit(5)).alias("h"), "text").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     for k in range(rounds):
         begin = spark.sparkContext.broadcast(weights)
 
-        def work(batches, begin=begin):
+        @tidy
+        def work(batches, begin=begin, k=k):
             lex = lexicon.value
-            model, adam, done = Gru(size, hidden).load(begin.value), {}, 0
-            h = np.zeros((slots, hidden), np.float32)
-            waiting, held = [], 0
+            model, adam, done, shard = Gru(size, hidden), {}, 0, None
+            h, waiting, held = None, [], 0
+
+            def step(inputs, targets, h):
+                return model.learn(inputs, targets, inputs == lex.end, h, adam, rate / (1 + 3 * k) / (1 + adam.get("t", 0) / 400))
 
             def steps():
                 nonlocal h, done
@@ -311,37 +325,47 @@ def train(spark: SparkSession, docs: DataFrame, lexicon, size: int, hidden: int,
                 n = len(stream) // slots // window * window
                 lanes = stream[: n * slots].reshape(slots, n).T.astype(np.int64)
                 inputs = np.vstack([np.full((1, slots), lex.end), lanes[:-1]]) if n else lanes
-                resets = inputs == lex.end
                 for a in range(0, n, window):
-                    b = a + window
-                    fade = rate / (1 + 3 * k) / (1 + adam.get("t", 0) / 400)
-                    h = model.learn(inputs[a:b], lanes[a:b], resets[a:b], h, adam, fade)
+                    h = step(inputs[a : a + window], lanes[a : a + window], h)
                     done += window * slots
                 return [stream[n * slots :]]
 
-            for part in (p for b in batches for p in slices(b, 1024)):
-                _, at, there, _ = tokens(part.column(0), lex)
-                waiting.append(np.where(there, lex.number[at], lex.other).astype(np.int32))
-                held += len(waiting[-1])
-                if held > 600_000:
-                    waiting = steps()
-                    held = len(waiting[0])
-            if waiting:
+            def finish():
+                """The rest of a shard, and its weights."""
+                nonlocal done
                 left = steps()[0]  # what doesn't fill all slots: one step in shorter lanes
                 few = min(slots, len(left) // 8)
                 if few:
                     n = len(left) // few
                     lanes = left[: n * few].reshape(few, n).T.astype(np.int64)
-                    inputs = np.vstack([np.full((1, few), lex.end), lanes[:-1]])
-                    model.learn(inputs, lanes, inputs == lex.end, np.zeros((few, hidden), np.float32), adam, rate / (1 + 3 * k) / (1 + adam.get("t", 0) / 400))
+                    step(np.vstack([np.full((1, few), lex.end), lanes[:-1]]), lanes, np.zeros((few, hidden), np.float32))
                     done += n * few
-            if done:
-                yield from array_parts(np.append(model.flat() * np.float32(done), np.float32(done)))
+                if done:
+                    yield from array_parts(np.append(model.flat().astype(np.float64) * done, float(done)))
+
+            for part in (p for b in batches for p in slices(b, 1024)):
+                of = part.column(0).to_numpy()
+                ends = [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    if of[a] != shard:
+                        if waiting:
+                            yield from finish()
+                        shard, adam, done, waiting, held = of[a], {}, 0, [], 0
+                        h = np.zeros((slots, hidden), np.float32)
+                        model.load(begin.value)
+                    _, at, there, _ = tokens(part.column(1).slice(a, b - a), lex)
+                    waiting.append(np.where(there, lex.number[at], lex.other).astype(np.int32))
+                    held += len(waiting[-1])
+                    if held > 600_000:
+                        waiting = steps()
+                        held = len(waiting[0])
+            if waiting:
+                yield from finish()
 
-        half = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(rounds)) == k).select("text")
-        sums = reduce_arrays(half.mapInArrow(work, shared._PART_SQL), len(weights) + 1, "float32", "add")
+        part = dealt.where(F.col("shard") % rounds == k).repartition("shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
+        sums = reduce_arrays(part.mapInArrow(work, shared._PART_SQL), len(weights) + 1, "float64", "add")
         if sums[-1]:
-            weights = sums[:-1] / sums[-1]
+            weights = (sums[:-1] / sums[-1]).astype(np.float32)
     return weights
 
 
@@ -350,7 +374,9 @@ def score(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
     Without ``size`` the network's vocabulary follows the corpus."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
+    shared.bounded_batches(spark)
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), is_held_out(id_col).alias("held_out"))
     training = rows.where(~F.col("held_out")).select("id", "text")
     counts = count_words(spark, training.select("text"))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -358,8 +384,10 @@ def score(
     size = size or network_size(times, sums.n)
     lex = Lexicon(words, times, size, sums.n)
     lexicon = spark.sparkContext.broadcast(lex)
-    weights = spark.sparkContext.broadcast(train(spark, training, lexicon, size, hidden, rounds))
+    weights = spark.sparkContext.broadcast(train(spark, training, sums.n, lexicon, size, hidden, rounds))
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *_SCORES])
 
+    @tidy
     def run(batches):
         words = lexicon.value
         model = Gru(size, hidden).load(weights.value)
@@ -374,7 +402,7 @@ def score(
             rare = ~there
             rare_at = np.concatenate([[0], np.cumsum(add(rare.astype(np.int64)))]).astype(np.int32)
             yield emit(
-                _SCORES,
+                schema,
                 {
                     "doc_id": part.column(0),
                     "held_out": part.column(1),
@@ -387,8 +415,7 @@ def score(
                 },
             )
 
-    ddl = "doc_id long, held_out boolean, n_tokens long, known long, logs double, outside long, gru double, rare array<long>"
-    parts = rows.select("id", "held_out", "text").mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id())
+    parts = rows.select("id", "held_out", "text").mapInArrow(run, StructType([StructField("doc_id", kind), *StructType.fromDDL(_SCORES_SQL).fields])).withColumn("row", F.monotonically_increasing_id())
     parts = save(spark, parts, "scores")
     rare = parts.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("tf"))
     found = rare.join(counts, "h").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
