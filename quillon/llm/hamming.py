@@ -10,9 +10,10 @@ are exact, ties included.
 
 Shards of at most ``shard_rows`` codes meet blocks of at most ``query_rows`` queries in
 tasks of bounded size; the k best of each shard are merged per query. Only codes and
-ids (16 bytes a row) travel.
+ids (16 bytes a row) travel, once for each block of queries; a table of few rows is dealt into more
+blocks, so that all cores have work.
 
-Defined results: a vector that is null, empty, or holds null or non-finite components
+Defined results: ids are whole numbers; a vector that is null, empty, or holds null or non-finite components
 has no code, and neither asks nor answers; codes meet codes of the same length only;
 a zero component counts as positive; ties go to the smaller id; repeated rows answer
 each; a query is a row like any other and finds itself; fewer than k rows give fewer
@@ -21,6 +22,7 @@ answers.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import emit, save
+from quillon.llm.shared import bounded_batches, emit, save, tidy
 
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _CODES = pa.schema([("vec_id", pa.int64()), ("bits", pa.int32()), ("code", pa.binary())])
@@ -38,6 +40,7 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("qrow", pa.int64()), ("vec_id", p
 def codes(vectors: DataFrame) -> DataFrame:
     """vec_id, bits, code (packed signs, padded with zero bits to 8 bytes)."""
 
+    @tidy
     def make(batches):
         for b in batches:
             ids, bits, out = [], [], []
@@ -56,11 +59,10 @@ def codes(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(make, "vec_id long, bits int, code binary")
 
 
-def near(width: int, s: int, _memo: dict = {}) -> np.ndarray:  # noqa: B006
+@lru_cache(maxsize=128)
+def near(width: int, s: int) -> np.ndarray:
     """All masks of ``width`` bits with s bits set."""
-    if (width, s) not in _memo:
-        _memo[width, s] = np.array([sum(1 << i for i in c) for c in combinations(range(width), s)], np.int64)
-    return _memo[width, s]
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), s)], np.int64)
 
 
 class Shard:
@@ -114,13 +116,14 @@ class Shard:
         return at[best], dist[best]
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 1 << 14, query_rows: int = 1 << 10) -> DataFrame:
+def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 1 << 18, query_rows: int = 1 << 14) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest of ``vectors`` for every row of
     ``queries`` (both vec_id, embedding)."""
+    bounded_batches(spark, 8192)
     data = save(spark, codes(vectors).withColumn("row", F.monotonically_increasing_id()), "codes")
     asked = save(spark, codes(queries).withColumn("row", F.monotonically_increasing_id()), "asked")
-    shards = max(1, -(-data.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // query_rows))
+    shards, n = max(1, -(-data.count() // shard_rows)), asked.count()
+    blocks = max(1, -(-n // query_rows), min(-(-2 * spark.sparkContext.defaultParallelism // shards), -(-n // 64)))
     deal = lambda df, n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     left = data.withColumn("shard", deal(data, shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(False))
     right = asked.withColumn("block", deal(asked, blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
@@ -144,7 +147,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         return pa.table({n: pa.array(v, _FOUND.field(n).type) for n, v in out.items()}, schema=_FOUND)
 
     cols = ["shard", "block", "bits", "asks", "vec_id", "row", "code"]
-    found = left.select(*cols).union(right.select(*cols)).groupBy("shard", "block", "bits").applyInArrow(search, "query_id long, qrow long, vec_id long, distance int")
+    key = ["shard", "block", "bits"]
+    found = left.select(*cols).union(right.select(*cols)).repartition(shards * blocks, *key).groupBy(*key).applyInArrow(search, "query_id long, qrow long, vec_id long, distance int")
     order = Window.partitionBy("query_id", "qrow").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
