@@ -4,7 +4,10 @@ A vector is turned by three rounds of random signs and a fast Hadamard transform
 hash is the axis (of +-e_i) that it then lies nearest to. A table's bucket is the
 hashes of ``width`` such turns; each vector also goes to the buckets where one of its hashes
 is replaced by its next best axis (multiprobe). Vectors that meet in a bucket are
-verified by cosine in double precision.
+verified by cosine in double precision. The more vectors there are, the wider the buckets' names:
+``plan`` takes the least width at which a vector meets few strangers, and as many tables as a pair at
+the wanted cosine needs to share a bucket with probability ``recall``, by trial on random pairs of
+the vectors' lengths.
 
 Equal vectors of a label are one row with a multiplicity, so a very common vector
 is one vector. Buckets with more than ``block`` rows are dealt out as pairs of blocks,
@@ -14,8 +17,9 @@ pairs; a task returns sums and spanning edges only.
 
 Defined results: rows with a null label or id, and vectors that are null, empty, zero or
 hold null or non-finite components link with nothing; vectors of different lengths
-never link; rows that repeat an id, label and vector are one, an id with several vectors
-is one node with one row in the result, its links the sum over its vectors.
+never link; rows that repeat an id, label and vector are one vector, an id with several vectors
+is one node, its links the sum over its vectors; every row is returned; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import shared
-from quillon.llm.shared import emit, mixed, save
+from quillon.llm.shared import emit, mixed, save, tidy
 
 _BUCKETS = pa.schema([("rep", pa.int64()), ("key", pa.int64())])
 _LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -80,6 +84,29 @@ def buckets(x: np.ndarray, tables: int, width: int, seed: int) -> np.ndarray:
     return out
 
 
+def meeting(dim: int, cosine: float, width: int, seed: int, pairs: int = 400, tables: int = 6) -> float:
+    """How likely a pair of random vectors at a cosine shares a bucket of one table, by trial."""
+    r = np.random.default_rng(seed)
+    x = unit(r.standard_normal((pairs, dim)))
+    if dim < 2:
+        return 1.0
+    z = r.standard_normal((pairs, dim))
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    a, b = (buckets(v, tables, width, seed) for v in (x, cosine * x + np.sqrt(1 - cosine * cosine) * z))
+    return float((a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean())
+
+
+def plan(n: int, dims: list[int], cosine: float, seed: int, recall: float = 0.9995, strangers: float = 8.0) -> tuple[int, int]:
+    """Width and tables for ``n`` vectors: random vectors share about n (width + 1)^2 / names buckets
+    of a table with one of them; of the lengths the one that needs most decides."""
+    size = min(1 << max(0, int(d - 1).bit_length()) for d in dims)
+    width = 2
+    while width < 8 and n * (width + 1) ** 2 / (2.0 * size) ** width > strangers and size > 1:
+        width += 1
+    met = min(meeting(d, cosine, width, seed) for d in dims)
+    return width, 4 if met >= 1 else max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - met))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -93,6 +120,7 @@ def _by_length(b: pa.RecordBatch, name: str):
 def near_links(spark: SparkSession, reps: DataFrame, cosine: float, tables: int, width: int, seed: int, block: int, part: int) -> DataFrame:
     """(rep, links, root): partial sums of links, and edges that span what is linked."""
 
+    @tidy
     def place(batches):
         for batch in batches:
             for b in _by_length(batch, "embedding"):
@@ -186,16 +214,21 @@ def near_links(spark: SparkSession, reps: DataFrame, cosine: float, tables: int,
 
 
 def embedding_components(
-    spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, tables: int = 8, width: int = 2, seed: int = 6, block: int = 512, part: int = 16384
+    spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, tables: int | None = None, width: int | None = None, seed: int = 6, block: int = 512, part: int = 16384
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector of ``vectors`` (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
+    shared.bounded_batches(spark, 8192)
+    rows = vectors.select("vec_id", F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"), "embedding")
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("good", F.coalesce((F.size("embedding") > 0) & ~bad & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     rows = save(spark, rows.withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding", "label")), "vectors")
     good = rows.where("good")
     one = good.groupBy("h1", "h2", "vec_id").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     reps = save(spark, one.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    if tables is None or width is None:
+        told = reps.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+        planned = plan(told.n, sorted({told.low or 1, told.high or 1}), cosine, seed)
+        width, tables = width or planned[0], tables or planned[1]
     found = save(spark, near_links(spark, reps, cosine, tables, width, seed, block, part), "found")
     # nodes are ids from here on: an id with several vectors is one node
     ids = reps.select("rep", "id")
@@ -206,8 +239,7 @@ def embedding_components(
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = members.join(sums, "rep", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
     linked = linked.groupBy("vec_id").agg((F.sum(F.coalesce("links", F.lit(0))) + F.sum(F.col("mult") - 1)).alias("n_links"), F.min(F.least(F.coalesce("comp", "id"), "id")).alias("component_id"))
-    every = rows.select("vec_id").where("vec_id is not null").distinct().join(linked, "vec_id", "left")
-    every = every.union(rows.where("vec_id is null").select("vec_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
+    every = rows.select("vec_id").join(save(spark, linked, "linked"), "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
