@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import places
-from quillon.functions.text import escaped, let
+from quillon.functions.lexicon import escaped, let
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
