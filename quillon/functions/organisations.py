@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import places
+from quillon.functions.lexicon import prefix_pattern
 
 # Known groups, forces and aid organisations.
 GROUPS = [
@@ -120,12 +121,21 @@ def organisations_of(text: str, entities: Callable[[str], list[str]] | None = No
     return _most_telling(groups.values(), GROUPS), _most_telling(targets.values(), FORCES + GENERIC_FORCES)
 
 
+# Words one of which stands in every match of the patterns around a name.
+CUES = [
+    "responsib", "carried", "perpetrated", "attributed", "credit", "linked", "blamed", "militants", "terrorists", "insurgents", "attack", "bombing", "affiliated", "personnel", "convoy", "soldiers", "troops", "police", "jawans", "cadets",
+    "officers", "targeted", "victims",
+]
+#: Texts without a cue or a known name have no names. In the JVM, so that they never get here.
+_SOME = prefix_pattern({w.lower() for w in CUES + GROUPS + FORCES})
+
+
 def organisations(text: Column) -> Column:
     """struct(groups, targets), arrays of names; empty for null."""
 
     @F.arrow_udf("groups array<string>, targets array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        found = [organisations_of(t or "") for t in texts.to_pylist()]
+        found = [([], []) if t is None else organisations_of(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.list_(pa.string())) for i in (0, 1)], ["groups", "targets"])
 
-    return run(text)
+    return run(F.when(F.lower(text).rlike(_SOME), text))

@@ -83,6 +83,17 @@ DOCUMENT_WORDS = ["parliament", "embassy", "consulate", "airport", "hospital", "
 # Source labels and the categories that count as right for them.
 LABEL_MAPS = {
     "attack": {"Bombing/Explosion": ["Bombing"], "Armed Assault": ["Armed Assault"], "Assassination": ["Assassination"], "Facility/Infrastructure Attack": ["Arson", "Bombing"], "Hostage Taking (Kidnapping)": ["Kidnapping"], "Hijacking": ["Hijacking"], "Unarmed Assault": ["Unarmed Assault"]},
+    "weapon": {
+        "Explosives": ["Explosives"], "Firearms": ["Firearms"], "Incendiary": ["Incendiary"], "Melee": ["Melee"], "Chemical": ["Chemical"], "Vehicle (not to include vehicle-borne explosives, i.e., car or truck bombs)": ["Vehicle"],
+        "Sabotage Equipment": ["Sabotage Equipment"],
+    },
+    "target": {
+        "Military": ["Military"], "Police": ["Government"], "Government (General)": ["Government"], "Government (Diplomatic)": ["Government"], "Private Citizens & Property": ["Civilian"], "Business": ["Civilian"], "Educational Institution": ["Civilian"],
+        "NGO": ["Civilian"], "Tourists": ["Civilian"], "Religious Figures/Institutions": ["Religious"], "Utilities": ["Infrastructure"], "Telecommunication": ["Infrastructure"], "Journalists & Media": ["Media"], "Transportation": ["Transportation"],
+        "Airports & Aircraft": ["Transportation"], "Maritime": ["Transportation"],
+    },
 }
+# Rows that the full coded dataset has.
+EXPECTED_ROWS = {"full": 181691, "summary": 115562, "country": 11960, "country_summary": 9097}
 # Weights of the sentence clusterer.
 CLUSTER = {"threshold": 0.5, "loc": 0.35, "date": 0.25, "actor": 0.20, "attack": 0.10, "prox": 0.10}
