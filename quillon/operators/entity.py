@@ -1,21 +1,19 @@
-"""Entity resolution: pairwise scores as expressions, order-dependent grouping per document.
+"""Entity resolution of reports whose date, city and group are coded, by the rules of ``incidents``.
 
-Clustering and dedup are greedy loops whose results hang on the order, so a document's
-sentences go to one ``applyInArrow`` call; a document is the unit of parallelism. Both follow
-the rules of ``incidents``. The pair views are narrower, as their SQL states them: ``merge_pairs``
-leaves the wording out, ``pair_similarity`` attacks and boundaries."""
+Scores of pairs are expressions. Clustering and dedup are greedy loops whose results hang on the
+order, so a document's sentences go to one ``applyInArrow`` call, which runs ``incidents.group`` and
+``incidents.dedup``; a document is the unit of parallelism. Pairs are those of one document."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import vocab
 from quillon.functions.casualties import casualties
 from quillon.functions.location import location
-from quillon.functions.organisations import organisations
 from quillon.operators import incidents
 
 _CLUSTER = pa.schema([("doc", pa.int64()), ("seq", pa.int32()), ("cluster", pa.int32())])
@@ -29,35 +27,64 @@ def neighbour_jaccard(docs: DataFrame) -> DataFrame:
 
 
 def document_pairs(rows: DataFrame) -> DataFrame:
+    """Each two rows of a document, the earlier as ``a``: an equi-join on the document."""
     a, b = rows.alias("a"), rows.alias("b")
     return a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.seq") < F.col("b.seq")))
 
 
+def should_merge(a: str, b: str) -> Column:
+    """Whether two of date (a day apart at most), place, groups and wording of two told rows agree."""
+    x, y = (lambda f, side=side: F.col(f"{side}.{f}") for side in (a, b))
+    both = lambda f: (F.lower(x(f)) == F.lower(y(f))) & (x(f) != "")
+    days = F.abs(F.datediff(F.try_to_date(x("date"), "yyyy-MM-dd"), F.try_to_date(y("date"), "yyyy-MM-dd"))) <= 1
+    place = F.when((x("city") != "") | (y("city") != ""), both("city")).otherwise(both("state"))
+    names = F.arrays_overlap(*[F.transform(side("responsible_groups"), F.lower) for side in (x, y)])
+    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in (place, names, T.jaccard(x("text"), y("text")) > 0.3)), F.coalesce(days, F.lit(False)).cast("int")) >= 2
+
+
+def boundary_score(row: str, anchor: str) -> Column:
+    """How much speaks for two told rows telling of different incidents."""
+    x, y = (lambda f, side=side: F.col(f"{side}.{f}") for side in (row, anchor))
+    differ = lambda f: ((x(f) != "") & (y(f) != "") & (x(f) != y(f))).cast("double")
+    kinds = ((x("operation") != y("operation")) & (x("attack") != y("attack")) & (x("operation") != x("attack"))).cast("double")
+    apart = lambda f: ((F.size(x(f)) > 0) & (F.size(y(f)) > 0) & ~F.arrays_overlap(x(f), y(f))).cast("double")
+    return x("boundary").cast("double") + differ("date") + differ("city") + kinds + 0.5 * apart("attack_types") + 0.5 * apart("responsible_groups")
+
+
+def similarity(row: str, anchor: str, gap: Column) -> Column:
+    """The weighted likeness of two told rows that the clusterer goes by; -1 if they are apart."""
+    w = vocab.CLUSTER
+    x, y = (lambda f, side=side: F.col(f"{side}.{f}") for side in (row, anchor))
+    both = lambda f: (x(f) != "") & (y(f) != "")
+    share = lambda f: 0.5 * F.arrays_overlap(x(f), y(f)).cast("double")
+    place = F.when(both("city"), F.when(x("city") == y("city"), 1.0).otherwise(-0.5)).when(both("state"), F.when(x("state") == y("state"), 0.8).otherwise(-0.2)).when(both("country") & (x("country") == y("country")), 0.5).otherwise(0.0)
+    day = F.when(both("date"), F.when(x("date") == y("date"), 1.0).otherwise(-0.5)).otherwise(0.0)
+    near = F.when(gap <= 1, 1.0).when(gap == 2, 0.5).when(gap <= 4, 0.2).otherwise(0.0)
+    score = w["loc"] * place + w["date"] * day + w["actor"] * (share("responsible_groups") + share("target_organizations")) + w["attack"] * (share("attack_types") + share("weapon_types")) + w["prox"] * near
+    return F.when(boundary_score(row, anchor) >= 1, -1.0).when(gap <= 1, F.greatest(score, F.lit(w["threshold"]))).otherwise(score)
+
+
 def merge_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of a document that agree in two of date (a day apart at most), city and group."""
-    agree = sum([(c).cast("int") for c in (F.col("a.city") == F.col("b.city"), F.col("a.grp") == F.col("b.grp"))], (F.abs(F.col("a.day") - F.col("b.day")) <= 1).cast("int"))
-    return document_pairs(rows).where(agree >= 2).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"))
+    """Pairs of a document's reports that are one incident."""
+    return document_pairs(told(rows)).where(should_merge("a", "b")).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"))
 
 
 def pair_similarity(rows: DataFrame) -> DataFrame:
-    """Weighted similarity of place, date, actor and distance of two reports."""
-    w, gap = vocab.CLUSTER, F.col("b.seq") - F.col("a.seq")
-    score = (
-        w["loc"] * F.when(F.col("a.city") == F.col("b.city"), 1.0).otherwise(-0.5) + w["date"] * F.when(F.col("a.day") == F.col("b.day"), 1.0).otherwise(-0.5)
-        + w["actor"] * F.when(F.col("a.grp") == F.col("b.grp"), 0.5).otherwise(0.0) + w["prox"] * F.when(gap == 1, 1.0).when(gap == 2, 0.5).when(gap <= 4, 0.2).otherwise(0.0)
-    )
-    return document_pairs(rows).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"), F.round(score, 6).alias("similarity"))
+    """Likeness of each report and an earlier one of its document as its group's first and only one."""
+    score = similarity("b", "a", F.col("b.seq") - F.col("a.seq"))
+    return document_pairs(told(rows)).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"), F.round(score, 6).alias("similarity"))
 
 
 def told(rows: DataFrame) -> DataFrame:
-    """Reports as the sentences that ``incidents`` groups: date, city and group as they were coded,
-    the rest from the text."""
-    t = F.col("text")
-    groups = F.when(F.col("grp").isNull(), F.array().cast("array<string>")).otherwise(F.array("grp"))
-    return rows.select(
-        "doc", "seq", "text", F.format_string("2019-04-%02d", "day").alias("date"), F.coalesce("city", F.lit("")).alias("city"), groups.alias("responsible_groups"), location(t).alias("place"), organisations(t).targets.alias("target_organizations"), casualties(t).alias("hurt"),
-        T.attack_types(t).alias("attack_types"), T.weapon_types(t).alias("weapon_types"), T.target_types(t).alias("target_types"), T.detect(t)["class"].alias("class"), T.is_anchor(t).alias("anchor"), T.has_boundary(t).alias("boundary"), T.has(t, vocab.OPERATION_ANCHORS).alias("operation"), T.has(t, vocab.ATTACK_ANCHORS).alias("attack"),
-    ).select("*", *[F.coalesce(F.col("place")[c], F.lit("")).alias(c) for c in ("state", "country")], "hurt.killed", "hurt.injured").drop("place", "hurt")
+    """Reports as the sentences that ``incidents`` groups: date, city and group as they were coded, null
+    as unknown, the rest from the text; target organisations aren't coded."""
+    t, none = F.col("text"), F.array().cast("array<string>")
+    found = rows.select(
+        "doc", "seq", "text", "killed", F.coalesce(F.format_string("2019-04-%02d", "day"), F.lit("")).alias("date"), F.col("day").isNull().alias("undated"), F.coalesce("city", F.lit("")).alias("city"),
+        F.when(F.col("grp").isNull(), none).otherwise(F.array("grp")).alias("responsible_groups"), location(t).alias("place"), none.alias("target_organizations"), casualties(t).alias("hurt"), incidents.terms(t).alias("terms"),
+    )
+    places = [F.coalesce(F.col("place")[c], F.lit("")).alias(c) for c in ("state", "country")]
+    return found.select("doc", "seq", "text", F.when(F.col("undated"), "").otherwise(F.col("date")).alias("date"), "city", "responsible_groups", "target_organizations", "terms.*", *places, "hurt.killed", "hurt.injured")
 
 
 def _cluster(table: pa.Table) -> pa.Table:
@@ -67,7 +94,7 @@ def _cluster(table: pa.Table) -> pa.Table:
 
 
 def cluster_reports(rows: DataFrame) -> DataFrame:
-    """doc, seq, cluster of every sentence that belongs to an incident, by the rules of ``incidents.group``."""
+    """doc, seq, cluster of every sentence that belongs to an incident, by ``incidents.group``."""
     return told(rows).groupBy("doc").applyInArrow(_cluster, "doc long, seq int, cluster int")
 
 
@@ -83,7 +110,7 @@ def _dedup(table: pa.Table) -> pa.Table:
 
 def dedup_reports(rows: DataFrame) -> DataFrame:
     """A document's reports after ``incidents.dedup``: two of date, place, group and wording agree."""
-    coded = rows.select("doc", "seq", F.format_string("2019-04-%02d", "day").alias("date"), "city", "grp", "killed", "text")
+    coded = rows.select("doc", "seq", F.when(F.col("day").isNotNull(), F.format_string("2019-04-%02d", "day")).alias("date"), "city", "grp", "killed", "text")
     return coded.groupBy("doc").applyInArrow(_dedup, "doc long, seq int, day int, killed int, groups string, n int")
 
 

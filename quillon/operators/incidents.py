@@ -1,44 +1,72 @@
 """Reports to incidents: sentences with their fields, filled from neighbours, grouped, folded.
 
-Fields are columns of sentences, found in one narrow pass. What hangs on the order of a document's
-sentences (filling, grouping, merging) is one ``mapInArrow`` that holds a document at a time.
-A document without an incident gives no row; null and empty texts give none."""
+Dates, places and terms of sentences are columns, found in one narrow pass. What hangs on the
+positions of matches (casualties, names) or on the order of a document's sentences (filling,
+grouping, merging) is one ``mapInArrow`` that holds a document at a time. A document without an
+incident gives no row; null and empty texts give none."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
+from quillon.functions import lexicon, vocab
 from quillon.functions import text as T
-from quillon.functions import vocab
-from quillon.functions.casualties import casualties
+from quillon.functions.casualties import casualties_of
+from quillon.functions.lexicon import let
 from quillon.functions.location import location
-from quillon.functions.organisations import organisations
+from quillon.functions.organisations import organisations_of
 
 LISTS = ["attack_types", "weapon_types", "target_types", "responsible_groups", "target_organizations"]
 PLACE = ["city", "state", "country"]
-SCHEMA = "incident_id string, doc_id long, date string, country string, state string, city string, location_confidence double, " + ", ".join(f"{c} array<string>" for c in LISTS) + ", killed int, injured int, summary string"
-_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-ARROW = pa.schema([(c, _ARROW[kind]) for c, kind in (field.split() for field in SCHEMA.split(", "))])
+FIELDS = "date string, country string, state string, city string, location_confidence double, " + ", ".join(f"{c} array<string>" for c in LISTS) + ", killed int, injured int, summary string"
+
+
+COLUMNS = ["incident_id", "doc_id", *(f.split()[0] for f in FIELDS.split(", "))]
+
+
+def schema(doc_id: DataType) -> StructType:
+    """Of incidents, whose documents have ids of any type."""
+    return StructType([*StructType.fromDDL("incident_id string").fields, StructField("doc_id", doc_id), *StructType.fromDDL(FIELDS).fields])
+
+
+def terms(text: Column) -> Column:
+    """struct of all that the vocabularies say of a sentence, after one pass over it."""
+
+    def whole(f: Column) -> Column:
+        return F.struct(
+            T.categories_of(f, vocab.ATTACK).alias("attack_types"), T.categories_of(f, vocab.WEAPON).alias("weapon_types"), T.categories_of(f, vocab.TARGET).alias("target_types"), T.detection_of(f)["class"].alias("class"),
+            lexicon.holds_in(f, "words", T.ANCHORS).alias("anchor"), lexicon.holds_in(f, "phrases", vocab.BOUNDARIES).alias("boundary"),
+            lexicon.holds_in(f, "words", vocab.OPERATION_ANCHORS).alias("operation"), lexicon.holds_in(f, "words", vocab.ATTACK_ANCHORS).alias("attack"),
+        )
+
+    return let(T.EVERYTHING.found(text), whole)
 
 
 def sentence_events(docs: DataFrame) -> DataFrame:
-    """A row for each sentence of (doc_id, text) with all its fields. Sentence ids count from 0 and
-    keep their gaps later on, as distance is measured by them."""
-    t = F.col("text")
-    parts = docs.select("doc_id", organisations(t).alias("whole"), F.posexplode(T.sentences(t)).alias("seq", "text"))
-    return parts.select(
-        "doc_id", "seq", "text", "whole", T.date_of(t).cast("string").alias("date"), location(t).alias("place"), T.attack_types(t).alias("attack_types"), T.weapon_types(t).alias("weapon_types"), T.target_types(t).alias("target_types"),
-        organisations(t).alias("orgs"), casualties(t).alias("hurt"), T.detect(t)["class"].alias("class"), T.is_anchor(t).alias("anchor"), T.has_boundary(t).alias("boundary"), T.has(t, vocab.OPERATION_ANCHORS).alias("operation"), T.has(t, vocab.ATTACK_ANCHORS).alias("attack"),
-    ).select(
-        "*", *[F.col("place")[c].alias(c) for c in PLACE], F.col("orgs.groups").alias("responsible_groups"), F.col("orgs.targets").alias("target_organizations"), "hurt.killed", "hurt.injured",
-        F.col("whole.groups").alias("whole_groups"), F.col("whole.targets").alias("whole_targets"),
-    ).drop("place", "orgs", "hurt", "whole")
+    """A row for each sentence of (doc_id, text): its date, place and terms; the first has the whole
+    text. Sentence ids count from 0 and keep their gaps later on, as distance is measured by them."""
+    whole = F.col("text")
+    parts = F.transform(T.sentences(whole), lambda s, i: F.struct(s.alias("text"), F.when(i == 0, whole).alias("whole")))
+    t = F.col("x.text")
+    return docs.select("doc_id", F.posexplode(parts).alias("seq", "x")).select("doc_id", "seq", "x.text", "x.whole", T.date_of(t).cast("string").alias("date"), location(t).alias("place"), terms(t).alias("terms"))
+
+
+def told_of(row: dict) -> dict:
+    """A sentence's row with all fields side by side, and its casualties and names."""
+    groups, targets = organisations_of(row["text"])
+    killed, injured = casualties_of(row["text"])
+    return {k: row[k] for k in ("doc_id", "seq", "text", "whole")} | row["terms"] | {f: row["place"][f] or "" for f in PLACE} | {
+        "date": row["date"] or "", "responsible_groups": groups, "target_organizations": targets, "killed": killed, "injured": injured,
+    }
 
 
 def _differ(a: dict, b: dict, field: str) -> bool:
@@ -67,10 +95,10 @@ def boundary_score(row: dict, anchor: dict) -> float:
     return score + sum(0.5 for f in ("attack_types", "responsible_groups") if row[f] and anchor[f] and not set(row[f]) & set(anchor[f]))
 
 
-def similarity(row: dict, members: list[dict]) -> float:
-    """Weighted likeness of a sentence and a group's first, -1 if they are apart; distance is to
-    the nearest member."""
-    w, a = vocab.CLUSTER, members[0]
+def similarity(row: dict, anchor: dict, gap: int) -> float:
+    """Weighted likeness of a sentence and a group's first, -1 if they are apart; ``gap`` is the distance
+    to the nearest member."""
+    w, a = vocab.CLUSTER, anchor
     if boundary_score(row, a) >= 1:
         return -1.0
 
@@ -84,20 +112,19 @@ def similarity(row: dict, members: list[dict]) -> float:
     else:
         place = 0.5 if row["country"] and row["country"] == a["country"] else 0.0
     day = (1.0 if row["date"] == a["date"] else -0.5) if row["date"] and a["date"] else 0.0
-    gap = min(abs(row["seq"] - m["seq"]) for m in members)
     near = 1.0 if gap <= 1 else 0.5 if gap == 2 else 0.2 if gap <= 4 else 0.0
     score = w["loc"] * place + w["date"] * day + w["actor"] * shared("responsible_groups", "target_organizations") + w["attack"] * shared("attack_types", "weapon_types") + w["prox"] * near
     return max(score, w["threshold"]) if near == 1.0 else score
 
 
 def group(rows: list[dict]) -> list[list[dict]]:
-    """One pass: to the likest group at or over the threshold, the earliest of equals; else an
-    accepted sentence with a signal begins one."""
+    """One pass in order: to the likest group at or over the threshold, the earliest of equals; else an
+    accepted sentence with a signal begins one. A group's nearest member is its last."""
     groups: list[list[dict]] = []
     for row in rows:
         if row["class"] == "REJECT":
             continue
-        scores = [similarity(row, g) for g in groups]
+        scores = [similarity(row, g[0], row["seq"] - g[-1]["seq"]) for g in groups]
         best = max(scores, default=-1.0)
         if best >= vocab.CLUSTER["threshold"]:
             groups[scores.index(best)].append(row)
@@ -106,20 +133,24 @@ def group(rows: list[dict]) -> list[list[dict]]:
     return groups
 
 
-def fold(members: list[dict]) -> dict:
-    """One incident of a group's sentences: first of each field, largest counts, unions of lists."""
+def fold(members: list[dict], whole: Callable[[], tuple[list[str], list[str]]] = lambda: ([], [])) -> dict:
+    """One incident of a group's sentences: first of each field, largest counts, unions of lists; names
+    that it lacks are those of the ``whole`` text, which is only read for them."""
     out = {f: next((m[f] for m in members if m[f]), "") for f in ["date", *PLACE]}
     out |= {f: {x for m in members for x in m[f]} for f in LISTS}
+    for i, f in enumerate(("responsible_groups", "target_organizations")):
+        out[f] = out[f] or set(whole()[i])
     first = members[0]
-    out["responsible_groups"] = out["responsible_groups"] or set(first["whole_groups"])
-    out["target_organizations"] = out["target_organizations"] or set(first["whole_targets"])
     return out | {f: max(m[f] for m in members) for f in ("killed", "injured")} | {
         "summary": " ".join(m["text"] for m in members), "location_confidence": 1.0 if out["city"] else 0.5, "doc_id": first["doc_id"], "incident_id": f"{first['doc_id']}-{first['seq']}",
     }
 
 
-def _words(text: str) -> set[str]:
-    return set(re.findall(r"\w+", text.lower()))
+def _words(item: dict) -> set[str]:
+    """The words of an item's summary, found once."""
+    if item.get("_said") != item["summary"]:
+        item["_said"], item["_words"] = item["summary"], set(re.findall(r"\w+", item["summary"].lower()))
+    return item["_words"]
 
 
 def alike(a: dict, b: dict) -> bool:
@@ -127,12 +158,11 @@ def alike(a: dict, b: dict) -> bool:
     days = [date.fromisoformat(x["date"]) if x["date"] else None for x in (a, b)]
     key = "city" if a["city"] or b["city"] else "state"
     names = [{g.lower() for g in x["responsible_groups"]} for x in (a, b)]
-    words = [_words(x["summary"]) for x in (a, b)]
-    signs = [
-        None not in days and abs((days[0] - days[1]).days) <= 1, bool(a[key]) and a[key].lower() == b[key].lower(), bool(names[0] & names[1]),
-        bool(words[0] and words[1]) and len(words[0] & words[1]) / len(words[0] | words[1]) > 0.3,
-    ]
-    return sum(signs) >= 2
+    signs = (None not in days and abs((days[0] - days[1]).days) <= 1) + (bool(a[key]) and a[key].lower() == b[key].lower()) + bool(names[0] & names[1])
+    if signs != 1:  # the wording decides
+        return signs > 1
+    words = [_words(x) for x in (a, b)]
+    return bool(words[0] and words[1]) and len(words[0] & words[1]) / len(words[0] | words[1]) > 0.3
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -169,10 +199,10 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
     told: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if told and (row["doc_id"], row["seq"]) != (told[-1]["doc_id"], told[-1]["seq"] + 1):
+            if told and row["seq"] == 0:
                 yield told
                 told = []
-            told.append(row | {f: row[f] or "" for f in ["date", *PLACE]})
+            told.append(told_of(row))
     if told:
         yield told
 
@@ -180,16 +210,31 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
 def of_sentences(told: list[dict]) -> list[dict]:
     """Incidents of one document's sentences in order."""
     fill(told)
-    return [{c: sorted(i[c]) if c in LISTS else i[c] for c in ARROW.names} for i in dedup([fold(g) for g in group(told)])]
-
-
-def _incidents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for told in _documents(batches):
-        if found := of_sentences(told):
-            yield pa.RecordBatch.from_pylist(found, ARROW)
+    whole = cache(lambda: organisations_of(told[0]["whole"]))
+    return dedup([fold(g, whole) for g in group(told)])
 
 
 def build(docs: DataFrame) -> DataFrame:
-    """Incidents of (doc_id, text) rows. No shuffle: a document's sentences come out of its one row,
-    so they follow each other in its partition. Rows that repeat an id are documents of their own."""
-    return sentence_events(docs).mapInArrow(_incidents, SCHEMA)
+    """Incidents of (doc_id, text) rows, with the text that each is embedded by. No shuffle: a document's
+    sentences come out of its one row, so they follow each other in its partition. Rows that repeat an
+    id are documents of their own."""
+    made = schema(docs.schema["doc_id"].dataType)
+    arrow = to_arrow_schema(made)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for told in _documents(batches):
+            if found := [{c: sorted(i[c]) if c in LISTS else i[c] for c in arrow.names} for i in of_sentences(told)]:
+                yield pa.RecordBatch.from_pylist(found, arrow)
+
+    found = sentence_events(docs).mapInArrow(run, made).withColumn("has_summary", F.trim("summary") != "")
+    return found.withColumn("retrieval_text", T.retrieval_text({c: F.col(c) for c in found.columns}))
+
+
+def process(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Incidents and pictures of ingested documents (doc_id, source_type, title, raw_text, caption,
+    image_embedding); every picture is an asset besides what its text tells of."""
+    pictures = docs.where("source_type = 'IMAGE'")
+    have = set(docs.columns)
+    optional = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+    assets = pictures.select(F.col("doc_id").alias("asset_id"), F.col("title").alias("filename"), F.col("raw_text").alias("ocr_text"), optional("caption", "string"), F.col("doc_id").alias("source_document_id"), optional("image_embedding", "array<float>"))
+    return build(docs.select("doc_id", F.col("raw_text").alias("text"))), assets.withColumn("retrieval_text", T.image_text(F.col("caption"), F.col("ocr_text")))
