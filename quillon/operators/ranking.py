@@ -54,20 +54,13 @@ def final_score(score: Column, bonus: Column, keyword_hit: Column, wanted_attack
     return score + bonus + F.when(keyword_hit, WEIGHT["keyword"]).otherwise(0.0) + attack
 
 
-def keyword_hits(rows: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
-    """(query id, row id) of rows whose document holds one of the query's words as written, with a
-    capital or in capitals: at most ``most`` of each word and casing, by id. Expects id, question and
-    doc_key, document."""
-    word = queries.select("id", F.explode(T.document_words(F.col("question"))).alias("word")).select("id", F.explode(F.array_distinct(F.array("word", F.initcap("word"), F.upper("word")))).alias("word"))
-    # words come from a fixed list, so there are few; rows are ranked once per word, not per query
-    distinct = word.select("word").distinct()
-    hits = rows.join(F.broadcast(distinct), F.contains(F.col("document"), F.col("word"))).withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("doc_key"))).where(F.col("n") <= most)
-    return word.join(hits.select("word", "doc_key"), "word").select("id", "doc_key").distinct()
-
-
 def best_of(parts: list[DataFrame], keys: list[str], score: str = "score") -> DataFrame:
-    """Rows of several searches, each key once, with its best score."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy(*keys).agg(F.max(score).alias(score))
+    """Rows of several searches, each key once: its row with the best score, of equal ones that of the
+    earliest search, with all its columns."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_part", F.lit(-i)) for i, p in enumerate(parts)])
+    rest = [c for c in both.columns if c not in (*keys, score, "_part")]
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(score, *rest), F.struct(score, "_part")).alias("_best"))
+    return best.select(*keys, "_best.*")
 
 
 def incident_block(r: dict[str, Column], rank: Column, score: Column) -> Column:
@@ -82,8 +75,80 @@ def incident_block(r: dict[str, Column], rank: Column, score: Column) -> Column:
     )
 
 
+def image_block(r: dict[str, Column], rank: Column, score: Column) -> Column:
+    """What a prompt says of a picture."""
+    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(r[c], F.lit(""))) for k, c in (("Filename", "filename"), ("Caption", "caption"), ("OCR Text", "ocr_text"))]
+    return F.concat_ws("\n", F.format_string("--- Retrieved Image Asset #%d (Relevance: %.3f) ---", rank, score), *lines, F.lit("\n"))
+
+
 def contexts(blocks: DataFrame, most: int = 12000) -> DataFrame:
     """query_id, number of blocks and their text by rank, within the budget. A query's blocks are its
     ranked results, a few; the budget bounds what is put together."""
     kept = budget(blocks, most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
     return kept.select("query_id", F.size("b").alias("n"), F.array_join(F.col("b.block"), "").alias("context"))
+
+
+# What a prompt says besides the reports.
+SYSTEM = (
+    "You are a Senior Intelligence Analyst. You will be provided with several incident reports.\n"
+    "Your task is to answer the user's analytical query based strictly on the provided incidents.\n"
+    "Do not speculate beyond the provided context. If information is not present in the retrieved incidents, state that it is not available in the provided data.\n"
+    "\n"
+    "Requirements:\n"
+    "- Answer ONLY the specific question asked. Do NOT generate additional questions or answers.\n"
+    "- Use factual intelligence-report style.\n"
+    "- No speculation, assumptions, or unsupported conclusions.\n"
+    "- Use only retrieved context."
+)
+FORMATS = {
+    "enumeration": (
+        "\n\nFORMATTING INSTRUCTIONS:\n"
+        "The user is asking for a list. Present each matching incident as a numbered item.\n"
+        "For each incident include: Date, Location, Responsible Group, Attack Type, Killed, Injured.\n"
+        "Use this exact format for each item:\n"
+        "1. **[Date]** — [Location]\n"
+        "   - Attack: [type] | Group: [group] | Killed: [N] | Injured: [N]\n"
+        "   - [One-line summary]\n"
+    ),
+    "comparison": (
+        "\n\nFORMATTING INSTRUCTIONS:\n"
+        "The user is asking for a comparison. Present each incident side-by-side.\n"
+        "For each incident, list: Date, Location, Attack Type, Responsible Group, Killed, Injured.\n"
+        "Then provide a brief comparison of key differences and similarities.\n"
+    ),
+    "factual": (
+        "\n\nFORMATTING INSTRUCTIONS:\n"
+        "The user is asking a specific factual question. Answer directly in 1-3 sentences.\n"
+        "State the fact first, then provide supporting detail if available.\n"
+        "If the answer is not in the provided incidents, state that clearly.\n"
+    ),
+    "summary": (
+        "\n\nFORMATTING INSTRUCTIONS:\n"
+        "Provide a concise analytical summary (75-150 words).\n"
+        "Include key facts: dates, locations, responsible groups, casualty figures.\n"
+        "Use factual intelligence-report style.\n"
+    ),
+}
+CLOSING = (
+    "Please provide your answer based only on the incidents above.\n\n"
+    "CRITICAL REMINDER: Provide the final answer directly. Do not output 'Question:' or 'Answer:' headers. Do not ask follow-up questions."
+)
+
+
+def system_prompt(question: Column) -> Column:
+    kind = T.classify_query(question)
+    return F.concat(F.lit(SYSTEM), F.coalesce(*[F.when(kind == k, v) for k, v in FORMATS.items()]))
+
+
+def prompts(ranked: DataFrame, questions: DataFrame, most: int = 12000) -> DataFrame:
+    """id, n, system_prompt, user_prompt of every question (id, question) with ranked results (id, rank, score
+    and an incident's columns)."""
+    fields = ("date", "city", "state", "country", "attack_types", "target_types", "weapon_types", "responsible_groups", "killed", "injured", "summary")
+    block = incident_block({c: F.col(c) for c in fields}, F.col("rank"), F.col("score"))
+    if "asset_id" in ranked.columns:
+        picture = {c: F.col(c) for c in ("filename", "caption", "ocr_text")}
+        block = F.when(F.col("asset_id").isNotNull(), image_block(picture, F.col("rank"), F.col("score"))).otherwise(block)
+    blocks = ranked.select(F.col("id").alias("query_id"), "rank", block.alias("block"))
+    told = contexts(blocks, most).withColumnRenamed("query_id", "id").join(questions.select("id", "question"), "id")
+    user = F.concat(F.lit("ANALYTICAL QUERY: "), "question", F.lit("\n\nRELEVANT INCIDENTS ("), F.col("n").cast("string"), F.lit(" retrieved):\n"), "context", F.lit("\n" + CLOSING))
+    return told.select("id", "n", system_prompt(F.col("question")).alias("system_prompt"), user.alias("user_prompt"))

@@ -1,25 +1,99 @@
-"""Retrieval: exact cosine search, ranking windows, prompt budgets and metrics."""
+"""Retrieval: exact cosine search in blocks, ranking windows and prompt budgets.
+
+A search deals rows into shards and queries into blocks, and each task meets one of each: what it
+holds is bounded, whatever the sizes of both tables, and a query's best rows of all shards are
+merged by rank. Only ids and vectors travel."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+SHARD, BLOCK = 1 << 15, 1 << 10
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as unit rows in double precision; null and zero vectors as zeros."""
+    listed = column.to_pylist()
+    width = max((len(v) for v in listed if v), default=1)
+    out = np.zeros((len(listed), width))
+    for i, v in enumerate(listed):
+        if v and len(v) == width and None not in v:
+            out[i] = v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, largest first, then by place."""
+    if k < len(scores):
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores >= least)
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((at, -scores[at]))][:k]
+
 
+def in_blocks(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, search: Callable[[pa.Table, pa.Table], dict], result: StructType, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """``search`` of every shard of ``rows`` with every block of ``queries``. It gets both as tables,
+    rows in order of their ids, and returns columns of ``result``. The two have no column in common."""
+    shards, blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, shard), (queries, block)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.withColumn("_shard", deal(row_id, shards)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_asks", F.lit(False))
+    right = queries.withColumn("_block", deal(query_id, blocks)).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_asks", F.lit(True))
+    schema = to_arrow_schema(result)
+    own, other = rows.columns, queries.columns
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["_asks"]
+        r, q = table.filter(pa.compute.invert(asks)).select(own).sort_by(row_id), table.filter(asks).select(other).sort_by(query_id)
+        found = search(r, q) if r.num_rows and q.num_rows else {c: [] for c in schema.names}
+        return pa.table({c: pa.array(found[c], schema.field(c).type) for c in schema.names}, schema=schema)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    both = left.unionByName(right, allowMissingColumns=True).repartition(shards * blocks, "_shard", "_block")
+    return both.groupBy("_shard", "_block").applyInArrow(run, result)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of each query by cosine. The few stated queries are the side that is
-    sent to all tasks if their size allows; ties go to the smaller id."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
-    score = rows.join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def top(found: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k best of each query (and of each ``by``), with their rank; ties go to the smaller id."""
+    order = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: the k nearest of ``rows`` (vec_id, embedding) to each of ``queries``
+    (query_id, q) by cosine to six places. A row doesn't answer the query of its own id; null and zero
+    vectors answer nothing; ids that repeat answer each."""
+    result = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("vec_id", rows.schema["vec_id"].dataType), *StructType.fromDDL("score double").fields])
+
+    def search(r: pa.Table, q: pa.Table) -> dict:
+        x, y = matrix(r["embedding"]), matrix(q["q"])
+        ids, out = r["vec_id"].to_pylist(), {"query_id": [], "vec_id": [], "score": []}
+        if x.shape[1] != y.shape[1]:
+            return out
+        alive = x.any(axis=1)
+        names = np.array(ids, dtype=object)
+        for at in range(0, len(y), 128):
+            for i, scores in enumerate(np.round(y[at : at + 128] @ x.T, 6), at):
+                asked = q["query_id"][i].as_py()
+                if not y[i].any():
+                    continue
+                scores = np.where(alive & (names != asked), scores, -np.inf)
+                for j in best(scores, k).tolist():
+                    if scores[j] > -np.inf:
+                        out["query_id"].append(asked)
+                        out["vec_id"].append(ids[j])
+                        out["score"].append(float(scores[j]) + 0.0)
+        return out
+
+    found = in_blocks(rows.select("vec_id", "embedding"), queries.select("query_id", "q"), "vec_id", "query_id", search, result, shard, block)
+    return top(found, k)
 
 
 def similarity_window(ranked: DataFrame, drop: float = 0.05) -> DataFrame:
@@ -35,15 +109,3 @@ def budget(blocks: DataFrame, most: int = 12000, least: int = 200) -> DataFrame:
     room = F.lit(most) - (F.col("_sum") - F.length("block"))
     cut = F.concat(F.expr(f"substring(block, 1, cast({most} - (_sum - length(block)) as int))"), F.lit("... [TRUNCATED]\n\n"))
     return b.withColumn("_room", room).where((F.col("_over") == 0) | ((F.col("_over") == 1) & (F.col("_room") > least))).withColumn("block", F.when(F.col("_over") == 0, F.col("block")).otherwise(cut)).drop("_sum", "_over", "_room")
-
-
-def mean_reciprocal_rank(ranked: DataFrame) -> DataFrame:
-    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
-    hit = lambda k: F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6).alias(f"hit{k}")
-    return first.agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), hit(1), hit(5), hit(10))
-
-
-def field_metrics(labels: DataFrame) -> DataFrame:
-    """Accuracy by field of the constant guess (good, not toxic)."""
-    long = labels.selectExpr("stack(2, 'quality', cast(quality = 1 as int), 'toxic', cast(toxic = 0 as int)) as (field, right)")
-    return long.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("accuracy"))
