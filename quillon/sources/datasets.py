@@ -68,5 +68,50 @@ def add_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
 
 
-def write_failures(rows: DataFrame, path: str) -> None:
-    rows.select("summary", "ground_truth", "prediction").write.mode("overwrite").csv(path, header=True)
+def write_failures(failed: DataFrame, path: str) -> None:
+    """summary, ground_truth, prediction of missed fields as CSV with a header, a folder for each field."""
+    failed.select("field", "summary", "ground_truth", "prediction").write.mode("overwrite").partitionBy("field").csv(path, header=True)
+
+
+def report(metrics: DataFrame) -> DataFrame:
+    """One text: a Markdown table of field metrics, and how many fields were missed. One row for each field."""
+    row = F.format_string("| %s | %.1f%% | %.1f%% | %d | %d |", "field", "accuracy_known", "accuracy_all", "known", F.col("total") - F.col("known"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", row.alias("line")))), lambda x: x["line"]), "\n")
+    head = "# Benchmark of coded fields\n\n| Field | Accuracy (excl. unknown) | Accuracy (incl. unknown) | Known | Unknown |\n|---|---|---|---|---|\n"
+    return metrics.agg(F.concat(F.lit(head), lines, F.lit("\n\nMissed: "), F.sum(F.col("known") - F.col("correct")).cast("string")).alias("report"))
+
+
+# Columns of the evaluation set, all read as text.
+EVALUATION_COLUMNS = ["summary", "attacktype1_txt", "weaptype1_txt", "targtype1_txt", "nkill", "nwound"]
+
+
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries and their coded fields of a CSV with a header."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').select(*EVALUATION_COLUMNS)
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """name (the file's, without its ending) and the fields of JSON files that hold one object each."""
+    rows = with_defaults(spark.read.schema(INCIDENT).option("multiLine", True).json(path).withColumn("_file", F.input_file_name()))
+    return rows.withColumn("name", F.regexp_extract("_file", r"([^/]+)\.[^./]*$", 1)).drop("_file")
+
+
+def corrected(rows: DataFrame, fixes: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with ``column`` as ``fixes`` (key, column) has it, where it has the key."""
+    new = fixes.select(key, F.col(column).alias("_fixed"))
+    return rows.join(new, key, "left").withColumn(column, F.coalesce("_fixed", column)).drop("_fixed").select(*rows.columns)
+
+
+# Texts of rendered reports for evaluation sets, by number.
+_WHAT = ["A car bomb exploded near {target} in {city}", "Gunmen opened fire on {target} in {city}", "Rebels torched {target} in {city}"]
+_TARGETS = ["a police station", "a market", "an army convoy"]
+
+
+def rendered(numbers: DataFrame, cities: list[str]) -> DataFrame:
+    """name, text and the truth about it of every number ``n``: reports to evaluate extraction on."""
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
+    n = F.col("n")
+    place, killed, injured, day = pick(cities, n), (F.pmod(n, F.lit(9)) + 1).cast("int"), (F.pmod(n, F.lit(4)) + 2).cast("int"), (F.pmod(n, F.lit(28)) + 1).cast("int")
+    what = F.replace(F.replace(pick(_WHAT, n), F.lit("{target}"), pick(_TARGETS, n)), F.lit("{city}"), place)
+    text = F.concat(F.lit("On "), day.cast("string"), F.lit(" April 2019 there was an attack. "), what, F.lit(". "), killed.cast("string"), F.lit(" people were killed and "), injured.cast("string"), F.lit(" others were injured."))
+    return numbers.select(F.format_string("incident_%05d", n).alias("name"), text.alias("text"), F.format_string("2019-04-%02d", day).alias("date"), place.alias("city"), killed.alias("killed"), injured.alias("injured"))

@@ -74,23 +74,50 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
+SHORT = 50
+
+
 def ingest(files: DataFrame, extractors: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """doc_id, source_type, source_path, title, raw_text, line_count, error of (path, content).
-    The id is a hash of path and content, so a second run gives the same; UNKNOWN files go. A PDF
-    whose text is under 50 characters is read again as SCANNED_PDF."""
+    """doc_id, source_type, source_path, title, raw_text, line_count, error of (path, content), in one pass
+    over the files. The id is a hash of path and content, so a second run gives the same; UNKNOWN files go.
+    A PDF whose text is under 50 characters is read again as SCANNED_PDF."""
     extract = {"TXT": plain_text, "DOCX": lambda c: F.array_join(docx(c), "\n")} | (extractors or {})
-    kinds = files.withColumn("source_type", category(F.col("content"))).where("source_type <> 'UNKNOWN'")
-    parts = []
-    for kind in ("TXT", "DOCX", "PDF", "IMAGE"):
-        rows = kinds.where(F.col("source_type") == kind)
-        made = extract[kind](F.col("content")) if kind in extract else F.lit(None).cast("string")
-        rows = rows.withColumn("raw_text", made)
-        if kind == "PDF" and "SCANNED_PDF" in extract:
-            short = F.length(F.trim(F.coalesce("raw_text", F.lit("")))) < 50
-            rows = rows.withColumn("source_type", F.when(short, "SCANNED_PDF").otherwise("PDF")).withColumn("raw_text", F.when(short, extract["SCANNED_PDF"](F.col("content"))).otherwise(F.col("raw_text")))
-        parts.append(rows)
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return out.select(
+    content, kind = F.col("content"), F.col("source_type")
+    # each extractor gets the content of its own kind only
+    given = {k: F.when(kind == k, content) for k in ("TXT", "DOCX", "PDF", "IMAGE")}
+    texts = [F.when(kind == k, extract[k](c)) for k, c in given.items() if k in extract]
+    rows = files.select("path", "content", category(content).alias("source_type")).where("source_type <> 'UNKNOWN'")
+    rows = rows.withColumn("raw_text", F.coalesce(*texts))
+    if "SCANNED_PDF" in extract:
+        short = (kind == "PDF") & (F.length(F.trim(F.coalesce("raw_text", F.lit("")))) < SHORT)
+        rows = rows.withColumn("source_type", F.when(short, "SCANNED_PDF").otherwise(kind))
+        rows = rows.withColumn("raw_text", F.when(kind == "SCANNED_PDF", extract["SCANNED_PDF"](F.when(kind == "SCANNED_PDF", content))).otherwise(F.col("raw_text")))
+    return rows.select(
         F.sha2(F.concat(F.encode("path", "UTF-8"), "content"), 256).alias("doc_id"), "source_type", F.col("path").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("title"), "raw_text",
         line_count(F.col("raw_text")).alias("line_count"), F.when(F.col("raw_text").isNull(), F.concat(F.lit("no extractor or unreadable: "), "source_type")).alias("error"),
     )
+
+
+def pdf_text(pages: Column) -> Column:
+    """The text of a PDF of array<struct<text, images: array<string>>>, one for each page: its words if it has
+    any, then what was found in each of its pictures, headed by number and page. A picture that couldn't
+    be read is null and leaves no trace."""
+
+    def page(p: Column, i: Column) -> Column:
+        told = F.transform(F.coalesce(p["images"], F.array().cast("array<string>")), lambda text, k: F.when(F.trim(text) != "", F.concat(F.format_string("--- Embedded Image %d on Page %d ---\n", k + 1, i + 1), text)))
+        return F.concat(F.array_compact(F.array(F.when(F.trim(p["text"]) != "", p["text"]))), F.array_compact(told))
+
+    return F.array_join(F.flatten(F.transform(pages, page)), "\n")
+
+
+def image_documents(files: DataFrame, ocr: Callable[[Column], Column] | None = None, caption: Callable[[Column], Column] | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, source_type, source_path, title, raw_text, detections, caption, image_embedding of pictures.
+    ``ocr`` gives the words found in a picture as an array, joined by spaces; ``caption`` a text; ``embedder`` a
+    vector. One that is missing or fails (null) leaves its column empty, and the picture stays."""
+    rows = files.select("path", "content", category(F.col("content")).alias("source_type")).where("source_type = 'IMAGE'")
+    made = lambda use, kind: F.lit(None).cast(kind) if use is None else use(F.col("content")).cast(kind)
+    rows = rows.withColumn("words", made(ocr, "array<string>")).withColumn("caption", F.coalesce(made(caption, "string"), F.lit(""))).withColumn("image_embedding", made(embedder, "array<float>"))
+    return rows.select(
+        F.sha2(F.concat(F.encode("path", "UTF-8"), "content"), 256).alias("doc_id"), "source_type", F.col("path").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("title"),
+        F.coalesce(F.array_join("words", " "), F.lit("")).alias("raw_text"), F.coalesce(F.size("words"), F.lit(0)).alias("detections"), "caption", "image_embedding",
+    )
