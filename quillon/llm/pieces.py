@@ -181,6 +181,7 @@ class Transducer:
         self.tree: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_bytes = 0
         table = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (" ⁇ " if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.spell_len = np.array([len(b) for b in table], np.int64)
@@ -188,8 +189,8 @@ class Transducer:
         self.spell = np.frombuffer(b"".join(table), np.uint8)
 
     def forget(self) -> None:
-        """Drops what encoding has remembered."""
-        self.known, self.known_bytes, self.pairs, self.tree = {}, 0, {}, {}
+        """Drops the paths that encoding has remembered; of neighbours few are known, and they stay."""
+        self.known, self.older, self.known_bytes = {}, {}, 0
 
     # --- the acceptor of adjacent pieces ---
 
@@ -252,7 +253,9 @@ class Transducer:
         states. The queue holds (weight, minus place, where the last piece begins, number of a visit), so
         of equal paths the one with the longer last piece wins; visits link back to the ones before
         them, and a state is settled once."""
-        n, ids, reach, pairs, merges, many = len(text), self.ids, self.reach, self.pairs, self.merges, len(self.pieces)
+        if self.merges:
+            return self.unweighted(text)
+        n, ids, reach = len(text), self.ids, self.reach
         visits = [(-1, -1, 0.0)]  # (visit before, piece, weight)
         queue = [(0.0, 0, 0, 0)]
         settled = set()
@@ -261,24 +264,16 @@ class Transducer:
             at = -place
             if at == n:
                 break
-            before = visits[visit][1]
-            state = at * many + before if merges and before >= 0 else -1 - at  # without merges every piece is the same to its neighbour
-            if state in settled:
+            if at in settled:  # every pair weighs 0, so the piece before doesn't tell states apart
                 continue
-            settled.add(state)
-            size = reach.get(text[at : at + 2], 1)
-            for end in range(min(n, at + size), at, -1):
+            settled.add(at)
+            for end in range(min(n, at + reach.get(text[at : at + 2], 1)), at, -1):
                 i = ids.get(text[at:end])
                 if i is None:
                     if end > at + 1:
                         continue
                     i, total = -2 - ord(text[at]), weight + self.fallback
                 else:
-                    if merges:
-                        last = before if before >= 0 else -1
-                        fits = pairs.get(last * many + i)
-                        if not (self.fits(last, i) if fits is None else fits):
-                            continue
                     total = weight + self.weight[i]
                 visits.append((visit, i, total))
                 heapq.heappush(queue, (total, -end, at, len(visits) - 1))
@@ -290,23 +285,69 @@ class Transducer:
             out.append(i)
         return out[::-1]
 
+    def unweighted(self, text: str) -> list[int]:
+        """The same where every finite weight is 0, as for models of merges: the first path that arrives is
+        shortest, so the queue is a stack, the path itself, and arcs are tried longest first. A state is
+        (place, piece before, -1 for none); one without a finite arc is not entered again."""
+        n, ids, reach, pairs, many = len(text), self.ids, self.reach, self.pairs, len(self.pieces)
+        out: list[int] = []
+        sizes: list[int] = []
+        closed: set[tuple[int, int]] = set()
+        at, before, size = 0, -1, min(reach.get(text[:2], 1), n)
+        while at < n:
+            while size:
+                i = ids.get(text[at : at + size])
+                if i is not None:
+                    fits = pairs.get(before * many + i)
+                    if fits or (fits is None and self.fits(before, i)):
+                        break
+                elif size == 1:
+                    i = -2 - ord(text[at])
+                    break
+                size -= 1
+            if size:
+                out.append(i)
+                sizes.append(size)
+                at += size
+                before = i if i >= 0 else -1
+                if not closed or (at, before) not in closed:
+                    size = min(reach.get(text[at : at + 2], 1), n - at)
+                    continue
+            else:
+                closed.add((at, before))
+            if not out:
+                raise ValueError("no finite path")
+            out.pop()
+            size = sizes.pop()
+            at, before, size = at - size, max(out[-1], -1) if out else -1, size - 1
+        return out
+
+    def spelled_out(self, path: list[int]) -> list[int]:
+        """A path with the bytes of characters that fall back."""
+        ids: list[int] = []
+        for i in path:
+            if i >= 0:
+                ids.append(i)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in chr(-2 - i).encode()]
+            elif not ids or ids[-1] != self.unknown:  # unknown characters that follow each other are one
+                ids.append(self.unknown)
+        return ids
+
     def part(self, text: str) -> bytes:
         """Ids of a part as int32 bytes; the paths of short parts are remembered."""
         got = self.known.get(text)
         if got is None:
-            ids = []
-            for i in self.shortest(text):
-                if i >= 0:
-                    ids.append(i)
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in chr(-2 - i).encode()]
-                elif not ids or ids[-1] != self.unknown:  # unknown characters that follow each other are one
-                    ids.append(self.unknown)
-            got = array("i", ids).tobytes()
+            got = self.older.get(text)
+            if got is None:
+                ids = self.shortest(text)
+                if ids and min(ids) < 0:
+                    ids = self.spelled_out(ids)
+                got = array("i", ids).tobytes()
             if len(text) <= 64:
                 self.known_bytes += 200 + len(text) * 2 + len(got)  # a dictionary entry, its string and bytes
-                if self.known_bytes > self.remember:
-                    self.known, self.known_bytes = {}, 0
+                if 2 * self.known_bytes > self.remember:  # two generations: what is used again stays
+                    self.known, self.older, self.known_bytes = {}, self.known, 0
                 self.known[text] = got
         return got
 
