@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quillon.llm.shared import bounded_batches, byte_texts, release
+from quillon.llm.shared import bounded_batches, byte_texts, tidy
 
 #: Everything of ASCII that is not a letter or digit separates; A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -170,6 +170,7 @@ class Remembered:
 
 
 @F.arrow_udf(BinaryType())
+@tidy
 def feature_hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A text's distinct features, as sorted 64-bit hashes."""
     known = Remembered(word_features)
@@ -180,7 +181,6 @@ def feature_hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 hits = known.of(t)
                 out.append(np.sort(np.fromiter(hits, np.uint64, len(hits))).tobytes())
         yield pa.array(out, pa.binary())
-    release()
 
 
 def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text") -> Column:
@@ -189,6 +189,7 @@ def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text"
     held = spark.sparkContext.broadcast(chain)
 
     @F.arrow_udf("array<double>")
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         wanted = set().union(*model.features) if model.features else set()
@@ -198,7 +199,6 @@ def probabilities(spark: SparkSession, chain: Chain, text: Column | str = "text"
             for k in range(0, len(texts), 256):
                 out += model.predict([known.of(t) for t in byte_texts(texts.slice(k, 256))]).tolist()
             yield pa.array(out, pa.list_(pa.float64()))
-        release()
 
     return score(text)
 
