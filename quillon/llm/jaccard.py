@@ -283,3 +283,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (name,) = shared.fresh(docs, "_gone")
     gone = save(spark, found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+
+
+#: By way of all pairs that share a shingle: for small tables.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d),
+s AS MATERIALIZED (SELECT row, unnest(shingles) AS x FROM e),
+p AS (SELECT a.row AS a, b.row AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.row < b.row GROUP BY ALL),
+k AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN e x ON x.row = p.a JOIN e y ON y.row = p.b WHERE 100 * common >= 80 * (len(x.shingles) + len(y.shingles) - common) AND x.doc_id <> y.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM k UNION SELECT b, a FROM k),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS comp FROM r GROUP BY a)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(comp, doc_id) AS component_id FROM e LEFT JOIN c ON c.a = e.doc_id
+"""

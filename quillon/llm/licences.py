@@ -192,3 +192,22 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scan finds in every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", scanned("text").alias("s")).select("doc_id", "s.*")
+
+
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these the base alone, which SQL can find too."""
+    return op9_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _sql_places(phrase: str) -> str:
+    fits = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(), 1))
+    return f"list_filter(range(0, len(w)), lambda i: {fits})"
+
+
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, [{", ".join(_sql_places(x) for x in BASE)}] AS places FROM d),
+q AS (SELECT doc_id, n, places, flatten(places) AS every FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, CAST(list_min(every) AS BIGINT) AS first_word, CAST(list_max(every) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN len(places[{k}]) > 0 THEN '{label}' END" for k, label in enumerate(BASE.values(), 1))}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM q
+"""

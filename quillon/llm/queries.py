@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_licences": licences.op9_licences,
     "op10_jaccard": jaccard.op10_jaccard,
+    "licence_base": licences.licence_base,
 }
 
 SQL = {
@@ -22,4 +23,6 @@ SQL = {
     "op5_hamming": hamming.OP5_SQL,
     "op6_vectors": vectors.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op10_jaccard": jaccard.OP10_SQL,
+    "licence_base": licences.BASE_SQL,
 }
