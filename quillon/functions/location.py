@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import places
-from quillon.functions.lexicon import escaped, let
+from quillon.functions.lexicon import let, prefix_pattern
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -21,7 +21,8 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
 
 
 def _names(names: list[str]) -> str:
-    return rf"\b({'|'.join(escaped(n.lower()) for n in sorted(names, key=lambda n: (-len(n), n)))})\b"
+    """Names that stand alone; where one begins with another, the longer counts."""
+    return rf"\b({prefix_pattern(n.lower() for n in names)})\b"
 
 
 def location(text: Column, earliest: bool = False, cities: dict[str, list[str]] = places.CITIES, states: dict[str, str] = places.STATES, state_names: list[str] = places.STATE_NAMES) -> Column:

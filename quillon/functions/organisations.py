@@ -80,10 +80,17 @@ def _overlaps(name: str, known: Iterable[str]) -> bool:
     return any(k.lower() in name.lower() or name.lower() in k.lower() for k in known)
 
 
-def _written(known: list[str], text: str) -> list[str]:
-    """Known names in a text: short ones stand alone and as spelled, others anywhere in any case."""
-    low = text.lower()
-    return [k for k in known if (re.search(rf"\b{re.escape(k)}\b", text) if len(k) <= 4 else k.lower() in low)]
+def _ready(known: list[str]) -> list[tuple[str, re.Pattern | None, str]]:
+    """Names with what finds them: short ones stand alone and as spelled, others anywhere in any case."""
+    return [(k, re.compile(rf"\b{re.escape(k)}\b") if len(k) <= 4 else None, k.lower()) for k in known]
+
+
+_GROUPS, _FORCES = _ready(GROUPS), _ready(FORCES)
+
+
+def _written(known: list[tuple[str, re.Pattern | None, str]], text: str, low: str) -> list[str]:
+    """Known names in a text."""
+    return [k for k, pattern, small in known if small in low and (pattern is None or pattern.search(text))]
 
 
 def _collect(names: Iterable[str], wanted: Callable[[str], bool]) -> dict[str, str]:
@@ -108,28 +115,32 @@ def _most_telling(names: Iterable[str], known: list[str]) -> list[str]:
     return sorted(kept)
 
 
+# Words one of which stands in every match of the patterns around a name.
+CUES = [
+    "responsib", "carried", "perpetrated", "attributed", "credit", "linked", "blamed", "militants", "terrorists", "insurgents", "attack", "bombing", "affiliated", "personnel", "convoy", "soldiers", "troops", "police", "jawans", "cadets",
+    "officers", "targeted", "victims",
+]
+#: Texts without a cue or a known name have no names. Looked for in the JVM, so that they never get here.
+_SOME = prefix_pattern({w.lower() for w in CUES + GROUPS + FORCES})
+_CUE = re.compile(_SOME)
+
+
 def organisations_of(text: str, entities: Callable[[str], list[str]] | None = None) -> tuple[list[str], list[str]]:
     """(responsible groups, target organisations) of a text, each sorted."""
     context = lambda patterns: [m[1] for guard, p in patterns if guard.search(text) for m in p.finditer(text)]
+    low = text.lower()
+    if not entities and not _CUE.search(low):
+        return [], []
     other = entities(text) if entities else []
     forces = [n for n in other if _overlaps(n, FORCES)]
-    groups = _collect(_written(GROUPS, text) + context(_BY_GROUP) + [n for n in other if n not in forces and _overlaps(n, GROUPS)], lambda n: is_name(n) and not _overlaps(n, AID))
-    targets = _collect(_written(FORCES, text) + context(_ON_TARGET) + forces, is_name)
+    groups = _collect(_written(_GROUPS, text, low) + context(_BY_GROUP) + [n for n in other if n not in forces and _overlaps(n, GROUPS)], lambda n: is_name(n) and not _overlaps(n, AID))
+    targets = _collect(_written(_FORCES, text, low) + context(_ON_TARGET) + forces, is_name)
     for parent, children in FACTIONS.items():
         if any(c.lower() in groups for c in children):
             groups.pop(parent.lower(), None)
     return _most_telling(groups.values(), GROUPS), _most_telling(targets.values(), FORCES + GENERIC_FORCES)
 
 
-# Words one of which stands in every match of the patterns around a name.
-CUES = [
-    "responsib", "carried", "perpetrated", "attributed", "credit", "linked", "blamed", "militants", "terrorists", "insurgents", "attack", "bombing", "affiliated", "personnel", "convoy", "soldiers", "troops", "police", "jawans", "cadets",
-    "officers", "targeted", "victims",
-]
-#: Texts without a cue or a known name have no names. In the JVM, so that they never get here.
-_SOME = prefix_pattern({w.lower() for w in CUES + GROUPS + FORCES})
-
-
 def organisations(text: Column) -> Column:
     """struct(groups, targets), arrays of names; empty for null."""
 

@@ -150,16 +150,20 @@ def date_of(text: Column, as_of: Column | None = None) -> Column:
 
 def _date_of(text: Column, as_of: Column | None) -> Column:
     def named(pattern: str, day: int, month: int, year: int) -> Column:
-        part = [F.regexp_extract(text, pattern, i) for i in (year, month, day)]
-        y = F.when(part[0] != "", part[0]) if as_of is None else F.when(part[0] != "", part[0]).otherwise(F.year(as_of).cast("string"))
-        return F.try_to_date(F.concat_ws(" ", part[2], F.initcap(part[1]), y), "d MMMM yyyy")
+        def read(hit: Column) -> Column:
+            part = [F.regexp_extract(hit, pattern, i) for i in (year, month, day)]
+            y = F.when(part[0] != "", part[0]) if as_of is None else F.when(part[0] != "", part[0]).otherwise(F.year(as_of).cast("string"))
+            return F.when(hit != "", F.try_to_date(F.concat_ws(" ", part[2], F.initcap(part[1]), y), "d MMMM yyyy"))
+
+        return let(F.regexp_extract(text, pattern, 0), read)  # its parts are sought in the match only
 
     iso = F.try_to_date(F.regexp_extract(text, r"\b(\d{4}-\d{1,2}-\d{1,2})\b", 1), "yyyy-M-d")
     number = F.regexp_replace(F.regexp_extract(text, r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b", 1), "-", "/")
-    return F.coalesce(
-        iso, F.try_to_date(number, "M/d/yyyy"), F.try_to_date(number, "d/M/yyyy"),
-        named(rf"(?i)\b(\d{{1,2}})\s+{_MONTH}(?:\s+(\d{{4}}))?\b", 1, 2, 3), named(rf"(?i)\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?\b", 2, 1, 3),
-    )
+    numeric = let(number, lambda n: F.when(n != "", F.coalesce(F.try_to_date(n, "M/d/yyyy"), F.try_to_date(n, "d/M/yyyy"))))
+    # every form has a digit
+    return F.when(text.rlike(r"\d"), F.coalesce(
+        iso, numeric, named(rf"(?i)\b(\d{{1,2}})\s+{_MONTH}(?:\s+(\d{{4}}))?\b", 1, 2, 3), named(rf"(?i)\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?\b", 2, 1, 3),
+    ))
 
 
 def jaccard(a: Column, b: Column) -> Column:
