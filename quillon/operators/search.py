@@ -97,6 +97,29 @@ def _clause(asked: dict, city: list, state: list, lists: dict[str, list[str]], c
     return np.logical_and.reduce(parts) if parts else None
 
 
+_SOUGHT = ["attack_types", "target_types", "weapon_types", "responsible_groups"]
+
+
+def _columns(table: pa.Table) -> tuple[list, list, dict[str, list[str]]]:
+    """Cities, states and joined lists of a shard's incidents."""
+    return table["city"].to_pylist(), table["state"].to_pylist(), {c: [v or "" for v in table[c].to_pylist()] for c in _SOUGHT}
+
+
+def matching(incidents: DataFrame, questions: DataFrame, shard: int = retrieval.SHARD, block: int = retrieval.BLOCK) -> DataFrame:
+    """query_id, n: how many incidents are all that each question (id, filters) asks for; a question that asks
+    for nothing has no row."""
+    result = StructType([StructField("query_id", questions.schema["id"].dataType), *StructType.fromDDL("n long").fields])
+    rows = incidents.select("incident_id", "city", "state", *[F.array_join(c, ", ").alias(c) for c in _SOUGHT])
+
+    def search(r: pa.Table, q: pa.Table) -> dict:
+        own, cache = _columns(r), {}
+        found = [(i, _clause(f, *own, cache)) for i, f in zip(q["id"].to_pylist(), q["filters"].to_pylist(), strict=True)]
+        return {"query_id": [i for i, w in found if w is not None], "n": [int(w.sum()) for _, w in found if w is not None]}
+
+    found = retrieval.in_blocks(rows, questions.select("id", "filters"), "incident_id", "id", search, result, shard, block)
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
 def candidates(incidents: DataFrame, questions: DataFrame, fetch: int, keyword_most: int = KEYWORD_MOST, shard: int = retrieval.SHARD, block: int = retrieval.BLOCK) -> DataFrame:
     """query_id, vec_id, way, score: incidents (incident_id, embedding, document, city, state and lists) that
     a search of ``questions`` (id, filters, q) finds: the ``fetch`` nearest that are all it asks for (way
@@ -104,15 +127,12 @@ def candidates(incidents: DataFrame, questions: DataFrame, fetch: int, keyword_m
     document holds it (``word:`` and the word)."""
     ids = StructType([StructField("query_id", questions.schema["id"].dataType), StructField("vec_id", incidents.schema["incident_id"].dataType)])
     result = StructType([*ids.fields, *StructType.fromDDL("way string, score double").fields])
-    lists = ["attack_types", "target_types", "weapon_types", "responsible_groups"]
-    rows = incidents.select("incident_id", "embedding", "document", "city", "state", *[F.array_join(c, ", ").alias(c) for c in lists])
+    rows = incidents.select("incident_id", "embedding", "document", "city", "state", *[F.array_join(c, ", ").alias(c) for c in _SOUGHT])
 
     def search(r: pa.Table, q: pa.Table) -> dict:
         x, y = retrieval.matrix(r["embedding"]), retrieval.matrix(q["q"])
         names, documents = r["incident_id"].to_pylist(), [d or "" for d in r["document"].to_pylist()]
-        city, state = r["city"].to_pylist(), r["state"].to_pylist()
-        joined = {c: [v or "" for v in r[c].to_pylist()] for c in lists}
-        out, cache = {c: [] for c in result.names}, {}
+        own, out, cache = _columns(r), {c: [] for c in result.names}, {}
 
         def take(asked, scores: np.ndarray, where: np.ndarray | None, k: int, way: str) -> None:
             at = np.arange(len(scores)) if where is None else np.flatnonzero(where)
@@ -124,7 +144,7 @@ def candidates(incidents: DataFrame, questions: DataFrame, fetch: int, keyword_m
 
         for at in range(0, len(y), 128):
             for (asked, filters), scores in zip(zip(q["id"].to_pylist()[at : at + 128], q["filters"].to_pylist()[at : at + 128], strict=True), np.round(y[at : at + 128] @ x.T, 6), strict=True):
-                where = _clause(filters, city, state, joined, cache)
+                where = _clause(filters, *own, cache)
                 if where is not None:
                     take(asked, scores, where, fetch, "filter")
                 take(asked, scores, None, fetch, "any")

@@ -144,13 +144,10 @@ _ASKS = "coalesce(f.city, f.state, f.attack, f.target, f.weapon, array_to_string
 
 
 def _where(s: SparkSession, d: str) -> DataFrame:
-    """How many incidents are what each question asks for. Questions meet the table by their different
-    filters, of which their few forms make a few dozen."""
+    """How many incidents are what each question asks for."""
     asked = questions(s, d).withColumn("filters", search.question_filters(F.col("question")))
-    i = incidents(s, d)
-    forms = asked.select("filters").distinct()
-    hits = i.join(F.broadcast(forms), search.where_clause(F.col("filters"), {c: i[c] for c in i.columns})).groupBy("filters").agg(F.count("*").alias("n"))
-    return asked.join(hits, "filters", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    hits = search.matching(incidents(s, d), asked).withColumnRenamed("query_id", "id")
+    return asked.join(hits, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 R._add("qf_where", _where, f"{_WITH}, {_FILTERS}, g AS (SELECT state, city, aliases, attack, target, weapon, words FROM f GROUP BY ALL), h AS (SELECT f.*, (SELECT count(*) FROM i WHERE {_CLAUSE}) AS n FROM (SELECT *, {_ASKS} AS asks FROM g f) f WHERE asks) SELECT f.id, coalesce(h.n, 0) AS n FROM f LEFT JOIN h ON (f.state, f.city, f.attack, f.target, f.weapon) IS NOT DISTINCT FROM (h.state, h.city, h.attack, h.target, h.weapon) AND f.aliases IS NOT DISTINCT FROM h.aliases AND f.words = h.words")

@@ -282,8 +282,8 @@ _AV = "a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enu
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    asked = s.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_ASKED)) + " AS t(id, question)")
-    return reports(s, d).join(F.broadcast(asked))  # five rows
+    """Every report with each question of the list, which is a part of the expression and no table."""
+    return reports(s, d).select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("question")) for i, t in enumerate(_ASKED)])))
 
 
 _add("r_bonus", lambda s, d: _asked(s, d).select("id", "report_id", F.round(ranking.metadata_bonus(F.col("question"), F.lit("2019-04-01"), [F.col("city")], F.array("grp")), 6).alias("bonus")),

@@ -129,6 +129,18 @@ def test_search_and_answers(spark):
     assert all(r.score > 0.25 for r in mine) and {r.id for r in mine} <= {1, 3, 4}
 
 
+def test_clause_of_columns_and_of_blocks_agree(spark):
+    """The where clause as an expression and over a shard's arrays, on the same incidents and questions."""
+    table = _table(spark).withColumn("weapon_types", F.when(F.col("incident_id") == "a", F.array(F.lit("Firearms"))).otherwise(F.array().cast("array<string>")))
+    texts = ["Bombings in Pune", "gun attacks in Mumbai", "Maharashtra", "IM attacks", "anything", "kashmir", "armed assault with a rifle in mumbai"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "id int, question string").withColumn("filters", search.question_filters(F.col("question")))
+    pairs = asked.crossJoin(table).select("id", search.where_clause(F.col("filters"), {c: F.col(c) for c in table.columns}).alias("fits"))
+    want = {r.id: r.n for r in pairs.where("fits is not null").groupBy("id").agg(F.count_if("fits").alias("n")).collect()}
+    for shard, block in ((1 << 15, 1 << 10), (1, 2)):
+        assert {r.query_id: r.n for r in search.matching(table, asked, shard, block).collect()} == want
+    assert want[0] == 1 and want[1] == 1 and want[2] == 2 and want[3] == 1 and 4 not in want and want[5] == 0
+
+
 def test_set_score_is_greedy_and_one_to_one(spark):
     def plain(expected, actual):
         e, a = ([(x or "").strip().lower() for x in v or []] for v in (expected, actual))
