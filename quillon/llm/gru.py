@@ -40,6 +40,7 @@ from quillon.llm.shared import array_parts, buffers, emit, reduce_arrays, save,
 END = np.int64(0)  # words are moved off this hash
 LEAST_SIDE = 16
 SHARD_TOKENS = 1 << 21
+TOGETHER = 16 << 20  # bytes of texts that are scored together
 _COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 _SCORES = (
     [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("outside", pa.int64()), ("gru", pa.float64()), ("rare", pa.list_(pa.int64()))]
@@ -47,6 +48,19 @@ _SCORES = (
 _SCORES_SQL = "held_out boolean, n_tokens long, known long, logs double, outside long, gru double, rare array<long>"
 
 
+def normal(a: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits, in their place: log-probabilities of the entries ``at``, exponentials, and their sums."""
+    picked = a[rows, at]
+    e = np.exp(a)
+    sums = e.sum(1, keepdims=True)
+    if not (np.isfinite(sums).all() and sums.min(initial=1.0) > 0):  # too large or small as they are
+        top = a.max(1, keepdims=True)
+        picked = picked - top[:, 0]
+        e = np.exp(a - top)
+        sums = e.sum(1, keepdims=True)
+    return picked - np.log(sums[:, 0]), e, sums
+
+
 class Gru:
     """Weights and the passes through them. Input weights are a table by word: they stand
     for embedding and input matrix at once."""
@@ -98,36 +112,38 @@ class Gru:
 
     def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
         """Natural log-probabilities of the targets; if ``learn``, gradients of minus their sum as well
-        (those of the words' weights for the classes at hand only, with these)."""
-        rows, k = np.arange(len(targets)), targets // self.per
-        a = states @ self.p["c"] + self.p["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1, keepdims=True)
-        logs = a[rows, k] - np.log(s[:, 0])
+        (those of the words' weights for the classes at hand only, with these). Rows are put in order of
+        their targets' classes once, so that every class has a slice of them."""
+        k = targets // self.per
         order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(self.classes + 1))
+        s, k = states[order], k[order]
+        own, rows = targets[order] - k * self.per, np.arange(len(k))
+        ends = np.searchsorted(k, np.arange(self.classes + 1))
         used = np.flatnonzero(np.diff(ends))
+        logs, e, sums = normal(s @ self.p["c"] + self.p["cb"], rows, k)
         if learn:
-            da = e / s
-            da[rows, k] -= 1
-            g = {"c": states.T @ da, "cb": da.sum(0), "w": (used, np.empty_like(self.p["w"][used])), "wb": (used, np.empty_like(self.p["wb"][used]))}
-            dh = da @ self.p["c"].T
+            e /= sums
+            e[rows, k] -= 1
+            g = {"c": s.T @ e, "cb": e.sum(0), "w": (used, np.empty_like(self.p["w"][used])), "wb": (used, np.empty_like(self.p["wb"][used]))}
+            dh = e @ self.p["c"].T
         for row, c in enumerate(used.tolist()):
-            at = order[ends[c] : ends[c + 1]]
-            hs, own, w = states[at], targets[at] - c * self.per, self.p["w"][c]
-            b = hs @ w + self.p["wb"][c]
-            b -= b.max(1, keepdims=True)
-            f = np.exp(b)
-            q = f.sum(1, keepdims=True)
-            i = np.arange(len(at))
-            logs[at] += b[i, own] - np.log(q[:, 0])
+            x, y = ends[c], ends[c + 1]
+            w, at = self.p["w"][c], rows[: y - x]
+            log, f, q = normal(s[x:y] @ w + self.p["wb"][c], at, own[x:y])
+            logs[x:y] += log
             if learn:
-                db = f / q
-                db[i, own] -= 1
-                g["w"][1][row], g["wb"][1][row] = hs.T @ db, db.sum(0)
-                dh[at] += db @ w.T
-        return (logs, g, dh) if learn else logs
+                f /= q
+                f[at, own[x:y]] -= 1
+                np.matmul(s[x:y].T, f, out=g["w"][1][row])
+                f.sum(0, out=g["wb"][1][row])
+                dh[x:y] += f @ w.T
+        back = np.empty_like(logs)
+        back[order] = logs
+        if not learn:
+            return back
+        out = np.empty_like(dh)
+        out[order] = dh
+        return back, g, out
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, h: np.ndarray, adam: dict, rate: float) -> np.ndarray:
         """One step on a window: the gradient goes back to its beginning only."""
@@ -139,18 +155,23 @@ class Gru:
         du, dh = np.zeros_like(u), np.zeros_like(h)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, m, hum = kept[t]
-            dh = dh + dout[t]
-            dm = dh * (1 - z) * (1 - m * m)
+            dh += dout[t]
+            rest = 1 - z
+            dm = dh * rest
             d = dx[t]
-            d[:, :n] = dh * (before - m) * z * (1 - z)
-            d[:, n : 2 * n] = dm * hum * r * (1 - r)
+            np.multiply(before - m, z, out=d[:, :n])
+            d[:, :n] *= dm
+            dm *= 1 - m * m
             d[:, 2 * n :] = dm
+            dm *= r
+            np.multiply(dm * hum, 1 - r, out=d[:, n : 2 * n])
             dhu = d.copy()
-            dhu[:, 2 * n :] *= r
+            dhu[:, 2 * n :] = dm
             du += before.T @ dhu
-            dh = dh * z + dhu @ u.T
+            dh *= z
+            dh += dhu @ u.T
             if resets[t].any():
-                dh = np.where(resets[t][:, None], np.float32(0), dh)
+                dh[resets[t]] = 0
         ids, flat = inputs.reshape(-1), dx.reshape(-1, 3 * n)
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -159,12 +180,26 @@ class Gru:
         adam["t"] = adam.get("t", 0) + 1
         for k, v in g.items():
             at, v = v if isinstance(v, tuple) else (slice(None), v)  # words and classes that the window hasn't stay as they are
-            v = np.clip(v / targets.size, -0.05, 0.05)
+            if not isinstance(at, slice) and len(at) == len(self.p[k]):
+                at = slice(None)
+            v *= np.float32(1 / targets.size)
+            np.clip(v, -0.05, 0.05, out=v)
             if (k, 1) not in adam:
                 adam[k, 1], adam[k, 2] = np.zeros_like(self.p[k]), np.zeros_like(self.p[k])
-            m1 = adam[k, 1][at] = 0.9 * adam[k, 1][at] + 0.1 * v
-            m2 = adam[k, 2][at] = 0.99 * adam[k, 2][at] + 0.01 * v * v
-            self.p[k][at] -= (rate * (m1 / (1 - 0.9 ** adam["t"])) / (np.sqrt(m2 / (1 - 0.99 ** adam["t"])) + 1e-6)).astype(np.float32)
+            m1, m2 = adam[k, 1][at], adam[k, 2][at]
+            m1 *= 0.9
+            m1 += 0.1 * v
+            m2 *= 0.99
+            v *= v
+            v *= 0.01
+            m2 += v
+            if not isinstance(at, slice):
+                adam[k, 1][at], adam[k, 2][at] = m1, m2
+            np.sqrt(m2 / (1 - 0.99 ** adam["t"]), out=v)
+            v += 1e-6
+            np.divide(m1, v, out=v)
+            v *= rate / (1 - 0.9 ** adam["t"])
+            self.p[k][at] -= v
         return last
 
     def score(self, texts: list[np.ndarray], slots: int = 256, window: int = 32) -> np.ndarray:
@@ -301,7 +336,7 @@ def tokens(column: pa.Array, lexicon: Lexicon):
     return (full, *lexicon.find(full), at + np.arange(len(at)))
 
 
-def train(spark: SparkSession, docs: DataFrame, total: int, lexicon, size: int, hidden: int, rounds: int, slots: int = 256, window: int = 24, rate: float = 0.01) -> np.ndarray:
+def train(spark: SparkSession, docs: DataFrame, total: int, lexicon, size: int, hidden: int, rounds: int, slots: int = 512, window: int = 24, rate: float = 0.02) -> np.ndarray:
     """Weights after ``rounds`` rounds over ``docs`` (id, text), which are the training documents and
     have ``total`` tokens."""
     weights = Gru(size, hidden).start_from(lexicon.value.start).flat()
@@ -393,19 +428,21 @@ def score(
         model = Gru(size, hidden).load(weights.value)
         model.end = words.end
         logs = np.log10(words.c + 1.0)
-        for part in (p for b in batches for p in slices(b, 2048)):
-            h, at, there, begins = tokens(part.column(2), words)
+        def scored(waiting: list[tuple]):
+            """Rows that are scored together: the more texts, the fewer steps with few lanes."""
+            column = pa.concat_arrays([c.cast(pa.large_string()) for _, _, c in waiting])
+            h, at, there, begins = tokens(column, words)
             number = np.where(there, words.number[at], words.other)
             value = np.where(there, logs[at], 0.0)
-            ends, add = begins[1:], lambda x, begins=begins: np.add.reduceat(x, begins[:-1]) if len(x) else np.zeros(0)
+            ends, add = begins[1:], lambda x: np.add.reduceat(x, begins[:-1]) if len(x) else np.zeros(0)
             texts = np.split(number.astype(np.int32), ends[:-1])
             rare = ~there
             rare_at = np.concatenate([[0], np.cumsum(add(rare.astype(np.int64)))]).astype(np.int32)
-            yield emit(
+            return emit(
                 schema,
                 {
-                    "doc_id": part.column(0),
-                    "held_out": part.column(1),
+                    "doc_id": pa.concat_arrays([c for c, _, _ in waiting]),
+                    "held_out": pa.concat_arrays([c for _, c, _ in waiting]),
                     "n_tokens": np.diff(begins).astype(np.int64),
                     "known": add((there & (words.c[at] > 0)).astype(np.int64)),
                     "logs": add(value),
@@ -415,6 +452,16 @@ def score(
                 },
             )
 
+        waiting, held = [], 0
+        for part in (p for b in batches for p in slices(b, 512)):
+            waiting.append(tuple(part.columns))
+            held += part.column(2).nbytes
+            if held > TOGETHER:
+                yield scored(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield scored(waiting)
+
     parts = rows.select("id", "held_out", "text").mapInArrow(run, StructType([StructField("doc_id", kind), *StructType.fromDDL(_SCORES_SQL).fields])).withColumn("row", F.monotonically_increasing_id())
     parts = save(spark, parts, "scores")
     rare = parts.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("tf"))
