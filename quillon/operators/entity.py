@@ -32,38 +32,96 @@ def document_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.seq") < F.col("b.seq")))
 
 
-def should_merge(a: str, b: str) -> Column:
-    """Whether two of date (a day apart at most), place, groups and wording of two told rows agree."""
-    x, y = (lambda f, side=side: F.col(f"{side}.{f}") for side in (a, b))
+def _sides(a: str, b: str):
+    """Functions from a field to its columns in two told rows."""
+    return (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
+
+
+def dates_match(a: str, b: str) -> Column:
+    """Both known and a day apart at most."""
+    x, y = _sides(a, b)
+    return F.coalesce(F.abs(F.datediff(F.try_to_date(x("date"), "yyyy-MM-dd"), F.try_to_date(y("date"), "yyyy-MM-dd"))) <= 1, F.lit(False))
+
+
+def places_match(a: str, b: str) -> Column:
+    """The same city in any case of letters; the same state where neither has a city."""
+    x, y = _sides(a, b)
     both = lambda f: (F.lower(x(f)) == F.lower(y(f))) & (x(f) != "")
-    days = F.abs(F.datediff(F.try_to_date(x("date"), "yyyy-MM-dd"), F.try_to_date(y("date"), "yyyy-MM-dd"))) <= 1
-    place = F.when((x("city") != "") | (y("city") != ""), both("city")).otherwise(both("state"))
-    names = F.arrays_overlap(*[F.transform(side("responsible_groups"), F.lower) for side in (x, y)])
-    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in (place, names, T.jaccard(x("text"), y("text")) > 0.3)), F.coalesce(days, F.lit(False)).cast("int")) >= 2
+    return F.when((x("city") != "") | (y("city") != ""), both("city")).otherwise(both("state"))
+
+
+def groups_match(a: str, b: str) -> Column:
+    x, y = _sides(a, b)
+    return F.arrays_overlap(*[F.transform(side("responsible_groups"), F.lower) for side in (x, y)])
+
+
+def texts_match(a: str, b: str) -> Column:
+    x, y = _sides(a, b)
+    return T.jaccard(x("text"), y("text")) > 0.3
+
+
+CRITERIA = {"dates": dates_match, "places": places_match, "groups": groups_match, "texts": texts_match}
+
+
+def should_merge(a: str, b: str) -> Column:
+    """Whether two of the four criteria hold."""
+    return sum((c(a, b).cast("int") for c in CRITERIA.values()), F.lit(0)) >= 2
 
 
 def boundary_score(row: str, anchor: str) -> Column:
     """How much speaks for two told rows telling of different incidents."""
-    x, y = (lambda f, side=side: F.col(f"{side}.{f}") for side in (row, anchor))
+    x, y = _sides(row, anchor)
     differ = lambda f: ((x(f) != "") & (y(f) != "") & (x(f) != y(f))).cast("double")
     kinds = ((x("operation") != y("operation")) & (x("attack") != y("attack")) & (x("operation") != x("attack"))).cast("double")
     apart = lambda f: ((F.size(x(f)) > 0) & (F.size(y(f)) > 0) & ~F.arrays_overlap(x(f), y(f))).cast("double")
     return x("boundary").cast("double") + differ("date") + differ("city") + kinds + 0.5 * apart("attack_types") + 0.5 * apart("responsible_groups")
 
 
+def place_similarity(a: str, b: str) -> Column:
+    x, y = _sides(a, b)
+    both = lambda f: (x(f) != "") & (y(f) != "")
+    return F.when(both("city"), F.when(x("city") == y("city"), 1.0).otherwise(-0.5)).when(both("state"), F.when(x("state") == y("state"), 0.8).otherwise(-0.2)).when(both("country") & (x("country") == y("country")), 0.5).otherwise(0.0)
+
+
+def date_similarity(a: str, b: str) -> Column:
+    x, y = _sides(a, b)
+    return F.when((x("date") != "") & (y("date") != ""), F.when(x("date") == y("date"), 1.0).otherwise(-0.5)).otherwise(0.0)
+
+
+def _shared(a: str, b: str, *fields: str) -> Column:
+    x, y = _sides(a, b)
+    first, *more = [0.5 * F.arrays_overlap(x(f), y(f)).cast("double") for f in fields]
+    return sum(more, first)
+
+
+def actor_similarity(a: str, b: str) -> Column:
+    return _shared(a, b, "responsible_groups", "target_organizations")
+
+
+def attack_similarity(a: str, b: str) -> Column:
+    return _shared(a, b, "attack_types", "weapon_types")
+
+
+def nearness(gap: Column) -> Column:
+    return F.when(gap <= 1, 1.0).when(gap == 2, 0.5).when(gap <= 4, 0.2).otherwise(0.0)
+
+
 def similarity(row: str, anchor: str, gap: Column) -> Column:
     """The weighted likeness of two told rows that the clusterer goes by; -1 if they are apart."""
     w = vocab.CLUSTER
-    x, y = (lambda f, side=side: F.col(f"{side}.{f}") for side in (row, anchor))
-    both = lambda f: (x(f) != "") & (y(f) != "")
-    share = lambda f: 0.5 * F.arrays_overlap(x(f), y(f)).cast("double")
-    place = F.when(both("city"), F.when(x("city") == y("city"), 1.0).otherwise(-0.5)).when(both("state"), F.when(x("state") == y("state"), 0.8).otherwise(-0.2)).when(both("country") & (x("country") == y("country")), 0.5).otherwise(0.0)
-    day = F.when(both("date"), F.when(x("date") == y("date"), 1.0).otherwise(-0.5)).otherwise(0.0)
-    near = F.when(gap <= 1, 1.0).when(gap == 2, 0.5).when(gap <= 4, 0.2).otherwise(0.0)
-    score = w["loc"] * place + w["date"] * day + w["actor"] * (share("responsible_groups") + share("target_organizations")) + w["attack"] * (share("attack_types") + share("weapon_types")) + w["prox"] * near
+    score = w["loc"] * place_similarity(row, anchor) + w["date"] * date_similarity(row, anchor) + w["actor"] * actor_similarity(row, anchor) + w["attack"] * attack_similarity(row, anchor) + w["prox"] * nearness(gap)
     return F.when(boundary_score(row, anchor) >= 1, -1.0).when(gap <= 1, F.greatest(score, F.lit(w["threshold"]))).otherwise(score)
 
 
+def pair_measures(rows: DataFrame) -> DataFrame:
+    """doc, i, j and every criterion and partial likeness of each two reports of a document."""
+    gap = F.col("b.seq") - F.col("a.seq")
+    parts = {k: c("a", "b") for k, c in CRITERIA.items()} | {
+        "boundary": boundary_score("b", "a"), "place": place_similarity("b", "a"), "date": date_similarity("b", "a"), "actor": actor_similarity("b", "a"), "attack": attack_similarity("b", "a"), "near": nearness(gap),
+    }
+    return document_pairs(told(rows)).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"), *[c.alias(k) for k, c in parts.items()])
+
+
 def merge_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of a document's reports that are one incident."""
     return document_pairs(told(rows)).where(should_merge("a", "b")).select("a.doc", F.col("a.seq").alias("i"), F.col("b.seq").alias("j"))

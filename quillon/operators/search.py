@@ -160,11 +160,22 @@ def candidates(incidents: DataFrame, questions: DataFrame, fetch: int, keyword_m
     return ranked.where(~F.col("way").startswith("word:") | (F.col("rank") <= keyword_most)).drop("rank")
 
 
-def search(incidents: DataFrame, questions: DataFrame, top: int = TOP, window: float | None = WINDOW, embedder: Callable[[Column], Column] = embed, pictures: DataFrame | None = None) -> DataFrame:
+def search_pictures(pictures: DataFrame, asked: DataFrame, fetch: int) -> DataFrame:
+    """query_id, score and the picture's columns: the ``fetch`` pictures (asset_id, filename, embedding) nearest to each
+    of ``asked`` (id, question, q), a little more for one whose name holds the question."""
+    near = retrieval.nearest(pictures.select(F.col("asset_id").alias("vec_id"), "embedding"), asked.select(F.col("id").alias("query_id"), "q"), fetch).drop("rank")
+    named = near.join(pictures.drop("embedding"), F.col("vec_id") == F.col("asset_id")).join(asked.select(F.col("id").alias("query_id"), "question"), "query_id")
+    by_name = F.when(F.contains(F.lower("filename"), F.lower("question")), 0.10).otherwise(0.0)
+    return named.withColumn("score", F.round(F.col("score") + by_name, 6)).drop("question")
+
+
+def search(
+    incidents: DataFrame, questions: DataFrame, top: int = TOP, window: float | None = WINDOW, embedder: Callable[[Column], Column] = embed, pictures: DataFrame | None = None, picture_embedder: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """id, incident_id, score, rank and the incident's columns: the ``top`` incidents of each question by
     similarity, bonuses and asked attack type, of these those within ``window`` of the best. A blank
     question has no results. Incidents need ``document`` and ``embedding``; ``pictures`` (asset_id, filename,
-    embedding) take part by similarity and name."""
+    embedding) take part by similarity, in the space of ``picture_embedder`` if it is another, and by name."""
     asked = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").select("id", "question")
     asked = asked.withColumn("filters", question_filters(F.col("question"))).withColumn("q", embedder(F.col("question")))
     found = candidates(incidents, asked, max(5 * top, 50))
@@ -174,11 +185,10 @@ def search(incidents: DataFrame, questions: DataFrame, top: int = TOP, window: f
     scored = rows.withColumn("score", F.round(ranking.final_score(F.col("similarity"), bonus, F.col("keyword"), F.col("filters.attack_type"), F.col("attack_types")), 6))
     scored = scored.drop("question", "filters", "similarity", "keyword")
     if pictures is not None:
-        near = retrieval.nearest(pictures.select(F.col("asset_id").alias("vec_id"), "embedding"), asked.select(F.col("id").alias("query_id"), "q"), max(5 * top, 50)).drop("rank")
-        named = near.join(pictures.drop("embedding"), F.col("vec_id") == F.col("asset_id")).join(asked.select(F.col("id").alias("query_id"), "question", "filters"), "query_id")
-        by_name = F.when(F.contains(F.lower("filename"), F.lower("question")), 0.10).otherwise(0.0)
-        own = named.withColumn("score", F.round(F.col("score") + by_name + F.when(F.col("filters.attack_type").isNull(), 0.0).otherwise(ranking.WEIGHT["other_attack"]), 6))
-        scored = scored.unionByName(own.drop("question", "filters"), allowMissingColumns=True)
+        look = asked.withColumn("q", picture_embedder(F.col("question"))) if picture_embedder else asked
+        seen = search_pictures(pictures, look, max(5 * top, 50)).join(asked.select(F.col("id").alias("query_id"), "filters"), "query_id")
+        other = F.when(F.col("filters.attack_type").isNull(), 0.0).otherwise(ranking.WEIGHT["other_attack"])
+        scored = scored.unionByName(seen.withColumn("score", F.round(F.col("score") + other, 6)).drop("filters"), allowMissingColumns=True)
     ranked = retrieval.top(scored, top)
     kept = ranked if window is None else retrieval.similarity_window(ranked, window)
     return kept.drop("vec_id").withColumnRenamed("query_id", "id")

@@ -185,6 +185,18 @@ R._add("r_unfiltered_diff", lambda s, d: search.window_effect(search.search(_ind
 R._add("r_mem", lambda s, d: search.search_uploaded(_indexed(s, d), questions(s, d), embedder=_counts).select("id", "incident_id", "rank", "score"), f"{_WITH}, {_FILTERS}, {_DOT}, t AS (SELECT *, row_number() OVER (PARTITION BY id {_BY}) AS rank FROM s QUALIFY rank <= 10), k AS (SELECT * FROM t WHERE score > 0.25) SELECT id, incident_id, CAST(rank AS INT) AS rank, score FROM k QUALIFY score >= max(score) OVER (PARTITION BY id) - 0.05::DOUBLE")
 R._add("r_embed_d", lambda s, d: _indexed(s, d).select("incident_id", F.posexplode("embedding").alias("p", "v")).where("v <> 0").select("incident_id", "p", F.col("v").cast("double").alias("v")), f"{_WITH}, {_sql_vectors('d', 'i', 'incident_id', 'summary')} SELECT key AS incident_id, CAST(p AS INT) AS p, v FROM db WHERE v <> 0")
 _on("r_scope", lambda i: search.in_scope(i.withColumn("collection", F.expr("CASE report_id % 3 WHEN 0 THEN 'incidents' WHEN 1 THEN 'uploaded_incidents' ELSE 'other' END")), "combined").select("incident_id"), "SELECT incident_id FROM i WHERE report_id % 3 < 2")
+_SEEN = "concat(city, CASE WHEN report_id % 6 = 0 THEN ' market' ELSE ' police station' END)"
+
+
+def _seen(s: SparkSession, d: str) -> DataFrame:
+    pictures = incidents(s, d).where("report_id % 3 = 0").select(F.col("incident_id").alias("asset_id"), F.expr("CASE WHEN report_id % 2 = 0 THEN concat('On what happened at the market in imphal?', incident_id) ELSE 'x.png' END").alias("filename"), _counts(F.expr(_SEEN)).alias("embedding"))
+    asked = questions(s, d).where(F.trim("question") != "").withColumn("q", _counts(F.col("question")))
+    return search.search_pictures(pictures, asked, 7).select("query_id", "asset_id", "score")
+
+
+R._add("r_image", _seen, f"""{_WITH}, {_QI}, k AS (SELECT incident_id, {_SEEN} AS t FROM i WHERE report_id % 3 = 0), {_sql_vectors('d', 'k', 'incident_id', 't')}, {_sql_vectors('f', "(SELECT * FROM a WHERE trim(question) <> '')", 'id', 'question')},
+ dots AS (SELECT f.key AS id, d.key AS incident_id, sum(f.v * d.v) AS dot FROM fb f JOIN db d ON f.p = d.p GROUP BY ALL), s AS (SELECT q.key AS id, n.key AS incident_id, round(coalesce(dot, 0) / (q.norm * n.norm), 6) AS score FROM fn q CROSS JOIN dn n LEFT JOIN dots ON dots.id = q.key AND dots.incident_id = n.key QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY round(coalesce(dot, 0) / (q.norm * n.norm), 6) DESC, n.key) <= 7)
+ SELECT s.id AS query_id, s.incident_id AS asset_id, round(score + CASE WHEN i.report_id % 2 = 0 AND question = 'What happened at the market in Imphal?' THEN 0.10::DOUBLE ELSE 0 END, 6) AS score FROM s JOIN a ON a.id = s.id JOIN i ON i.incident_id = s.incident_id""")
 R._add("g_rag", lambda s, d: search.answers(_indexed(s, d), questions(s, d), embedder=_counts).select("id", F.when(F.col("answer").isin(search.REFUSAL, search.NOTHING), F.col("answer")).otherwise("answered").alias("answer")),
        f"WITH {R._R}, {_QI} SELECT id, CASE WHEN question = ' ' THEN '{search.NOTHING}' WHEN contains(question, 'trend') THEN '{search.REFUSAL}' ELSE 'answered' END AS answer FROM a")
 _QUOTED = lambda t: "concat(" + ", chr(10), ".join("'" + part.replace("'", "''") + "'" for part in t.split("\n")) + ")"

@@ -156,8 +156,10 @@ p AS MATERIALIZED (SELECT a.doc, a.seq AS i, b.seq AS j, CAST(b.bnd AS INT) + CA
    + 0.5::DOUBLE * CAST(len(a.attacks) > 0 AND len(b.attacks) > 0 AND NOT list_has_any(a.attacks, b.attacks) AS INT) + 0.5::DOUBLE * CAST(coalesce(a.grp <> b.grp, false) AS INT) AS boundary,
   0.35::DOUBLE * CASE WHEN a.city = b.city THEN 1 WHEN a.city <> b.city THEN -0.5::DOUBLE ELSE __STATES__ END + 0.25::DOUBLE * CASE WHEN a.day = b.day THEN 1 WHEN a.day <> b.day THEN -0.5::DOUBLE ELSE 0 END
    + 0.2::DOUBLE * CASE WHEN a.grp = b.grp THEN 0.5::DOUBLE ELSE 0 END + 0.1::DOUBLE * (0.5::DOUBLE * CAST(list_has_any(a.attacks, b.attacks) AS INT) + 0.5::DOUBLE * CAST(list_has_any(a.weapons, b.weapons) AS INT)) AS base,
-  coalesce(CAST(abs(a.day - b.day) <= 1 AS INT), 0) + coalesce(CAST(CASE WHEN a.city IS NOT NULL OR b.city IS NOT NULL THEN a.city = b.city ELSE a.state = b.state END AS INT), 0) + coalesce(CAST(a.grp = b.grp AS INT), 0)
-   + CAST(len(list_intersect(a.words, b.words)) / nullif(len(list_distinct(list_concat(a.words, b.words))), 0)::DOUBLE > 0.3::DOUBLE AS INT) AS signs
+  coalesce(abs(a.day - b.day) <= 1, false) AS c_dates, coalesce(CASE WHEN a.city IS NOT NULL OR b.city IS NOT NULL THEN a.city = b.city ELSE a.state = b.state END, false) AS c_places, coalesce(a.grp = b.grp, false) AS c_groups,
+  len(list_intersect(a.words, b.words)) / nullif(len(list_distinct(list_concat(a.words, b.words))), 0)::DOUBLE > 0.3::DOUBLE AS c_texts,
+  CASE WHEN a.city = b.city THEN 1 WHEN a.city <> b.city THEN -0.5::DOUBLE ELSE __STATES__ END::DOUBLE AS s_place, CASE WHEN a.day = b.day THEN 1 WHEN a.day <> b.day THEN -0.5::DOUBLE ELSE 0 END::DOUBLE AS s_date, CASE WHEN a.grp = b.grp THEN 0.5::DOUBLE ELSE 0 END::DOUBLE AS s_actor,
+  0.5::DOUBLE * CAST(list_has_any(a.attacks, b.attacks) AS INT) + 0.5::DOUBLE * CAST(list_has_any(a.weapons, b.weapons) AS INT) AS s_attack
   FROM x a JOIN x b ON a.doc = b.doc AND a.seq < b.seq)"""
 # what stands in the text decides the state and country of a report whose city isn't coded
 _WRITTEN = "CASE event_id % 7 WHEN 0 THEN 'Jammu and Kashmir' WHEN 1 THEN 'Maharashtra' WHEN 2 THEN 'Delhi' WHEN 3 THEN 'Maharashtra' WHEN 4 THEN 'Manipur' WHEN 5 THEN 'Bihar' ELSE 'Jammu and Kashmir' END"
@@ -169,8 +171,13 @@ def _sql_near(base: str, boundary: str, gap: str) -> str:
     return f"CASE WHEN {boundary} >= 1 THEN -1 WHEN {gap} <= 1 THEN greatest({base} + 0.1::DOUBLE * {prox}, 0.5::DOUBLE) ELSE {base} + 0.1::DOUBLE * {prox} END"
 
 
-_add("er_should_merge", lambda s, d: entity.merge_pairs(stories(s, d)), f"WITH {_TOLD} SELECT doc, i, j FROM p WHERE signs >= 2")
+_add("er_should_merge", lambda s, d: entity.merge_pairs(stories(s, d)), f"WITH {_TOLD} SELECT doc, i, j FROM p WHERE CAST(c_dates AS INT) + CAST(c_places AS INT) + CAST(c_groups AS INT) + CAST(c_texts AS INT) >= 2")
 _add("er_similarity", lambda s, d: entity.pair_similarity(stories(s, d)), f"WITH {_TOLD} SELECT doc, i, j, round({_sql_near('base', 'boundary', '(j - i)')}, 6) AS similarity FROM p")
+for _name, _column, _sql in (
+    ("er_dates", "dates", "c_dates"), ("er_locs", "places", "c_places"), ("er_groups", "groups", "c_groups"), ("er_texts", "texts", "c_texts"), ("er_boundary", "boundary", "boundary"), ("er_loc_sim", "place", "s_place"),
+    ("er_date_sim", "date", "s_date"), ("er_actor_sim", "actor", "s_actor"), ("er_attack_sim", "attack", "s_attack"), ("er_prox_sim", "near", "CASE WHEN j - i <= 1 THEN 1 WHEN j - i = 2 THEN 0.5::DOUBLE WHEN j - i <= 4 THEN 0.2::DOUBLE ELSE 0 END::DOUBLE"),
+):
+    _add(_name, lambda s, d, c=_column: entity.pair_measures(stories(s, d)).select("doc", "i", "j", F.col(c).alias("value")), f"WITH {_TOLD} SELECT doc, i, j, {_sql} AS value FROM p")
 # The greedy clusterer, a sentence at a time: states after each of a document's six sentences.
 _SEEDS = "class = 'ACCEPT' AND (anchor OR len(attacks) > 0 OR len(weapons) > 0 OR killed > 0 OR injured > 0)"
 _STEPS = [f"c0 AS MATERIALIZED (SELECT doc, seq, 0 AS cluster FROM x WHERE seq = 0 AND {_SEEDS})"]
@@ -260,6 +267,22 @@ _add("src_ingest", lambda s, d: files.ingest(_files(s, d).select("path", "conten
      "SELECT CASE page_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'IMAGE' ELSE 'TXT' END AS source_type, count(*) AS n, count(*) FILTER (page_id % 5 < 2) AS errors FROM pages WHERE page_id % 5 <> 2 AND NOT (page_id % 5 = 3 AND coalesce(html, '') = '') GROUP BY 1")
 
 
+_add("src_pdf", lambda s, d: files.ingest(_files(s, d).select("path", "content"), {"PDF": lambda c: F.when(F.octet_length(c) % 2 == 0, F.lit("p" * 60)), "SCANNED_PDF": lambda c: F.when(c.isNotNull(), F.lit("scanned"))}).where("source_type like '%PDF'").groupBy("source_type", "raw_text").agg(F.count("*").alias("n")),
+     "SELECT CASE WHEN strlen(coalesce(html, '')) % 2 = 1 THEN 'PDF' ELSE 'SCANNED_PDF' END AS source_type, CASE WHEN strlen(coalesce(html, '')) % 2 = 1 THEN repeat('p', 60) ELSE 'scanned' END AS raw_text, count(*) AS n FROM pages WHERE page_id % 5 = 0 GROUP BY ALL")
+_add("src_image", lambda s, d: files.image_documents(_files(s, d).select("path", "content"), ocr=lambda c: F.array(F.lit("two"), F.lit("words")), caption=lambda c: F.when(F.octet_length(c) % 2 == 0, "seen")).select("title", "raw_text", "detections", "caption"),
+     "SELECT string_split(url, '/')[-1] AS title, 'two words' AS raw_text, 2 AS detections, CASE WHEN strlen(coalesce(html, '')) % 2 = 0 THEN 'seen' ELSE '' END AS caption FROM pages WHERE page_id % 5 = 1")
+
+
+def _by_sql(s: SparkSession, d: str) -> DataFrame:
+    from quillon.plans import sql
+
+    sql.register(s)
+    return reports(s, d).select("report_id", F.call_function("extract_casualties", F.col("text")).alias("c"), F.call_function("extract_organizations", F.concat(F.lit("The Taliban claimed responsibility. "), "text")).alias("o")).select("report_id", "c.killed", "c.injured", F.array_contains("o.groups", "Taliban").alias("claimed"))
+
+
+_add("x_sql_functions", _by_sql, f"WITH {_R} SELECT report_id, killed, injured, true AS claimed FROM r")
+
+
 def _coded(s: SparkSession, d: str) -> DataFrame:
     """Reports as the coded CSV's text columns, with bad and missing values among them."""
     return reports(s, d).selectExpr(

@@ -11,7 +11,7 @@ from quillon.functions import lexicon, vocab
 from quillon.functions import text as T
 from quillon.functions.casualties import casualties, casualties_of
 from quillon.functions.embedding import embed
-from quillon.functions.organisations import organisations, organisations_of
+from quillon.functions.organisations import is_city, is_fragment, is_name, is_venue, organisations, organisations_of
 from quillon.operators import evaluation, incidents, retrieval, search
 from quillon.plans import registry, sql
 from quillon.sources import datasets, files, tables
@@ -70,6 +70,13 @@ def test_text_filters_lose_nothing(spark):
         assert tuple(row.c) == (casualties_of(row.t) if row.t else (0, 0)) and (row.o.groups, row.o.targets) == (organisations_of(row.t) if row.t else ([], []))
 
 
+def test_what_is_no_name():
+    assert is_venue("Taj Hotel") and is_venue("airport security") and not is_venue("Taliban")
+    assert is_city("Mumbai") and is_city("Delhi Police") and not is_city("Jammu and Kashmir Police force") and not is_city("Taliban")
+    assert is_fragment("stormed the gate") and is_fragment("lower case") and not is_fragment("abc") and not is_fragment("Boko Haram")
+    assert is_name("Boko Haram") and not any(map(is_name, ("No", "civilians", "Airport Security Force", "Mumbai", "killed by Rebels")))
+
+
 def test_sentences_and_lists_keep_their_ends(spark):
     df = spark.createDataFrame([("10 men came in 2010. Then 20 left at 11.", " a1 ,, 0b0 ")], "t string, c string")
     row = df.select(T.sentences(F.col("t")).alias("s"), T.csv_decode(F.col("c")).alias("c")).first()
