@@ -3,7 +3,8 @@
 Words are counted over all training documents. The words that occur at least a tenth of
 the root of the number of tokens times (the end of a text among them), 254 at least, and one
 symbol for all others make the network's vocabulary: it grows about as that root does. Its
-output softmax is factored into as many classes of words by frequency as a class has words.
+output softmax is factored into classes of words by frequency: the i-th has the 2 i + 1 words after the
+i * i most frequent ones, so frequent words, which most tokens are, have small classes.
 A word outside has the symbol's probability times its smoothed share of
 the corpus counts of such words, so the model draws on every word of the corpus.
 
@@ -40,6 +41,7 @@ from quillon.llm.shared import array_parts, buffers, emit, reduce_arrays, save,
 END = np.int64(0)  # words are moved off this hash
 LEAST_SIDE = 16
 SHARD_TOKENS = 1 << 21
+CACHED = 1 << 10
 TOGETHER = 16 << 20  # bytes of texts that are scored together
 _COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 _SCORES = (
@@ -49,16 +51,16 @@ _SCORES_SQL = "held_out boolean, n_tokens long, known long, logs double, outside
 
 
 def normal(a: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of logits, in their place: log-probabilities of the entries ``at``, exponentials, and their sums."""
+    """Of logits, which are overwritten: log-probabilities of the entries ``at``, exponentials, and their sums."""
     picked = a[rows, at]
-    e = np.exp(a)
-    sums = e.sum(1, keepdims=True)
-    if not (np.isfinite(sums).all() and sums.min(initial=1.0) > 0):  # too large or small as they are
-        top = a.max(1, keepdims=True)
-        picked = picked - top[:, 0]
-        e = np.exp(a - top)
-        sums = e.sum(1, keepdims=True)
-    return picked - np.log(sums[:, 0]), e, sums
+    top = float(a.max(initial=0.0))
+    if top > 80 or picked.min(initial=0.0) < -80:  # too large or small as they are
+        most = a.max(1, keepdims=True)
+        picked = picked - most[:, 0]
+        a -= most
+    np.exp(a, out=a)
+    sums = a.sum(1, keepdims=True)
+    return picked - np.log(sums[:, 0]), a, sums
 
 
 class Gru:
@@ -67,12 +69,11 @@ class Gru:
 
     def __init__(self, size: int = 256, hidden: int = 16, seed: int = 4):
         r = np.random.default_rng(seed)
-        self.size, self.hidden, self.classes = size, hidden, round(size**0.5)
-        self.per = -(-size // self.classes)
-        self.shapes = {"x": (size, 3 * hidden), "u": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "w": (self.classes, hidden, self.per), "wb": (self.classes, self.per)}
-        self.pad = np.arange(self.classes * self.per).reshape(self.classes, self.per) >= size  # cells of no word
+        self.size, self.hidden, self.classes = size, hidden, math.ceil(math.sqrt(size))
+        self.starts = np.minimum(np.arange(self.classes + 1) ** 2, size)
+        self.kind = np.repeat(np.arange(self.classes), np.diff(self.starts))  # the class of a word
+        self.shapes = {"x": (size, 3 * hidden), "u": (hidden, 3 * hidden), "c": (hidden, self.classes), "cb": (self.classes,), "w": (size, hidden), "wb": (size,)}
         self.p = {k: (r.standard_normal(s) * (0.0 if k in ("cb", "wb") else 0.15)).astype(np.float32) for k, s in self.shapes.items()}
-        self.p["wb"][self.pad] = -1e9
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -87,9 +88,10 @@ class Gru:
 
     def start_from(self, counts: np.ndarray) -> Gru:
         """Biases that give the words their shares in ``counts`` before any training."""
-        share = (np.pad(counts, (0, self.classes * self.per - len(counts))) + 1.0).reshape(self.classes, self.per) * ~self.pad + 1e-30
-        self.p["cb"] = np.log(share.sum(1) / share.sum()).astype(np.float32)
-        self.p["wb"] = np.where(self.pad, -1e9, np.log(share / share.sum(1, keepdims=True))).astype(np.float32)
+        share = np.pad(counts, (0, self.size - len(counts))) + 1.0
+        mass = np.bincount(self.kind, weights=share)
+        self.p["cb"] = np.log(mass / mass.sum()).astype(np.float32)
+        self.p["wb"] = np.log(share / mass[self.kind]).astype(np.float32)
         return self
 
     def forward(self, inputs: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -114,29 +116,45 @@ class Gru:
         """Natural log-probabilities of the targets; if ``learn``, gradients of minus their sum as well
         (those of the words' weights for the classes at hand only, with these). Rows are put in order of
         their targets' classes once, so that every class has a slice of them."""
-        k = targets // self.per
+        k = self.kind[targets]
         order = np.argsort(k, kind="stable")
         s, k = states[order], k[order]
-        own, rows = targets[order] - k * self.per, np.arange(len(k))
+        own, rows = targets[order] - self.starts[k], np.arange(len(k))
         ends = np.searchsorted(k, np.arange(self.classes + 1))
-        used = np.flatnonzero(np.diff(ends))
-        logs, e, sums = normal(s @ self.p["c"] + self.p["cb"], rows, k)
+        used = np.flatnonzero(np.diff(ends)).tolist()
+        logs = np.empty(len(k), np.float32)
         if learn:
-            e /= sums
-            e[rows, k] -= 1
-            g = {"c": s.T @ e, "cb": e.sum(0), "w": (used, np.empty_like(self.p["w"][used])), "wb": (used, np.empty_like(self.p["wb"][used]))}
-            dh = e @ self.p["c"].T
-        for row, c in enumerate(used.tolist()):
-            x, y = ends[c], ends[c + 1]
-            w, at = self.p["w"][c], rows[: y - x]
-            log, f, q = normal(s[x:y] @ w + self.p["wb"][c], at, own[x:y])
+            g = {name: np.zeros_like(self.p[name]) for name in ("c", "cb", "w", "wb")}
+            dh = np.empty_like(s)
+        # in blocks that the processor's cache holds
+        for x in range(0, len(k), CACHED):
+            y = min(len(k), x + CACHED)
+            part, at = s[x:y], rows[: y - x]
+            logs[x:y], e, sums = normal(part @ self.p["c"] + self.p["cb"], at, k[x:y])
+            if learn:
+                e /= sums
+                e[at, k[x:y]] -= 1
+                g["c"] += part.T @ e
+                g["cb"] += e.sum(0)
+                np.matmul(e, self.p["c"].T, out=dh[x:y])
+        for c, x, y in [(c, x, min(ends[c + 1], x + CACHED)) for c in used for x in range(ends[c], ends[c + 1], CACHED)]:
+            words = slice(self.starts[c], self.starts[c + 1])
+            if words.stop - words.start == 1:
+                continue  # a class of one word is certain
+            w, at, part = self.p["w"][words], rows[: y - x], s[x:y]
+            b = part @ w.T
+            b += self.p["wb"][words]
+            log, f, q = normal(b, at, own[x:y])
             logs[x:y] += log
             if learn:
                 f /= q
                 f[at, own[x:y]] -= 1
-                np.matmul(s[x:y].T, f, out=g["w"][1][row])
-                f.sum(0, out=g["wb"][1][row])
-                dh[x:y] += f @ w.T
+                g["w"][words] += f.T @ part
+                g["wb"][words] += f.sum(0)
+                dh[x:y] += f @ w
+        if learn and len(used) < self.classes:
+            of_used = np.flatnonzero(np.isin(self.kind, used))
+            g["w"], g["wb"] = (of_used, g["w"][of_used]), (of_used, g["wb"][of_used])
         back = np.empty_like(logs)
         back[order] = logs
         if not learn:
@@ -202,7 +220,7 @@ class Gru:
             self.p[k][at] -= v
         return last
 
-    def score(self, texts: list[np.ndarray], slots: int = 256, window: int = 32) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], slots: int = 512, window: int = 32) -> np.ndarray:
         """Natural log-probability of each whole text (word numbers, the end last). Texts are laid
         one after another into slots, longest first; the state is carried across windows, and a
         window's words are laid out only when it is reached, so a very long text costs its own length."""
