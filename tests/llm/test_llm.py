@@ -195,6 +195,8 @@ def test_pieces_match_the_library_and_round_trip(spark, docs, empty):
     got = pieces.stage(spark, docs, "").collect()
     assert len(got) == len(corpus()) and all(x.exact in (True, None) for x in got) and [x.ids for x in got if x.doc_id == 90] == [None]
     assert pieces.stage(spark, empty, "").count() == 0
+    back = pieces.stage(spark, docs.withColumn("told", F.col("text")), "").select("told", pieces.decoded(spark, "ids").alias("back"))
+    assert all(x.told == x.back for x in back.collect())
     assert Counter(tuple(x.ids or []) for x in got) == Counter(tuple(library.encode(t or "")) for _, t, *_ in corpus())
 
 
