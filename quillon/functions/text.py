@@ -103,11 +103,6 @@ def has_boundary(text: Column) -> Column:
     return has(text, vocab.BOUNDARIES, words=False)
 
 
-def term_count(text: Column, terms: list[str]) -> Column:
-    """How many different terms of a list stand in a text."""
-    return let(lexicon.of_lists([terms]).found(text), lambda f: lexicon.count(f, terms))
-
-
 def event_score(text: Column) -> Column:
     return let(lexicon.of_lists(_EVENT).found(text), event_score_of)
 

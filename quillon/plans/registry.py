@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions import vocab
 from quillon.functions.casualties import casualties
-from quillon.functions.embedding import embed
 from quillon.functions.location import location
 from quillon.functions.organisations import organisations
-from quillon.operators import entity, evaluation, incidents, ranking, retrieval, search
-from quillon.sources import datasets, files, tables
+from quillon.operators import entity, evaluation, incidents, ranking, retrieval
+from quillon.sources import datasets, files
 from quillon.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]

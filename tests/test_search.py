@@ -15,6 +15,7 @@ from quillon.functions.organisations import is_city, is_fragment, is_name, is_ve
 from quillon.operators import evaluation, incidents, retrieval, search
 from quillon.plans import registry, sql
 from quillon.sources import datasets, files, tables
+from quillon.streaming import events as stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -253,6 +254,18 @@ def test_files_are_read_once(spark):
     assert assets.first().retrieval_text == "Caption: a bomb exploded in Pune and killed 3." and incidents_.count() == 0
 
 
+def test_files_as_they_arrive(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.txt").write_text("A bomb exploded in Pune and 3 people were killed.")
+    (drop / "b.bin").write_bytes(b"\0\1")
+    for _ in range(2):
+        stream.append_to(stream.classified(stream.file_stream(spark, str(drop)).withColumnRenamed("raw_text", "text")), f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+        (drop / "c.txt").write_text("The charge sheet names accused persons; hearing on bail.")
+    got = {r.title: r["class"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"a.txt": "ACCEPT", "c.txt": "REJECT"} and spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
 @pytest.mark.parametrize("name", ["er_similarity", "er_cluster", "fx_location", "fx_orgs", "fx_date", "r_search", "r_mem", "ag_fieldmetrics", "ag_macro", "ag_failures", "qf_where", "snk_add_image", "g_prompt", "flagship", "er_build"])
 def test_oracle(spark, name):
     db = duckdb.connect()
