@@ -22,7 +22,7 @@ STAGES = [
 ]
 
 #: No SQL: a trained model decides in the first stage, edit distances in the second, set
-#: components in the third. Tests hold each stage against brute force.
+#: components in the third. Tests hold each stage's operator against brute force, and run the whole.
 ORACLE_SQL = None
 
 
