@@ -34,6 +34,7 @@ import heapq
 import os
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -168,9 +169,7 @@ class Transducer:
         self.unknown = self.kinds.index(UNKNOWN)
         self.parts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.spelled = set("".join(self.ids))
-        self.reach: dict[str, int] = {}  # the longest piece by its first two characters
-        for p in self.ids:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+        self.trie = self._trie()
         normal = [x for x, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL] or [0.0]
         if max(normal) > 0 and not self.merges:
             raise ValueError("scores of a unigram model are logarithms of probabilities")
@@ -179,7 +178,8 @@ class Transducer:
         own = [0.1 - len(p) * max(normal) if k == USER else -x for p, x, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
         self.weight = [0.0] * len(self.pieces) if self.merges else own
         self.tree: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[int, bool] = {}
+        self.rows: defaultdict[int, dict[int, bool]] = defaultdict(dict)  # what is known of pairs, by the piece before
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.known_bytes = 0
@@ -188,6 +188,22 @@ class Transducer:
         self.spell_at = np.concatenate([[0], np.cumsum(self.spell_len)[:-1]])
         self.spell = np.frombuffer(b"".join(table), np.uint8)
 
+    def _trie(self) -> dict:
+        """Pieces by their characters: for each character the piece that ends there (-1 for none) and what
+        may follow."""
+        leaf: dict = {}
+        root: dict = {}
+        for piece, i in self.ids.items():
+            kids = root
+            for c in piece[:-1]:
+                found = kids.get(c)
+                if found is None or found[1] is leaf:
+                    found = kids[c] = (-1 if found is None else found[0], {})
+                kids = found[1]
+            last = kids.get(piece[-1])
+            kids[piece[-1]] = (i, leaf if last is None else last[1])
+        return root
+
     def forget(self) -> None:
         """Drops the paths that encoding has remembered; of neighbours few are known, and they stay."""
         self.known, self.older, self.known_bytes = {}, {}, 0
@@ -234,13 +250,15 @@ class Transducer:
 
     def fits(self, before: int, piece: int) -> bool:
         """Whether a pair's weight is finite; ``before`` is -1 where no piece of the part stands before."""
-        key = before * len(self.pieces) + piece
-        known = self.pairs.get(key)
+        row = self.rows[before]
+        known = row.get(piece)
         if known is None:
-            if len(self.pairs) > 150_000:  # about 12 MB
-                self.pairs.clear()
+            if self.pairs > 150_000:  # about 12 MB
+                self.rows, self.pairs = defaultdict(dict), 0
+                row = self.rows[before]
             right = self.pieces[piece]
-            known = self.pairs[key] = self.made(right) and (before < 0 or self.apart(self.pieces[before], right))
+            known = row[piece] = self.made(right) and (before < 0 or self.apart(self.pieces[before], right))
+            self.pairs += 1
         return known
 
     # --- shortest paths ---
@@ -255,7 +273,7 @@ class Transducer:
         them, and a state is settled once."""
         if self.merges:
             return self.unweighted(text)
-        n, ids, reach = len(text), self.ids, self.reach
+        n, trie = len(text), self.trie
         visits = [(-1, -1, 0.0)]  # (visit before, piece, weight)
         queue = [(0.0, 0, 0, 0)]
         settled = set()
@@ -267,14 +285,17 @@ class Transducer:
             if at in settled:  # every pair weighs 0, so the piece before doesn't tell states apart
                 continue
             settled.add(at)
-            for end in range(min(n, at + reach.get(text[at : at + 2], 1)), at, -1):
-                i = ids.get(text[at:end])
-                if i is None:
-                    if end > at + 1:
-                        continue
-                    i, total = -2 - ord(text[at]), weight + self.fallback
-                else:
-                    total = weight + self.weight[i]
+            arcs, kids = [], trie
+            for end in range(at + 1, n + 1):
+                found = kids.get(text[end - 1])
+                if found is None:
+                    break
+                i, kids = found
+                if i >= 0:
+                    arcs.append((end, i, weight + self.weight[i]))
+            if not arcs or arcs[0][0] > at + 1:
+                arcs.append((at + 1, -2 - ord(text[at]), weight + self.fallback))
+            for end, i, total in arcs:
                 visits.append((visit, i, total))
                 heapq.heappush(queue, (total, -end, at, len(visits) - 1))
         else:
@@ -289,37 +310,50 @@ class Transducer:
         """The same where every finite weight is 0, as for models of merges: the first path that arrives is
         shortest, so the queue is a stack, the path itself, and arcs are tried longest first. A state is
         (place, piece before, -1 for none); one without a finite arc is not entered again."""
-        n, ids, reach, pairs, many = len(text), self.ids, self.reach, self.pairs, len(self.pieces)
+        n, trie, ids, rows = len(text), self.trie, self.ids, self.rows
         out: list[int] = []
         sizes: list[int] = []
         closed: set[tuple[int, int]] = set()
-        at, before, size = 0, -1, min(reach.get(text[:2], 1), n)
+        at, before, most = 0, -1, n  # arcs end at ``most`` at the furthest
         while at < n:
-            while size:
-                i = ids.get(text[at : at + size])
-                if i is not None:
-                    fits = pairs.get(before * many + i)
-                    if fits or (fits is None and self.fits(before, i)):
-                        break
-                elif size == 1:
-                    i = -2 - ord(text[at])
+            stop, end, i, kids = at, at, -1, trie
+            while end < most:  # the longest arc
+                found = kids.get(text[end])
+                if found is None:
                     break
-                size -= 1
-            if size:
-                out.append(i)
-                sizes.append(size)
-                at += size
-                before = i if i >= 0 else -1
+                end += 1
+                x, kids = found
+                if x >= 0:
+                    stop, i = end, x
+            if i < 0 and most > at:
+                stop = at + 1
+            row = rows[before]
+            fits = row.get(i) if i >= 0 else stop > at
+            if fits is None:
+                fits = self.fits(before, i)
+            while not fits and stop > at:  # else the next shorter one
+                stop -= 1
+                i = ids.get(text[at:stop], -1)
+                if i >= 0:
+                    fits = row.get(i)
+                    if fits is None:
+                        fits = self.fits(before, i)
+                else:
+                    fits = stop == at + 1 and text[at] not in ids  # no piece spells the character
+            if fits:
+                out.append(i if i >= 0 else -2 - ord(text[at]))
+                sizes.append(stop - at)
+                at, before, most = stop, i, n  # i is -1 behind a character that falls back
                 if not closed or (at, before) not in closed:
-                    size = min(reach.get(text[at : at + 2], 1), n - at)
                     continue
             else:
                 closed.add((at, before))
             if not out:
                 raise ValueError("no finite path")
             out.pop()
-            size = sizes.pop()
-            at, before, size = at - size, max(out[-1], -1) if out else -1, size - 1
+            most = at - 1
+            at -= sizes.pop()
+            before = max(out[-1], -1) if out else -1
         return out
 
     def spelled_out(self, path: list[int]) -> list[int]:
@@ -340,7 +374,7 @@ class Transducer:
         if got is None:
             got = self.older.get(text)
             if got is None:
-                ids = self.shortest(text)
+                ids = self.unweighted(text) if self.merges else self.shortest(text)
                 if ids and min(ids) < 0:
                     ids = self.spelled_out(ids)
                 got = array("i", ids).tobytes()
