@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,65 @@ def test_clause_of_columns_and_of_blocks_agree(spark):
     assert want[0] == 1 and want[1] == 1 and want[2] == 2 and want[3] == 1 and 4 not in want and want[5] == 0
 
 
+def test_same_words_are_sought_once_and_answer_all(spark):
+    """Questions of few texts: every one has its rows, each text is embedded once, and many texts give the same."""
+    table = _table(spark).withColumn("document", F.col("retrieval_text")).withColumn("embedding", embed(F.col("retrieval_text")))
+    texts = ["Bombings in Pune in 2010", "What happened near the embassy?", " ", None]
+    asked = spark.createDataFrame([(i, texts[i % 4]) for i in range(2400)], "id int, question string")
+    met = spark.sparkContext.accumulator(0)
+
+    def embedder(text):
+        @F.arrow_udf("string")
+        def count(batch: pa.Array) -> pa.Array:
+            met.add(len(batch))
+            return batch
+
+        return embed(count(text))
+
+    one = {(r.id, r.incident_id, r["rank"], r.score) for r in search.search(table, asked.where("id < 4"), 3, None).collect()}
+    found = search.search(table, asked, 3, None, embedder).collect()
+    assert len(found) == 600 * len(one) and {(r.id % 4, r.incident_id, r["rank"], r.score) for r in found} == one
+    assert met.value <= 20  # two texts, a few times
+    said = search.answers(table, asked).groupBy("answer").count().collect()
+    assert sorted(r["count"] for r in said) == [600, 600, 1200]
+    near = {(r.id % 4, r.incident_id, r.score) for r in search.search_uploaded(table, asked).collect()}
+    assert near == {(r.id, r.incident_id, r.score) for r in search.search_uploaded(table, asked.where("id < 4")).collect()}
+
+
+def test_blocks_of_questions_and_one_table_of_them_agree(spark):
+    table = _table(spark).withColumn("document", F.col("retrieval_text")).withColumn("embedding", embed(F.col("retrieval_text")))
+    table = table.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("incident_id", F.concat("incident_id", F.col("copy").cast("string")))
+    texts = ["Bombings in Pune", "gun attacks in Mumbai", "the embassy", "anything", "IM attacks at the airport hotel"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "id int, question string").withColumn("filters", search.question_filters(F.col("question"))).withColumn("q", embed(F.col("question")))
+    some = [sorted(map(tuple, search.candidates(table, asked, 7, 3, shard, block).collect())) for shard, block in ((1 << 15, 1 << 10), (9, 1 << 10), (9, 2))]
+    assert some[0] == some[1] == some[2] and {x[0] for x in some[0]} == set(range(5))
+
+
+def test_best_rows_of_tables():
+    rows = [(q, w, s, v) for q in ("a", "b") for w in ("x", "y") for s, v in ((0.5, "2"), (0.5, "1"), (0.9, "3"), (0.1, "0"))]
+    t = pa.table(dict(zip(("query_id", "way", "score", "vec_id"), map(list, zip(*rows, strict=True)), strict=True)))
+    assert [(r["query_id"], r["way"], r["vec_id"]) for r in retrieval.best_of(2, "way")(t).to_pylist()] == [(q, w, v) for q in ("a", "b") for w in ("x", "y") for v in ("3", "1")]
+    assert retrieval.best_of(2)(t).num_rows == 4 and retrieval.best_of(2)(t.slice(0, 0)).num_rows == 0
+
+
+def test_vectors_of_a_column():
+    made = retrieval.matrix(pa.chunked_array([pa.array([[3.0, 4.0], None], pa.list_(pa.float64())), pa.array([[0.0, 2.0], [1.0], [None, 1.0], [], [0.0, 0.0]], pa.list_(pa.float64()))]))
+    assert made.tolist() == [[0.6, 0.8], [0, 0], [0, 1.0], [0, 0], [0, 0], [0, 0], [0, 0]]
+
+
+#: Queries whose questions are a few texts, asked by many.
+_ASKED = ["qf_where"]
+
+
+@pytest.mark.parametrize("name", _ASKED)
+def test_incidents_are_not_shuffled_for_a_few_texts(spark, name):
+    """Incidents used to travel once for each block of questions, with their vectors."""
+    df = registry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan
+    test_oracle(spark, name)
+
+
 def test_set_score_is_greedy_and_one_to_one(spark):
     def plain(expected, actual):
         e, a = ([(x or "").strip().lower() for x in v or []] for v in (expected, actual))
