@@ -197,7 +197,7 @@ def test_vectors_of_a_column():
 
 
 #: Queries whose questions are a few texts, asked by many.
-_ASKED = ["qf_where", "r_image", "r_search", "r_unfiltered_diff", "g_rag", "r_mem"]
+_ASKED = ["qf_where", "r_image", "r_search", "r_unfiltered_diff", "g_rag", "r_mem", "r_sort_topk"]
 
 
 @pytest.mark.parametrize("name", _ASKED)
