@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quillon.llm.shared import bounded_batches, byte_texts, tidy
+from quillon.llm.shared import bounded_batches, byte_texts, release, tidy
 
 #: Everything of ASCII that is not a letter or digit separates; A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -124,6 +124,21 @@ def fit_chain(
     return chain
 
 
+#: Parts that labelled rows come to the driver in, and ranges of hashes that it counts in.
+PARTS = 16
+
+
+def _in_several(hashes: list[np.ndarray], least: int) -> np.ndarray:
+    """The hashes in ``least`` of the sorted arrays, in order; what is put together at once is a range of them."""
+    edges = np.array([(k << 64) // PARTS for k in range(1, PARTS)], np.uint64)
+    cuts = [[0, *np.searchsorted(h, edges).tolist(), len(h)] for h in hashes]
+    names = [np.zeros(0, np.uint64)]
+    for k in range(PARTS):
+        found, rows = np.unique(np.concatenate([names[0], *[h[c[k] : c[k + 1]] for h, c in zip(hashes, cuts, strict=True)]]), return_counts=True)
+        names.append(found[rows >= least])
+    return np.concatenate(names)
+
+
 def train(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8000, least: int = 5
 ) -> Chain:
@@ -135,15 +150,19 @@ def train(
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(picked), "_id").select("_id", *ys, F.xxhash64("_text").alias("_t"), feature_hashes("_text").alias("_f"))
     joined = joined.orderBy(F.xxhash64("_id"), "_id", *ys, "_t").limit(max_labelled)  # ids may repeat in the documents
-    found = sorted((r[0], tuple(r[1:-2]), r[-1]) for r in joined.toLocalIterator())
+    found = sorted((r[0], tuple(r[1:-2]), r[-1]) for r in joined.repartition(PARTS).toLocalIterator())  # a part at a time
     hashes = [np.frombuffer(f, np.uint64) for _, _, f in found]
-    names, rows = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_counts=True)
-    names = names[rows >= least]  # rarer ones are never selected
+    names = _in_several(hashes, least)  # rarer ones are never selected
     places = []
     for h in hashes:
         at = np.searchsorted(names, h)
         places.append(at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == h)].astype(np.int32) if len(names) else at[:0].astype(np.int32))
-    return fit_chain(places, names, np.array([y for _, y, _ in found], float).reshape(len(found), len(targets)), [c for c, _ in targets], least=least)
+    ys_found = np.array([y for _, y, _ in found], float).reshape(len(found), len(targets))
+    del found, hashes
+    chain = fit_chain(places, names, ys_found, [c for c, _ in targets], least=least)
+    del places, names
+    release()
+    return chain
 
 
 class Remembered:

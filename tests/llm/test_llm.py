@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -530,6 +531,20 @@ def test_toxicity_chain_against_a_plain_one(spark):
     assert len(order) == len(labels) and all(np.allclose(x.p, (p0[x.doc_id], p1[x.doc_id]), atol=1e-6) for x in got)
 
 
+def test_hashes_are_counted_a_range_at_a_time():
+    """The driver holds the hashes of 8000 labelled rows: counting them takes a fraction of that again."""
+    r = np.random.default_rng(3)
+    hashes = [np.unique(r.integers(0, 1 << 14, 4000, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(400)] + [np.zeros(0, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]
+    names, rows = np.unique(np.concatenate(hashes), return_counts=True)
+    tracemalloc.start()
+    got = toxicity._in_several(hashes, 90)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < len(got) < len(names) and (got == names[rows >= 90]).all() and got.dtype == np.uint64
+    assert peak < sum(h.nbytes for h in hashes) / 2
+    assert len(toxicity._in_several([], 1)) == 0 and toxicity._in_several(hashes[-2:], 1).tolist() == [0, (1 << 64) - 1]
+
+
 def test_toxicity_of_odd_rows(spark, empty):
     rows = [(1, None, "en", "s", 0), (1, "", "en", "s", 0), (None, "x " * 50_000, "en", "s", 0), (2, "é" * 1000, "en", "s", 0)]
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
