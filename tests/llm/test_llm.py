@@ -631,3 +631,20 @@ def test_word_hashes_follow_words():
     assert np.diff(at).tolist() == [len(s) for s in split]
     names = dict(zip([w for s in split for w in s], h.tolist(), strict=True))
     assert len(set(names.values())) == len(names) and all(names[w] == x for w, x in zip([w for s in split for w in s], h.tolist(), strict=True))
+
+
+def test_summed_arrays_come_in_few_jobs(spark):
+    length = 24 * shared.CHUNK + 7
+    values = np.arange(length, dtype=np.int32) % 1000
+
+    def parts(batches):
+        for n in [b.num_rows for b in batches]:
+            yield from shared.array_parts(values * n)
+
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = ran()
+    found = shared.reduce_arrays(spark.range(0, 3, 1, 3).mapInArrow(parts, shared._PART_SQL), length, "int32", "add")
+    assert (found == values.astype(np.int64) * 3).all()
+    assert 0 < ran() - before < 12  # not one for each of the 25 chunks
+    united = shared.reduce_arrays(spark.range(0, 3, 1, 3).mapInArrow(parts, shared._PART_SQL), length, "int32", "or")
+    assert (united == values).all()
