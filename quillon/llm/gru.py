@@ -51,17 +51,17 @@ _SCORES = (
 _SCORES_SQL = "held_out boolean, n_tokens long, known long, logs double, outside long, gru double, rare array<long>"
 
 
-def normal(a: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of logits, which are overwritten: log-probabilities of the entries ``at``, exponentials, and their sums."""
+def normal(a: np.ndarray, rows: np.ndarray, at: np.ndarray, ones: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits, which are overwritten: log-probabilities of the entries ``at``, exponentials, and their
+    sums. ``small``: none is beyond 80, so that they can be taken as they are."""
     picked = a[rows, at]
-    top = float(a.max(initial=0.0))
-    if top > 80 or picked.min(initial=0.0) < -80:  # too large or small as they are
+    if not small:
         most = a.max(1, keepdims=True)
         picked = picked - most[:, 0]
         a -= most
     np.exp(a, out=a)
-    sums = a.sum(1, keepdims=True)
-    return picked - np.log(sums[:, 0]), a, sums
+    sums = a @ ones[: a.shape[1]]  # a product adds up short rows faster than a sum does
+    return picked - np.log(sums), a, sums[:, None]
 
 
 class Gru:
@@ -95,71 +95,89 @@ class Gru:
         self.p["wb"] = np.log(share / mass[self.kind]).astype(np.float32)
         return self
 
-    def forward(self, inputs: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
+    def laid(self) -> tuple:
+        """The weights as the passes use them: transposed ones of the gates, output weights with the biases
+        in one piece (for a one after each state), and how far logits can be for states up to 1 and without any."""
+        p = self.p
+        reach = [(float(np.abs(p[a]).sum(axis).max(initial=0)), float(np.abs(p[b]).max(initial=0))) for a, b, axis in (("c", "cb", 0), ("w", "wb", 1))]
+        return np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["x"].T), np.vstack([p["c"], p["cb"]]), np.column_stack([p["w"], p["wb"]]), reach
+
+    def forward(self, inputs: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False, laid: tuple | None = None):
         """States after each step of a window (steps, slots); a reset empties a slot's state
         before the step."""
-        n, u, xs = self.hidden, self.p["u"], self.p["x"][inputs]
-        states, kept = np.empty((*inputs.shape, n), np.float32), []
+        # a step's numbers lie by unit and then by slot, so that each gate is one piece of memory
+        n, (u, x_of, *_) = self.hidden, laid or self.laid()
+        states, kept, h = np.empty((*inputs.shape, n), np.float32), [], np.ascontiguousarray(h.T)
         for t in range(len(inputs)):
             if resets[t].any():
-                h = np.where(resets[t][:, None], np.float32(0), h)
-            hu, x = h @ u, xs[t]
-            zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + hu[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            m = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
+                h = np.where(resets[t], np.float32(0), h)
+            hu, x = u @ h, x_of.take(inputs[t], axis=1)
+            zr = x[: 2 * n]
+            zr += hu[: 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:n], zr[n:]
+            m = r * hu[2 * n :]
+            m += x[2 * n :]
+            np.tanh(m, out=m)
             if keep:
-                kept.append((h, z, r, m, hu[:, 2 * n :]))
-            h = m + z * (h - m)
-            states[t] = h
-        return states, h, kept
-
-    def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
+                kept.append((h, z, r, m, hu[2 * n :]))
+            h = h - m
+            h *= z
+            h += m
+            states[t] = h.T
+        return states, h.T, kept
+
+    def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False, laid: tuple | None = None):
         """Natural log-probabilities of the targets; if ``learn``, gradients of minus their sum as well
         (those of the words' weights for the classes at hand only, with these). Rows are put in order of
         their targets' classes once, so that every class has a slice of them."""
         k = self.kind[targets]
         order = np.argsort(k, kind="stable")
-        s, k = states[order], k[order]
+        n, k, (*_, cs, ws, reach) = self.hidden, k[order], laid or self.laid()
+        s = np.ones((len(k), n + 1), np.float32)
+        s[:, :n] = states[order]
         own, rows, k = targets[order] - self.starts[k], np.arange(len(k)), k.astype(np.int64)
         ends = np.searchsorted(k, np.arange(self.classes + 1))
         used = np.flatnonzero(np.diff(ends)).tolist()
         logs = np.empty(len(k), np.float32)
+        ones = np.ones(max(self.classes, 2 * self.classes - 1), np.float32)
+        far = float(np.abs(states).max(initial=0))
+        small = all(far * most + alone < 80 for most, alone in reach)
         if learn:
-            g = {name: np.zeros_like(self.p[name]) for name in ("c", "cb", "w", "wb")}
-            dh = np.empty_like(s)
+            gc, gw, dh = np.zeros_like(cs), np.zeros_like(ws), np.empty((len(k), n), np.float32)
         # in blocks that the processor's cache holds
         for x in range(0, len(k), CACHED):
             y = min(len(k), x + CACHED)
             part, at = s[x:y], rows[: y - x]
-            logs[x:y], e, sums = normal(part @ self.p["c"] + self.p["cb"], at, k[x:y])
+            logs[x:y], e, sums = normal(part @ cs, at, k[x:y], ones, small)
             if learn:
-                e /= sums
+                e *= 1 / sums
                 e[at, k[x:y]] -= 1
-                g["c"] += part.T @ e
-                g["cb"] += e.sum(0)
+                gc += part.T @ e
                 np.matmul(e, self.p["c"].T, out=dh[x:y])
         for c, x, y in [(c, x, min(ends[c + 1], x + CACHED)) for c in used for x in range(ends[c], ends[c + 1], CACHED)]:
             words = slice(self.starts[c], self.starts[c + 1])
             if words.stop - words.start == 1:
                 continue  # a class of one word is certain
-            w, at, part = self.p["w"][words], rows[: y - x], s[x:y]
-            b = part @ w.T
-            b += self.p["wb"][words]
-            log, f, q = normal(b, at, own[x:y])
+            at, part = rows[: y - x], s[x:y]
+            log, f, q = normal(part @ ws[words].T, at, own[x:y], ones, small)
             logs[x:y] += log
             if learn:
-                f /= q
+                f *= 1 / q
                 f[at, own[x:y]] -= 1
-                g["w"][words] += f.T @ part
-                g["wb"][words] += f.sum(0)
-                dh[x:y] += f @ w
-        if learn and len(used) < self.classes:
-            of_used = np.flatnonzero(np.isin(self.kind, used))
-            g["w"], g["wb"] = (of_used, g["w"][of_used]), (of_used, g["wb"][of_used])
+                gw[words] += f.T @ part
+                dh[x:y] += f @ self.p["w"][words]
         back = np.empty_like(logs)
         back[order] = logs
         if not learn:
             return back
+        g = {"c": gc[:n].copy(), "cb": gc[n].copy(), "w": gw[:, :n].copy(), "wb": gw[:, n].copy()}
+        if len(used) < self.classes:
+            of_used = np.flatnonzero(np.isin(self.kind, used))
+            g["w"], g["wb"] = (of_used, g["w"][of_used]), (of_used, g["wb"][of_used])
         out = np.empty_like(dh)
         out[order] = dh
         return back, g, out
@@ -167,30 +185,35 @@ class Gru:
     def learn(self, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, h: np.ndarray, adam: dict, rate: float) -> np.ndarray:
         """One step on a window: the gradient goes back to its beginning only."""
         n, u = self.hidden, self.p["u"]
-        states, last, kept = self.forward(inputs, resets, h, keep=True)
-        _, g, dout = self.output(states.reshape(-1, n), targets.reshape(-1), learn=True)
+        laid = self.laid()
+        states, last, kept = self.forward(inputs, resets, h, True, laid)
+        _, g, dout = self.output(states.reshape(-1, n), targets.reshape(-1), True, laid)
         dout = dout.reshape(states.shape)
         dx = np.empty((*inputs.shape, 3 * n), np.float32)
-        du, dh = np.zeros_like(u), np.zeros_like(h)
+        du, dh, d, dhu = np.zeros_like(u), np.zeros((n, len(h)), np.float32), np.empty((3 * n, len(h)), np.float32), np.empty((3 * n, len(h)), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, m, hum = kept[t]
-            dh += dout[t]
-            rest = 1 - z
-            dm = dh * rest
-            d = dx[t]
-            np.multiply(before - m, z, out=d[:, :n])
-            d[:, :n] *= dm
-            dm *= 1 - m * m
-            d[:, 2 * n :] = dm
-            dm *= r
-            np.multiply(dm * hum, 1 - r, out=d[:, n : 2 * n])
-            dhu = d.copy()
-            dhu[:, 2 * n :] = dm
-            du += before.T @ dhu
+            dh += dout[t].T
+            dm = d[2 * n :]
+            np.subtract(1, z, out=dm)
+            dm *= dh
+            np.subtract(before, m, out=d[:n])
+            d[:n] *= z
+            d[:n] *= dm
+            rest = m * m
+            np.subtract(1, rest, out=rest)
+            dm *= rest
+            np.multiply(dm, r, out=dhu[2 * n :])
+            np.subtract(1, r, out=rest)
+            rest *= hum
+            np.multiply(dhu[2 * n :], rest, out=d[n : 2 * n])
+            dhu[: 2 * n] = d[: 2 * n]
+            dx[t] = d.T
+            du += before @ dhu.T
             dh *= z
-            dh += dhu @ u.T
+            dh += u @ dhu
             if resets[t].any():
-                dh[resets[t]] = 0
+                dh[:, resets[t]] = 0
         ids, flat = inputs.reshape(-1), dx.reshape(-1, 3 * n)
         order = np.argsort(ids.astype(np.uint16) if self.size <= 1 << 16 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -241,7 +264,7 @@ class Gru:
         lanes, width = [lanes[s] for s in by_load], width[by_load]
         words = [np.concatenate([texts[i] for i in lane]) for lane in lanes]
         owners = [np.repeat(np.array(lane, np.int32), [len(texts[i]) for i in lane]) for lane in lanes]
-        end, h = np.int64(self.end), np.zeros((slots, self.hidden), np.float32)
+        end, h, laid = np.int64(self.end), np.zeros((slots, self.hidden), np.float32), self.laid()
         before, previous = np.full(slots, end), np.full(slots, -1, np.int32)
         for a in range(0, int(width[0]), window):
             live = int((width > a).sum())
@@ -252,9 +275,9 @@ class Gru:
                 t[:n, col], o[:n, col] = words[col][a : a + n], owners[col][a : a + n]
             resets = np.vstack([previous[None, :live], o[:-1]]) != o
             inputs = np.where(resets, end, np.vstack([before[None, :live], t[:-1]]))
-            states, h, _ = self.forward(inputs, resets, h[:live])
+            states, h, _ = self.forward(inputs, resets, h[:live], False, laid)
             mask = o.reshape(-1) >= 0
-            logs = self.output(states.reshape(-1, self.hidden)[mask], t.reshape(-1)[mask])
+            logs = self.output(states.reshape(-1, self.hidden)[mask], t.reshape(-1)[mask], False, laid)
             out += np.bincount(o.reshape(-1)[mask], weights=logs, minlength=len(out))
             previous, before = o[-1], t[-1]
         return out

@@ -419,6 +419,47 @@ def test_gru_score_carries_state_and_gradient_is_right():
     assert model.output(model.forward(ids, resets, h)[0].reshape(-1, 4), t.reshape(-1)).sum() > before + 5
 
 
+def test_gru_passes_against_plain_ones():
+    """States, log-probabilities and gradients by one word at a time in double precision, for logits beyond 80 too."""
+    r = np.random.default_rng(2)
+    for scale in (1, 300):
+        model = gru.Gru(50, 4)
+        model.p = {k: (v * scale + (0.1 * r.standard_normal(v.shape) if k in ("cb", "wb") else 0)).astype(np.float32) for k, v in model.p.items()}
+        p, n = {k: v.astype(float) for k, v in model.p.items()}, model.hidden
+        words, resets = r.integers(0, 50, (6, 3)), r.random((6, 3)) < 0.2
+        states, last, _ = model.forward(words, resets, np.zeros((3, n), np.float32))
+        for col in range(3):
+            h = np.zeros(n)
+            for t in range(6):
+                h = h * ~resets[t, col]
+                x, hu = p["x"][words[t, col]], h @ p["u"]
+                with np.errstate(over="ignore"):
+                    z, g = (1 / (1 + np.exp(-(x + hu)[k * n : (k + 1) * n])) for k in (0, 1))
+                m = np.tanh(x[2 * n :] + g * hu[2 * n :])
+                h = m + z * (h - m)
+                assert np.allclose(states[t, col], h, atol=2e-3 if scale > 1 else 1e-5)
+            assert np.array_equal(last[col], states[-1, col])
+        flat, targets = states.reshape(-1, n), words.reshape(-1)
+
+        def total(q, flat=flat.astype(float), targets=targets, model=model):
+            of, out = model.kind, []
+            for s, w in zip(flat, targets, strict=True):
+                a, b = s @ q["c"] + q["cb"], q["w"][of == of[w]] @ s + q["wb"][of == of[w]]
+                inside = w - model.starts[of[w]]
+                out.append(a[of[w]] - a.max() - np.log(np.exp(a - a.max()).sum()) + b[inside] - b.max() - np.log(np.exp(b - b.max()).sum()))
+            return np.array(out)
+
+        logs, grads, _ = model.output(flat, targets, learn=True)
+        assert np.allclose(logs, total(p), rtol=1e-4, atol=1e-4)
+        if scale == 1:
+            for name, at in (("c", (1, 2)), ("cb", (3,)), ("w", (20, 1)), ("wb", (20,))):
+                step = {k: v.copy() for k, v in p.items()}
+                step[name][at] += 1e-5
+                where, v = grads[name] if isinstance(grads[name], tuple) else (np.arange(len(p[name])), grads[name])
+                found = v[np.flatnonzero(where == at[0])[0]][at[1:]] if at[0] in where else 0.0
+                assert abs(found + (total(step) - total(p)).sum() / 1e-5) < 1e-3
+
+
 def test_hamming_against_brute_force(spark):
     r = np.random.default_rng(1)
     rows = [(i, r.standard_normal(24).astype("f4").tolist()) for i in range(400)] + [(400, None), (401, [float("nan")] * 24), (402, []), (420, [0.0] * 24)]
